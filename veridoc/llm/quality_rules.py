@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import BLANKS, pair_hashes, text_of, written
 
-#: Chi-square quantiles of six degrees of freedom: the median, and the cutoff with one clean row in 10^9 beyond it.
-CHI2_MEDIAN, CHI2_CUT = 5.3481, 55.0
+#: The chi-square median of six degrees of freedom, and the cutoff of the squared distance.  Real statistics have heavier
+#: tails than the normal law (its 1 - 10^-6 quantile is 38), and clean documents must stay.
+CHI2_MEDIAN, CHI2_CUT = 5.3481, 200.0
 VECTOR = ("v_words", "v_length", "v_symbols", "v_repeats", "v_upper", "v_points")
 #: Deviations are at least this many thousandths.
 FLOOR = 150.0
@@ -55,7 +56,7 @@ def _vector() -> list[Column]:
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     share = lambda x, of: F.log(1 + 20 * F.col(x) / of)
-    values = (F.log(words), 3 * F.log(chars / words), share("n_symbols", words), share("n_repeat_words", words), share("n_upper", chars), share("n_points", words))
+    values = (F.log(words), 3 * F.log(chars / words), share("n_symbols", words), F.log(1 + 5 * F.col("n_repeat_words") / words), share("n_upper", chars), share("n_points", words))
     return [F.round(1000 * v).cast("bigint").alias(n) for n, v in zip(VECTOR, values, strict=True)]
 
 
