@@ -70,3 +70,9 @@ def pair_hashes(hashes: str, gap: int, size: Column) -> Column:
 def union_columns(names: Iterable[str], taken: Iterable[str]) -> list[str]:
     taken = set(taken)
     return [n for n in names if n not in taken]
+
+
+def without(docs: DataFrame, ids: DataFrame, inline: int = 1_000_000) -> DataFrame:
+    """docs whose doc_id isn't among ids (doc_id): broadcast up to `inline` ids, shuffled beyond."""
+    out = written(ids.distinct(), "ids")
+    return docs.join(F.broadcast(out) if out.count() <= inline else out, "doc_id", "left_anti").select(*docs.columns)

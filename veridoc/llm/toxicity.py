@@ -177,6 +177,19 @@ def score_documents(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", te
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text isn't predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.concatenate([np.zeros(0), *(shared.value.scores([v.as_py() or ""]) for v in batch.column(at))])
+            yield batch.filter(pa.array(s < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
