@@ -7,16 +7,27 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, ngram_jaccard, quality_rules, token_counts, toxicity, url_filter
+from . import byte_bpe, decontaminate, line_dedup, ngram_jaccard, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 from .common import table
 
 
+#: Whoever runs the query for real names a key of their own.
+PII_KEY = "veridoc example key"
+
+
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, listed = url_filter.default_lists(spark)
     out = url_filter.judge_urls(table(spark, sf_dir, "pages"), rules, listed, keep=("page_id",))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.fitted(docs, labels.where(~toxicity.held_out()))
+    out = quality_classifier.score_documents(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "text_score", "metadata_score", "score", "predicted", (F.col("predicted") == 1).alias("kept"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,6 +47,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(table(spark, sf_dir, "documents"), key=PII_KEY)
+    return out.select("doc_id", F.size("entities").cast("bigint").alias("n_entities"), F.array_join(F.transform("entities", lambda e: e["kind"]), ",").alias("kinds"), "text")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,7 +66,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op3_quality_rules, op4_ngram_jaccard, op5_toxicity, op6_byte_bpe, op8_token_counts, op9_line_dedup, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_ngram_jaccard, op5_toxicity, op6_byte_bpe, op7_pii, op8_token_counts, op9_line_dedup, op10_benchmark_decontamination)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
