@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import queries
+    from . import more_queries, queries  # noqa: F401
 
     return dict(queries.QUERIES)
 
 
 def all_oracles() -> dict[str, str]:
-    from . import queries
+    from . import more_queries, queries  # noqa: F401
 
     return dict(queries.ORACLE_SQL)
