@@ -76,7 +76,7 @@ def test_split_covers_and_is_disjoint(spark):
 def test_asof_header(spark):
     marks = spark.createDataFrame([(1, 50), (1, 3000)], "t int, at int")
     headers = spark.createDataFrame([(1, 10, 1), (1, 40, 2), (1, 60, 3)], "t int, at int, index int")
-    assert {r.at: r.index for r in L.asof_headers("t", marks, headers).collect()} == {50: "2", 3000: None}
+    assert {r.at: r["index"] for r in L.asof_headers("t", marks, headers).collect()} == {50: "2", 3000: None}
 
 
 def test_each_id_once(spark, tmp_path):

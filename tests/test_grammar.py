@@ -34,7 +34,7 @@ def test_full_report(spark):
     r = one(spark, FULL, R.parse_report(F.col("text")))
     assert (r.conclusion, r.risk_score, r.summary) == ("FORGED", 87, "Two places.")
     a, b = r.anomalies
-    assert (a.index, a.type, a.location, a.grounding) == (1, "Visual Clumsy", "total row", [10, 20, 30, 42])
+    assert (a["index"], a.type, a.location, a.grounding) == (1, "Visual Clumsy", "total row", [10, 20, 30, 42])
     assert a.reason == "edges differ\nand the font too" and a.forged_content == "1,200"
     assert (b.type, b.location, b.grounding, b.reason) == ("Logical Fraud", "", None, "sums are wrong")
 
