@@ -6,7 +6,8 @@ keyed digest: digits for digits, letters for letters of the same case, separator
 keep their first digit and their check digit's validity, names keep title, gender and script.
 
 Distinctness is checked over all distinct entities: if two share a replacement, or a replacement is itself an entity
-found somewhere, all but the smallest take their next candidate (the digest of the next attempt), until none is left.
+found somewhere, all but the smallest take their next candidate (the digest of the next attempt), until none is left (a format too small for all its entities is
+lengthened after a few attempts).
 Only entities that had to move on are ever joined back to documents; the others' replacements are computed in the row.
 
 Everything is DataFrame expressions.  Entities are reduced to distinct ones before any shuffle, so an entity in a third of
@@ -142,13 +143,15 @@ def _name(canon: Column, digest: Column) -> Column:
 def canonical_surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The replacement of an entity's canonical form."""
     d = _digest(key, kind, canon, attempt)
+    # Where a format is too small for all its entities, later attempts are longer.
+    room = F.repeat(F.lit("a0"), F.greatest(attempt - 3, F.lit(0)))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + F.pmod(_byte(d, i) * 251 + _byte(d, i + 9), F.lit(254))).cast("string")), ".")
     kept = lambda n: F.concat(F.substring(canon, 1, n), _by_class(F.substring(canon, F.lit(n + 1), F.length(canon)), d))
     end = F.regexp_extract(canon, r"(\.[^.]*)$", 1)
-    mail = F.concat(_by_class(F.substring(canon, F.lit(1), F.length(canon) - F.length(end)), d), end)
+    mail = F.concat(_by_class(F.concat(F.substring(canon, F.lit(1), F.length(canon) - F.length(end)), room), d), end)
     return (
         F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "key", kept(4)).when(kind == "iban", kept(2)).when(kind == "hex", _by_class(canon, d, 6))
-        .when(kind.isin("phone", "card", "ssn"), _new_digits(canon, kind, d)).when(kind == "name", _name(canon, d)).otherwise(_by_class(canon, d))
+        .when(kind.isin("phone", "card", "ssn"), _new_digits(canon, kind, d)).when(kind == "name", _name(canon, d)).otherwise(_by_class(F.concat(canon, room), d))
     )
 
 
@@ -178,7 +181,7 @@ def entities(text: Column) -> Column:
     return F.transform(found, one)
 
 
-def moved_entities(found: DataFrame, key: str, rounds: int = 12) -> DataFrame:
+def moved_entities(found: DataFrame, key: str, rounds: int = 24) -> DataFrame:
     """kind, canon, attempt (over 0) of entities whose first replacement isn't theirs alone.  found: kind, canon."""
     own = written(found.distinct(), "entities")
     state = own.withColumn("attempt", F.lit(0))
