@@ -2,22 +2,23 @@
 
 Documents are sets of hashed word shingles.  Documents with equal sets are one class and are joined once.
 
-1. Groups.  Shingles get one order for all documents: rare ones by hash, then those that many documents have (by
-   rising count).  Two sets that link share a shingle among the first n - ceil(0.8 n) + 1 of either.  For each shingle the
-   classes that have it there are sorted by size and only neighbours are tied (if their sizes allow a link at all), so a
-   shingle of a million documents makes a million ties, not their square.  Tied classes form the groups of similar
-   documents; what isn't tied can't link.  Groups above `most` classes are split by size band (links reach the next band
-   only) and by hash into blocks; each block is also asked about the members of the blocks that it could link with.
+1. Groups.  All sets are ordered by hash.  Two sets that link share at least 8 % of either's size among the first
+   n - ceil(0.8 n) + ceil(n / 10) shingles of both (an extended prefix), so a class fewer of whose prefix shingles are shared with
+   another class of suitable size is out; this sheds documents that only have a common passage.  For each shingle the
+   classes left are sorted by size and only neighbours are tied (if their sizes allow a link at all), so a shingle of
+   a million documents makes a million ties, not their square.  Tied classes form the groups of similar documents;
+   what isn't tied can't link.  Groups above `most` classes are split by size band (links reach the next band only) and by
+   hash into blocks; each block is also asked about the members of the blocks that it could link with.
 2. Matrix.  Inside a group the members are cut into small subgroups of neighbours; for each subgroup the union of its
    members' shingles is stored as a column of a sparse matrix.  A query's row sums bound its overlap with any member.
 3. Opening.  Only subgroups whose bound reaches 80 % of the larger set are opened; their members' overlaps are counted
    exactly.  Members known to be connected already are not compared again.  The task returns the links that connect.
 4. Components of those links, spread over classes and their documents.
 
-Scale: counts of shingles and prefixes travel as packed arrays, partitioned by hash ranges whose number follows the
-input, so a reducer's memory doesn't grow; the list of frequent shingles is bounded (`most_hot`; what it leaves out is
-only ordered less well, never lost).  Texts are shuffled only if more than `inline` classes are tied (below, their ids are
-broadcast).  Hot classes are one row; the join that spreads components over copies is one that can be split.
+Scale: prefixes travel as packed arrays, partitioned by hash ranges whose number follows the input, so a reducer's memory
+doesn't grow.  A block's members are bounded, and its queries pass by one at a time.  Texts are shuffled only if more than
+`inline` classes are tied (below, their ids are broadcast).  Hot classes are one row; the join that spreads components
+over copies is one that can be split.
 
 Defined cases: null, empty and blank texts have an empty set and are a component of their own; texts of fewer words than
 a shingle have one shingle, the whole sequence; very long texts are read whole; repeated rows each return a row; an
@@ -26,6 +27,7 @@ empty table returns no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -33,9 +35,9 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import written
+from .common import dropped, written
 from .graph import connected_components
 
 _U = np.uint64
@@ -106,50 +108,6 @@ def _packed_rows(ranges: np.ndarray, cuts: np.ndarray, payload: np.ndarray) -> p
     return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array([payload[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["bucket", "payload"])
 
 
-def frequent_shingles(docs: DataFrame, size: int, bits: int, least: int, most_hot: int, portion: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints (sorted) and counts of shingles that at least `least` documents have, the most frequent `most_hot`."""
-
-    def spread(batches):
-        held, total, seen = [], 0, set()
-
-        def flush():
-            tokens = np.sort(np.concatenate(held))
-            ranges, cuts = _ranges(tokens, bits)
-            return _packed_rows(ranges, cuts, ((tokens >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype("<u4"))
-
-        for _, sets in _sets(batches, size):
-            for s in sets:
-                key = (len(s), int(s[0]), int(s[-1])) if len(s) else None
-                if key is None or key in seen:
-                    continue
-                seen.add(key)
-                held.append(s)
-                total += len(s)
-                if total > portion:
-                    yield flush()
-                    held, total = [], 0
-                    if len(seen) > 200_000:
-                        seen = set()
-        if held:
-            yield flush()
-
-    def count(batches: Iterator[pa.RecordBatch]):
-        # One hash range after another: its size is bounded by the number of ranges.
-        for key, parts in _by_bucket(batches):
-            f = np.sort(np.concatenate([np.frombuffer(p, "<u4") for p in parts]))
-            first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-            n = np.diff(np.r_[first, len(f)])
-            hot = n >= least
-            yield pa.RecordBatch.from_arrays([pa.array((np.int64(key) << 32) | f[first[hot]].astype(np.int64), pa.int64()), pa.array(n[hot], pa.int64())], names=["f", "n"])
-
-    packed = docs.mapInArrow(spread, "bucket bigint, payload binary")
-    counted = _grouped(packed, count, "f bigint, n bigint")
-    top = counted.orderBy(F.desc("n"), "f").limit(most_hot).toArrow()
-    f, n = top.column("f").to_numpy(), top.column("n").to_numpy()
-    order = np.argsort(f)
-    return f[order], n[order]
-
-
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
     key, parts = None, []
     for batch in batches:
@@ -170,23 +128,20 @@ def _grouped(packed: DataFrame, run, schema: str) -> DataFrame:
 
 
 def prefix_length(n: int) -> int:
-    return n - -(-4 * n // 5) + 1
+    return min(n, n - -(-4 * n // 5) + -(-n // 10))
 
 
-def ties(docs: DataFrame, size: int, bits: int, hot: tuple[np.ndarray, np.ndarray], portion: int = 2_000_000) -> DataFrame:
-    """a, b: digests of classes that share a prefix shingle, neighbours in size; connected wherever a link is possible."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    shift = _U(32 - bits)
+def shared_prefixes(docs: DataFrame, size: int, bits: int, portion: int = 2_000_000) -> DataFrame:
+    """f, n, d: prefix shingles (fingerprints) that at least two classes of suitable sizes have, with those classes."""
 
     def spread(batches):
-        f, counts = shared.value
         held, total, seen = [], 0, set()
 
         def flush():
             tokens = np.concatenate([h[0] for h in held])
             payload = np.empty(len(tokens), _PACKED)
             sizes = [len(h[0]) for h in held]
-            payload["f"] = ((tokens >> shift) & _U(0xFFFFFFFF)).astype("<u4")
+            payload["f"] = ((tokens >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype("<u4")
             payload["n"] = np.repeat([min(h[1], 0xFFFFFFFF) for h in held], sizes)
             payload["d"] = np.repeat(np.array([h[2] for h in held], np.int64), sizes)
             order = np.argsort(tokens, kind="stable")
@@ -202,17 +157,7 @@ def ties(docs: DataFrame, size: int, bits: int, hot: tuple[np.ndarray, np.ndarra
                     continue
                 seen.add(d)
                 p = prefix_length(len(s))
-                if len(f):
-                    mine = (s >> shift).astype(np.int64)
-                    at = np.minimum(np.searchsorted(f, mine), len(f) - 1)
-                    n = np.where(f[at] == mine, counts[at], 0)
-                    if n[:p].any():
-                        s_ = s[np.argsort(n, kind="stable")]  # rare ones keep their order
-                    else:
-                        s_ = s
-                else:
-                    s_ = s
-                held.append((s_[:p], len(s), d))
+                held.append((s[:p], len(s), d))
                 total += p
                 if total > portion:
                     yield flush()
@@ -222,17 +167,26 @@ def ties(docs: DataFrame, size: int, bits: int, hot: tuple[np.ndarray, np.ndarra
         if held:
             yield flush()
 
-    def tie(batches: Iterator[pa.RecordBatch]):
-        for _, parts in _by_bucket(batches):
+    def meet(batches: Iterator[pa.RecordBatch]):
+        for key, parts in _by_bucket(batches):
             x = np.concatenate([np.frombuffer(p, _PACKED) for p in parts])
             x = x[np.lexsort((x["d"], x["n"], x["f"]))]
-            a, b = x[:-1], x[1:]
-            near = (a["f"] == b["f"]) & (a["d"] != b["d"]) & (5 * a["n"].astype(np.int64) >= 4 * b["n"].astype(np.int64))
-            pairs = np.unique(np.c_[np.minimum(a["d"], b["d"])[near], np.maximum(a["d"], b["d"])[near]], axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+            x = x[np.r_[True, (x["f"][1:] != x["f"][:-1]) | (x["d"][1:] != x["d"][:-1])]]
+            near = (x["f"][:-1] == x["f"][1:]) & (5 * x["n"][:-1].astype(np.int64) >= 4 * x["n"][1:].astype(np.int64))
+            x = x[np.r_[near, False] | np.r_[False, near]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(key) << 32) | x["f"].astype(np.int64), pa.int64()), pa.array(x["n"].astype(np.int64), pa.int64()), pa.array(x["d"], pa.int64())], names=["f", "n", "d"])
+
+    return _grouped(docs.mapInArrow(spread, "bucket bigint, payload binary"), meet, "f bigint, n bigint, d bigint")
+
 
-    return _grouped(docs.mapInArrow(spread, "bucket bigint, payload binary"), tie, "a bigint, b bigint")
+def ties(shared: DataFrame) -> DataFrame:
+    """a, b: classes that share a prefix shingle, neighbours in size; connected wherever a link is possible."""
+    enough = shared.groupBy("d", "n").agg(F.count(F.lit(1)).alias("m")).where("25 * m >= 2 * n").select("d")
+    left = shared.join(enough, "d", "left_semi")
+    w = Window.partitionBy("f").orderBy("n", "d")
+    pairs = left.select("d", "n", F.lag("d").over(w).alias("a"), F.lag("n").over(w).alias("an")).where("5 * an >= 4 * n AND a <> d")
+    return pairs.select("a", F.col("d").alias("b"))
 
 
 class TokenGroupMatrix:
@@ -276,69 +230,95 @@ class TokenGroupMatrix:
         return np.add.reduceat(hit, self.begin[a:b] - self.begin[a], dtype=np.int64)
 
 
-def connect(members: list[np.ndarray], queries: list[np.ndarray], inner: bool = True) -> list[tuple[int, int]]:
-    """Links that connect all that links connect: members are 0.., queries follow.  inner: also among members."""
-    matrix = TokenGroupMatrix(members)
-    m = len(members)
-    label = np.arange(m + len(queries))  # by place: members in the matrix's order, then queries
-    out = []
-    asked = [(p, members[i]) for p, i in enumerate(matrix.order)] if inner else []
-    for p, tokens in [*asked, *((m + j, q) for j, q in enumerate(queries))]:
-        n = len(tokens)
+class Block:
+    """A block's members, and queries against them one at a time; gives links that connect all that links connect."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+        self.matrix = TokenGroupMatrix(sets)
+        self.ids = [ids[i] for i in self.matrix.order]
+        self.label = np.arange(len(ids))  # by place in the matrix
+
+    def ask(self, tokens: np.ndarray, own: int | None = None) -> list[int]:
+        """Ids of members that join the query to what it isn't joined to yet.  own: its place, if it is a member."""
+        matrix, label, n = self.matrix, self.label, len(tokens)
+        mine = None if own is None else label[own]
+        out: list[int] = []
         found = matrix.locate(tokens)
         if 5 * len(found) < 4 * n:
-            continue
+            return out
         for g in matrix.qualifying(found, n):
             a, b = matrix.first[g], matrix.last[g]
-            open_to = label[a:b] != label[p]
-            if not open_to.any():
+            if mine is not None and (label[a:b] == mine).all():
                 continue
             both = matrix.overlaps(g, found)
-            linked = open_to & (5 * both >= 4 * (n + matrix.sizes[a:b] - both))
-            for k in np.flatnonzero(linked):
-                if label[a + k] != label[p]:
-                    label[label == label[a + k]] = label[p]
-                    out.append((p if p >= m else matrix.order[p], matrix.order[a + k]))
-    return out
+            for k in np.flatnonzero(5 * both >= 4 * (n + matrix.sizes[a:b] - both)):
+                other = label[a + k]
+                if other != mine:
+                    out.append(self.ids[a + k])
+                    if mine is None:
+                        mine = other
+                    else:
+                        label[label == other] = mine
+        return out
+
+    def inner(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        return [(self.ids[p], i) for p, k in enumerate(self.matrix.order) for i in self.ask(sets[k], p)]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the documents of each block; rows of a partition come sorted by block."""
-
-    def links(rows):
-        block: dict[int, list] = {}
-        for home, role, rep, payload in rows:
-            block.setdefault(role, []).append((rep, np.frombuffer(payload, _U)))
-        members, queries = block.get(0, []), block.get(1, [])
-        if not members or len(members) + len(queries) < 2:
-            return []
-        ids = [r for r, _ in [*members, *queries]]
-        return [(ids[a], ids[b]) for a, b in connect([s for _, s in members], [s for _, s in queries])]
-
-    home, rows = None, []
+    """Links within blocks; rows of a partition come by block, members before queries."""
+    home, ids, sets, block, out = None, [], [], None, []
+
+    def built() -> Block:
+        made = Block(ids, sets)
+        out.extend(made.inner(sets))
+        return made
+
     for batch in batches:
-        out = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != home and rows:
-                out += links(rows)
-                rows = []
-            home = row[0]
-            rows.append(row)
+        for i in range(batch.num_rows):
+            h, role, rep = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+            tokens = np.frombuffer(batch.column(3)[i].as_buffer(), _U)
+            if h != home:
+                if block is None and len(ids) > 1:
+                    built()
+                home, ids, sets, block = h, [], [], None
+            if role == 0:
+                ids.append(rep)
+                sets.append(tokens.copy())
+            elif ids:
+                block = block or built()
+                out.extend((rep, x) for x in block.ask(tokens))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-    if rows and (out := links(rows)):
+            out.clear()
+    if block is None and len(ids) > 1:
+        built()
+    if out:
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def similar_components(docs: DataFrame, *, size: int = 5, doc_id: str = "doc_id", text: str = "text", hot: int = 24, most_hot: int = 200_000, most: int = 768, inline: int = 400_000, per_range: int = 1_000_000) -> DataFrame:
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows while tables of long rows are written."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def similar_components(docs: DataFrame, *, size: int = 5, doc_id: str = "doc_id", text: str = "text", most: int = 768, inline: int = 400_000, per_range: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links of similarity 0.8 or more)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = written(signatures(rows, size), "signatures")
     total = signed.agg(F.sum("n")).first()[0] or 0
     bits = min(24, max(6, math.ceil(math.log2(max(1, total / per_range)))))
-    frequent = frequent_shingles(rows, size, bits, hot, most_hot)
-    tied = connected_components(ties(rows, size, bits, frequent))
+    shared = written(shared_prefixes(rows, size, bits), "shared")
+    tied = connected_components(ties(shared))
+    dropped(shared)
     classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     grouped = written(classes.join(tied.select(F.col("node").alias("d1"), F.col("component").alias("tie")), "d1"), "grouped")
     # Large groups: bands of sizes that can link with the next only, in blocks of bounded size.
@@ -367,7 +347,7 @@ def similar_components(docs: DataFrame, *, size: int = 5, doc_id: str = "doc_id"
                 payload = s.tobytes()
                 out += [(h["home"], h["role"], rep, payload) for h in homes]
                 held += len(payload) * len(homes)
-                if held > 32_000_000:
+                if held > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=names)
                     out, held = [], 0
             if out:
@@ -376,7 +356,8 @@ def similar_components(docs: DataFrame, *, size: int = 5, doc_id: str = "doc_id"
     kinds, names = (pa.int64(), pa.int32(), pa.int64(), pa.binary()), ["home", "role", "rep", "payload"]
     sent = wanted.mapInArrow(send, "home bigint, role int, rep bigint, payload binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = sent.repartition(parts, "home").sortWithinPartitions("home").mapInArrow(_verify, "a bigint, b bigint")
+    with _small_batches(spark, 500):
+        links = written(sent.repartition(parts, "home").sortWithinPartitions("home", "role").mapInArrow(_verify, "a bigint, b bigint"), "links")
     joined = connected_components(links)
     spread = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     return signed.join(spread, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
