@@ -5,7 +5,7 @@ an exact comparison of the bytes).  Tier two: a miss is merged from its single b
 heap of (rank, place) yields the next merge; a pre-token of n bytes costs n log n however long it is.
 
 Texts are cut at the pre-tokenizer's pattern.  Nothing in it crosses a single space that follows a non-blank, so texts are
-first split at such spaces and the pieces' ids are remembered per worker (a bounded memo, emptied when full).  One pass
+first split at such spaces and the parts' ids are remembered per worker (in bounded memos).  One pass
 over the texts in Arrow batches; no shuffle; the tables travel as one broadcast of the vocabulary's size.
 
 Defined cases: null text counts as empty and gives no ids; empty text gives no ids; texts of any length are encoded
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 _M64 = (1 << 64) - 1
+_BLANKS_THEN_SPACE = re.compile(r"(?:\s|^) ")
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -88,21 +90,25 @@ class PerfectHash:
 def heap_merge(piece: bytes, rank: Callable[[bytes], int | None]) -> list[int]:
     """Ids of a pre-token's bytes after all merges, lowest rank first, leftmost first among equals."""
     n = len(piece)
-    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of a swallowed byte, after is -1
+    # An entry is one integer: rank, place, end.  It is stale unless the place's neighbour still ends there.
+    bits = n.bit_length()
+    mask, twice = (1 << bits) - 1, 2 * bits
+    heap = [r << twice | i << bits | i + 2 for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
     heapify(heap)
     while heap:
-        _, i, end = heappop(heap)
-        if not alive[i] or (j := after[i]) >= n or after[j] != end:
+        x = heappop(heap)
+        i, end = x >> bits & mask, x & mask
+        j = after[i]
+        if j < 0 or j >= n or after[j] != end:
             continue
-        alive[j] = False
-        after[i] = end
+        after[j], after[i] = -1, end
         if end < n:
             before[end] = i
             if (r := rank(piece[i : after[end]])) is not None:
-                heappush(heap, (r, i, after[end]))
-        if (p := before[i]) >= 0 and (r := rank(piece[p:end])) is not None:
-            heappush(heap, (r, p, end))
+                heappush(heap, r << twice | i << bits | after[end])
+        if i and (r := rank(piece[(p := before[i]) : end])) is not None:
+            heappush(heap, r << twice | p << bits | end)
     ids, i = [], 0
     while i < n:
         if (r := rank(piece[i : after[i]])) is None:
@@ -112,45 +118,58 @@ def heap_merge(piece: bytes, rank: Callable[[bytes], int | None]) -> list[int]:
     return ids
 
 
+class Memo(dict):
+    """Computes what is missing; when full, what wasn't used since the last time goes.  Very long keys aren't kept."""
+
+    def __init__(self, compute: Callable[[str], tuple[int, ...]], size: int, longest: int = 200):
+        super().__init__()
+        self.compute, self.size, self.longest, self.old = compute, size, longest, {}
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class ByteBPE:
     def __init__(self, tokens: Sequence[bytes], pattern: str, table: PerfectHash | None = None, memo: int = 300_000):
-        self.tokens, self.table, self.memo = list(tokens), table or PerfectHash(tokens), memo
+        self.tokens, self.table = list(tokens), table or PerfectHash(tokens)
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.pieces = Memo(self._piece, memo)
+        self.parts = Memo(lambda part: self._text(" " + part), memo)
 
-    def rank(self, piece: bytes) -> int | None:
+    def _piece(self, text: str) -> tuple[int, ...]:
+        piece = text.encode()
         i = self.table(piece)
-        return i if i < len(self.tokens) and self.tokens[i] == piece else None
-
-    def _pieces(self, text: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for m in self.pattern.findall(text):
-            piece = m.encode()
-            i = self.rank(piece)
-            out += [i] if i is not None else heap_merge(piece, self.ranks.get)
-        return tuple(out)
-
-    def parts(self, text: str) -> Iterator[str]:
-        """Cuts at single spaces after a non-blank; all but the first part begin with their space."""
-        held = ""
-        for i, part in enumerate(text.split(" ")):
-            held = f"{held} {part}" if i else part
-            if part and not part[-1].isspace():
-                yield held
-                held = ""
-        if held:
-            yield held
+        if i < len(self.tokens) and self.tokens[i] == piece:
+            return (i,)
+        return tuple(heap_merge(piece, self.ranks.get))
+
+    def _text(self, text: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text))))
 
     def encode(self, text: str) -> list[int]:
-        known = self.known
-        parts = list(self.parts(text)) or [""]
-        for p in set(parts):
-            if p not in known:
-                known[p] = self._pieces(p)
-        ids = list(chain.from_iterable(map(known.__getitem__, parts)))
-        if len(known) > self.memo or len(parts[0]) > 4096:
-            known.clear()
+        first, *rest = text.split(" ")
+        if _BLANKS_THEN_SPACE.search(text):
+            # Runs of blanks that end in a space stay whole: parts are joined again behind a blank.
+            joined, held = [], first
+            for part in rest:
+                if held and not held[-1].isspace():
+                    joined.append(held)
+                    held = part
+                else:
+                    held = f"{held} {part}"
+            first, *rest = [*joined, held]
+        ids = list(self._text(first))
+        ids.extend(chain.from_iterable(map(self.parts.__getitem__, rest)))
         return ids
 
     def decode(self, ids: Iterable[int]) -> bytes:
