@@ -53,6 +53,8 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)",
     "name": r"(?<![\p{L}])(?:" + _TITLE + r")\.? \p{Lu}\p{Ll}+(?:[ \-]\p{Lu}\p{Ll}+){0,2}",
 }
+#: What a text must have to hold any entity: cheap to look for.
+HINTS = (r"[0-9@]", r"AKIA|ASIA", r"(?i)(?:password|passwd|pwd|secret|token|api_key)[=:]", rf"(?:{_TITLE})\.? \p{{Lu}}")
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -178,7 +180,9 @@ def entities(text: Column) -> Column:
         part = F.when(kind == "name", F.regexp_extract(e, rf"^((?:{_TITLE})\.? )", 1)).otherwise("")
         return F.struct(e.alias("entity"), kind.alias("kind"), canonical(e, kind).alias("canon"), part.alias("title_part"))
 
-    return F.transform(found, one)
+    # The whole pattern is dear, and most texts have no entity: it only runs where a hint is found.
+    hinted = reduce(lambda a, b: a | b, (text.rlike(h) for h in HINTS))
+    return F.when(hinted, F.transform(found, one)).when(text.isNotNull(), F.array().cast("array<struct<entity:string,kind:string,canon:string,title_part:string>>"))
 
 
 def moved_entities(found: DataFrame, key: str, rounds: int = 24) -> DataFrame:
