@@ -316,6 +316,23 @@ def test_line_dedup(spark, inline):
     assert line_dedup.dedup_lines(again.limit(0)).count() == 0
 
 
+def test_line_dedup_every_partner(spark):
+    """Lines around one line: many leave the same shorter line by leaving out different words, two edits apart."""
+    p = [f"p{i}" for i in range(12)]
+    rng = random.Random(5)
+    lines = [p[:2] + ["x"] + p[2:], p, p[:9] + ["y"] + p[9:], p[:2] + p[3:], p[:9] + p[10:]]
+    lines += [[f"{w}{k}" for w in line] for k, line in enumerate(lines[::-1])]
+    for _ in range(120):
+        w = [f"{x}z" for x in p]
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            k = rng.randrange(len(w))
+            w[k : k + rng.choice([0, 1, 1])] = rng.choice([[], ["u"], ["v"]])
+        lines.append(w)
+    kept = [i for i, w in enumerate(lines) if not any(w == e or (len(w) >= 10 and len(e) >= 10 and close(w, e)) for e in lines[:i])]
+    got = line_dedup.dropped_lines(frame(spark, [" ".join(w) for w in lines])).collect()
+    assert sorted(set(range(len(lines))) - {r.doc_id for r in got}) == kept and kept[0] == 0 and 2 not in kept
+
+
 # --- 10 decontamination -----------------------------------------------------------------------------------------
 
 

@@ -9,9 +9,12 @@ edit (a word put in, left out or exchanged).  Lines of fewer than `least_words`
    distinct lines that share a half's hash with another can have a neighbour.  Four keys a line find them.
 3. Neighbourhood: suspects emit every deletion variant as a hashed key: for an exchange, the line without word i together
    with i and the length; for a word put in or left out, the line without word i against the whole shorter line.  Only
-   the half in which the edit must be is varied.  Lines that share a key are all within one edit of each other, so the
-   earliest place per key (an aggregation, no pairs) is every line's partner.
-4. Each (line, partner) is verified on the words' own hashes; then texts are written without the dropped lines.
+   the half in which the edit must be is varied.  Two lines that each become the same shorter one by leaving out different
+   words are two edits apart, so a key's whole line and its variants are kept apart: the whole line's partner is the
+   earliest variant's line, each variant's partner the whole line.  Lines that share an exchange's key are all within one
+   edit; their partner is the earliest (aggregations, no pairs).
+4. Each (line, key's partner) is verified on the words' own hashes, and a line goes if any of them holds; then texts are
+   written without the dropped lines.
 
 Scale: a line that holds a third of all lines is summed before each shuffle, and joins on a line's or variant's key are
 ones that can be split.  Documents are read three times and only shuffled if more than `inline` documents are
@@ -77,7 +80,7 @@ def lines_of(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
 
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("halves", pa.list_(pa.int64()))])
-_VARIANTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32())])
+_VARIANTS = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("line", pa.int32())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -105,8 +108,12 @@ def _word_hashes(docs: DataFrame, at: DataFrame, inline: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, line int, flags int, words array<bigint>")
 
 
-def variant_keys(words: np.ndarray, flags: int) -> np.ndarray:
-    """Hashed keys of a line: itself, its one-word deletions against shorter lines, and with place and length for exchanges.
+#: Kinds of keys: a whole line, a line without a word, a line without a word whose place and length count.
+_WHOLE, _SHORTER, _EXCHANGE = 0, 1, 2
+
+
+def variant_keys(words: np.ndarray, flags: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed keys of a line and their kinds: itself, its one-word deletions against shorter lines, and with place and length for exchanges.
 
     flags: 1 if a first half is shared (so the second may be edited), 2 if a second half is.
     """
@@ -130,17 +137,19 @@ def variant_keys(words: np.ndarray, flags: int) -> np.ndarray:
             return x ^ (x >> _U(29))
 
         alone = _U((1 << 40) - 1)
-        return np.r_[mixed(np.array([whole]), n, alone), mixed(without, n - 1, alone), mixed(without, n, edit.astype(_U))].view(np.int64)
+        shorter = np.unique(mixed(without, n - 1, alone))
+        keys = np.r_[mixed(np.array([whole]), n, alone), shorter, mixed(without, n, edit.astype(_U))].view(np.int64)
+        return keys, np.repeat(np.array([_WHOLE, _SHORTER, _EXCHANGE], np.int8), [1, len(shorter), len(edit)])
 
 
 def _variants(suspects: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, line, flags, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                keys = np.unique(variant_keys(words.values.to_numpy(), flags))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), doc, np.int64)), pa.array(np.full(len(keys), line, np.int32))], schema=_VARIANTS)
+                keys, kinds = variant_keys(words.values.to_numpy(), flags)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), pa.array(np.full(len(keys), doc, np.int64)), pa.array(np.full(len(keys), line, np.int32))], schema=_VARIANTS)
 
-    return suspects.mapInArrow(_merged(run, 100_000), "key bigint, doc_id bigint, line int")
+    return suspects.mapInArrow(_merged(run, 100_000), "key bigint, kind tinyint, doc_id bigint, line int")
 
 
 def _merged(run, rows: int):
@@ -193,8 +202,11 @@ def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     at = written(flags.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set(F.struct(F.col("first.line").alias("line"), (F.col("p") + F.col("s")).alias("flags"))).alias("lines")), "at")
     suspects = written(_word_hashes(rows, at, inline).dropDuplicates(["doc_id", "line"]), "suspects")
     variants = written(_variants(suspects), "variants")
-    earliest = variants.groupBy("key").agg(F.min(place).alias("partner"), F.max(place).alias("latest")).where("partner != latest").select("key", "partner")
-    partners = variants.join(earliest, "key").where(F.struct("doc_id", "line") != F.col("partner")).groupBy("doc_id", "line").agg(F.min("partner").alias("partner"))
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, place))
+    earliest = variants.groupBy("key").agg(first(_WHOLE).alias("whole"), first(_SHORTER).alias("shorter"), first(_EXCHANGE).alias("exchanged"), F.max(place).alias("latest"))
+    earliest = earliest.where((F.col("whole").isNotNull() & F.col("shorter").isNotNull()) | (F.col("exchanged") != F.col("latest"))).drop("latest")
+    partner = F.when(F.col("kind") == _WHOLE, F.col("shorter")).when(F.col("kind") == _SHORTER, F.col("whole")).otherwise(F.col("exchanged"))
+    partners = variants.join(earliest, "key").withColumn("partner", partner).where(F.col("partner") < place).select("doc_id", "line", "partner").distinct()
     of = suspects.select(F.col("doc_id").alias("p_doc"), F.col("line").alias("p_line"), F.col("words").alias("p_words"))
     pairs = partners.join(suspects, ["doc_id", "line"]).join(of, (F.col("partner.doc_id") == F.col("p_doc")) & (F.col("partner.line") == F.col("p_line"))).select("doc_id", "line", "words", "p_words")
     near = written(_verified(pairs), "near")
