@@ -13,7 +13,9 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from veridoc.llm import byte_bpe, decontaminate, graph, line_dedup, ngram_jaccard as jac, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from veridoc.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, item_id string"
 
@@ -333,6 +335,27 @@ def test_line_dedup_every_partner(spark):
     assert sorted(set(range(len(lines))) - {r.doc_id for r in got}) == kept and kept[0] == 0 and 2 not in kept
 
 
+def test_line_dedup_short_lines(spark, tmp_path):
+    """The query and the pipeline's stage drop repeats of every line with a word, and near ones from five words on."""
+    texts = ["a\nb c\n\nnot this one", "a\nonce\nb  c\n\na b c d e f", "a b c d e\nv w x y\nv w x z"] + line_corpus()[3:]
+    earlier, expected = [], []
+    for t in texts:
+        keep = []
+        for line in t.split("\n"):
+            w = line.split()
+            drop = bool(w) and any(w == e or (min(len(w), len(e)) >= 5 and close(w, e)) for e in earlier)
+            earlier += [w] if w else []
+            keep += [] if drop else [line]
+        expected.append("\n".join(keep))
+    docs = frame(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op9_line_dedup"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.text_sha256 for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in expected]
+    assert expected[1:3] == ["once\n\na b c d e f", "v w x y\nv w x z"]
+    stage = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    assert stage == {i: t for i, t in enumerate(expected) if t == texts[i] or t.strip()}
+
+
 # --- 10 decontamination -----------------------------------------------------------------------------------------
 
 

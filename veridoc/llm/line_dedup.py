@@ -2,7 +2,8 @@
 
 A line (between newlines) is its sequence of words.  Order is (doc_id, line number).  A line is dropped if an earlier line has
 the same words, or, for lines of `near_words` words and more, if its words become an earlier line's by at most one
-edit (a word put in, left out or exchanged).  Lines of fewer than `least_words` words always stay.
+edit (a word put in, left out or exchanged).  Lines of fewer than `least_words` words always stay; with WHOLE, which
+the query and the pipeline use, every line with a word takes part, and lines of five words and more match nearly.
 
 1. Equal lines: each distinct sequence's earliest place (one aggregation on a 128-bit hash).
 2. Suspects: two sequences within one edit have equal first or equal second halves (of the shorter one's length), so only
@@ -36,6 +37,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import dropped, written
 
+#: Parameters of the whole job.
+WHOLE = {"least_words": 1, "near_words": 5}
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 

@@ -57,7 +57,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), **line_dedup.WHOLE)
     return out.select("doc_id", "n_lines", "n_dropped", "n_near", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
