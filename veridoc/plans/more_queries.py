@@ -238,10 +238,21 @@ THINK = f"concat('--- STAGE 1: Knowledge Preparation ---', chr(10), {SAID}, chr(
 ONE = f"concat('--- STAGE 1: Knowledge Preparation ---', CASE WHEN trim({SAID}) = '' THEN '' ELSE concat(chr(10), rtrim({SAID})) END)"
 
 
+def _whole(sql):
+    """The same SQL over whole texts."""
+    return sql.replace("substring(text, 1, 200)", "text")
+
+
 def _on_trace(name, expression, sql=None):
+    # SQL that names a prefix is kept; the query over whole texts then stands beside it.
+    cut = bool(sql) and SAID in sql
+
     @query(name, sql and f"SELECT conv_id, turn, {sql} AS value FROM conversations")
     def _(spark, d):
-        return I.traces(spark, d).select("conv_id", "turn", expression.alias("value"))
+        return I.traces(spark, d, 200 if cut else None).select("conv_id", "turn", expression.alias("value"))
+
+    if cut:
+        _on_trace(f"{name}_whole", expression, _whole(sql))
 
 
 RAW, THOUGHT = F.col("raw"), F.col("think")
@@ -274,10 +285,22 @@ def _(spark, d):
     return I.reports(spark, d).select("doc", F.array_join(F.get(T.groundings(new), F.lit(0)).cast("array<string>"), ",").alias("first"))
 
 
-@query("h25_validate", f"SELECT conv_id, turn, turn % 2 = 0 AS report_match, CASE WHEN contains(lower({SAID}), 'as revealed') THEN 'as revealed' END AS forbidden_phrase, turn % 2 = 0 AND NOT contains(lower({SAID}), 'as revealed') AS ok FROM conversations")
-def _(spark, d):
+VALIDATED = f"SELECT conv_id, turn, turn % 2 = 0 AS report_match, CASE WHEN contains(lower({SAID}), 'as revealed') THEN 'as revealed' END AS forbidden_phrase, turn % 2 = 0 AND NOT contains(lower({SAID}), 'as revealed') AS ok FROM conversations"
+
+
+def _validated(traces):
     wanted = F.concat(F.lit("# FORGERY ANALYSIS REPORT  body "), F.when(F.col("turn") % 2 == 0, F.col("turn").cast("string")).otherwise("x"), F.lit("\n**END OF REPORT** tail"))
-    return I.traces(spark, d).select("conv_id", "turn", T.validation(RAW, wanted).alias("v")).select("conv_id", "turn", "v.report_match", "v.forbidden_phrase", "v.ok")
+    return traces.select("conv_id", "turn", T.validation(RAW, wanted).alias("v")).select("conv_id", "turn", "v.report_match", "v.forbidden_phrase", "v.ok")
+
+
+@query("h25_validate", VALIDATED)
+def _(spark, d):
+    return _validated(I.traces(spark, d, 200))
+
+
+@query("h25_validate_whole", _whole(VALIDATED))
+def _(spark, d):
+    return _validated(I.traces(spark, d))
 
 
 JUDGED = "SELECT p_partkey, CAST(least(100, p_size * 3) AS DOUBLE) AS factuality, CASE WHEN p_partkey % 3 = 2 THEN 0.0 ELSE CAST(p_partkey % 90 AS DOUBLE) END AS reasoning FROM part"
@@ -401,7 +424,7 @@ def _(spark, d):
 
 @query("i03_fit_sample")
 def _(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"), F.substring("text", 1, 400).alias("target"))
+    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"), F.col("text").alias("target"))
     return budget.fitted_pairs(docs, "prompt", "target", 200).select("doc_id", "fitted.status", F.length("fitted.prompt").alias("prompt_chars"))
 
 
