@@ -28,3 +28,11 @@ def test_fit_sample(spark, tmp_path):
     got = {r.doc_id: (r.status, r.prompt_chars) for r in all_queries()["i03_fit_sample"](spark, str(tmp_path)).collect()}
     fit = [budget.fit_pair(t, t, lambda x: len(x.split()), 200) or (None, None, "too_long") for t in texts]
     assert got == {i: (s, None if p is None else len(p)) for i, (p, _, s) in enumerate(fit)}
+
+
+def test_all_parts(spark, tmp_path):
+    from veridoc.plans import all_queries
+
+    spark.createDataFrame([(i,) for i in (0, 50, 2500, 100_001, 123_456, 123_457)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.part: r.n for r in all_queries()["a10_cot_scan_all"](spark, str(tmp_path)).collect()}
+    assert got == {"part000": 2, "part025": 1, "part1000": 1, "part1234": 2}

@@ -57,6 +57,13 @@ def _(spark, d):
     return read(spark, d, "documents").where("doc_id < 2000").groupBy(files.part_of(path).alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("a10_cot_scan_all", "SELECT printf('part%03d', doc_id // 100) AS part, count(*) AS n FROM documents GROUP BY 1")
+def _(spark, d):
+    """All parts; a10_cot_scan is the evaluation's range 000 to 019."""
+    path = F.format_string("root/part%03d/x.cot.json", F.expr("doc_id div 100"))
+    return read(spark, d, "documents").groupBy(F.regexp_extract(path, r"(part\d{3,})", 1).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a11_img_scan", f"WITH {META_SQL} SELECT image_file FROM meta WHERE image_file LIKE '%.jpg' ORDER BY image_file LIMIT 30")
 def _(spark, d):
     return L.head(I.meta(spark, d).select("image_file").where(F.lower("image_file").rlike(r"\.(?:jpe?g|png)$") & ~F.lower("image_file").endswith(".png")), 30, "image_file")
