@@ -267,6 +267,13 @@ def test_pii_collisions(spark):
     assert len(set(made)) == 60 and not set(made) & {f"{i:02d}" for i in range(60)}
 
 
+def test_pii_names_lengthen(spark):
+    """One-part names have 65,536 replacements of the first length; later attempts have more."""
+    names = spark.range(100_000).select(F.concat(F.lit("m|n"), F.col("id").cast("string")).alias("canon"))
+    made = lambda n: names.select(pii.canonical_surrogate(F.lit("name"), F.col("canon"), F.lit(n), "k").alias("s")).distinct().count()
+    assert made(3) <= 65_536 < 95_000 < made(6)
+
+
 # --- 9 line dedup -----------------------------------------------------------------------------------------------
 
 

@@ -6,8 +6,8 @@ keyed digest: digits for digits, letters for letters of the same case, separator
 keep their first digit and their check digit's validity, names keep title, gender and script.
 
 Distinctness is checked over all distinct entities: if two share a replacement, or a replacement is itself an entity
-found somewhere, all but the smallest take their next candidate (the digest of the next attempt), until none is left (a format too small for all its entities is
-lengthened after a few attempts).
+found somewhere, all but the smallest take their next candidate (the digest of the next attempt), until none is left (emails, names
+and passwords are lengthened after a few attempts; the other formats keep their length).
 Only entities that had to move on are ever joined back to documents; the others' replacements are computed in the row.
 
 Everything is DataFrame expressions.  Entities are reduced to distinct ones before any shuffle, so an entity in a third of
@@ -127,8 +127,8 @@ def _new_digits(canon: Column, kind: Column, digest: Column) -> Column:
     return F.when(kind == "card", F.concat(card, F.when(valid, check).otherwise(F.pmod(check + 1 + F.pmod(_byte(digest, F.lit(40)), F.lit(9)), F.lit(10))).cast("string"))).otherwise(drawn)
 
 
-def _name(canon: Column, digest: Column) -> Column:
-    """canon is gender|name, and so is the result."""
+def _name(canon: Column, digest: Column, attempt: Column) -> Column:
+    """canon is gender|name, and so is the result; from the fourth attempt on its end is a syllable longer each time."""
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     gender = F.substring(canon, 1, 1)
     given = reduce(lambda out, k: out.when((script == k[0]) & (gender == k[1]), _pick(NAMES[k], _byte(digest, F.lit(0)))), NAMES, F.when(F.lit(False), ""))
@@ -139,7 +139,9 @@ def _name(canon: Column, digest: Column) -> Column:
 
     parts = F.size(F.split(canon, "[ -]"))
     made = F.when(parts == 1, family(1)).when(parts == 2, F.concat(given, F.lit(" "), family(1))).otherwise(F.concat(given, F.lit(" "), family(1), F.lit(" "), family(7)))
-    return F.concat(gender, F.lit("|"), made)
+    more = lambda s: F.array_join(F.transform(F.sequence(F.lit(4), attempt), lambda i: _pick(SYLLABLES[s], _byte(digest, i + 10))), "")
+    longer = F.when(script == "cyrillic", more("cyrillic")).when(script == "greek", more("greek")).otherwise(more("latin"))
+    return F.concat(gender, F.lit("|"), made, F.when(attempt > 3, longer).otherwise(""))
 
 
 def canonical_surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
@@ -153,7 +155,7 @@ def canonical_surrogate(kind: Column, canon: Column, attempt: Column, key: str)
     mail = F.concat(_by_class(F.concat(F.substring(canon, F.lit(1), F.length(canon) - F.length(end)), room), d), end)
     return (
         F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "key", kept(4)).when(kind == "iban", kept(2)).when(kind == "hex", _by_class(canon, d, 6))
-        .when(kind.isin("phone", "card", "ssn"), _new_digits(canon, kind, d)).when(kind == "name", _name(canon, d)).otherwise(_by_class(F.concat(canon, room), d))
+        .when(kind.isin("phone", "card", "ssn"), _new_digits(canon, kind, d)).when(kind == "name", _name(canon, d, attempt)).otherwise(_by_class(F.concat(canon, room), d))
     )
 
 
