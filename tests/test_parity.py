@@ -22,7 +22,7 @@ def duck(small):
 def plain(v):
     if v is None or v != v:
         return "~"
-    return f"{v:.6g}" if isinstance(v, float) or type(v).__name__ == "Decimal" else str(v)
+    return f"{float(v):.6g}" if isinstance(v, float) or type(v).__name__ == "Decimal" else str(v)
 
 
 def rows_of(columns, rows):

@@ -14,10 +14,10 @@ def test_traces(spark, tmp_path):
     rows = {r.conv_id: r for r in inputs.traces(spark, str(tmp_path)).collect()}
     assert rows[1].said == text and text in rows[1].think and text in rows[1].raw
     run = lambda name: {r.conv_id: r for r in all_queries()[name](spark, str(tmp_path)).collect()}
-    assert [run("h25_validate_whole")[k].forbidden_phrase for k in (1, 2)] == ["as revealed", None]
-    for name in ("h14_think_whole", "h15_strip_thinking_whole", "h19_reasoning_whole"):
+    assert [run("h25_validate")[k].forbidden_phrase for k in (1, 2)] == ["as revealed", None]
+    for name in ("h14_think", "h15_strip_thinking", "h19_reasoning"):
         assert run(name)[1].value == hashlib.md5(rows[1].think.encode()).hexdigest()
-    assert run("h18_stage1_whole")[1].value.endswith("as revealed here")
+    assert run("h18_stage1")[1].value.endswith("as revealed here")
 
 
 def test_fit_sample(spark, tmp_path):
@@ -34,5 +34,5 @@ def test_all_parts(spark, tmp_path):
     from veridoc.plans import all_queries
 
     spark.createDataFrame([(i,) for i in (0, 50, 2500, 100_001, 123_456, 123_457)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.part: r.n for r in all_queries()["a10_cot_scan_all"](spark, str(tmp_path)).collect()}
+    got = {r.part: r.n for r in all_queries()["a10_cot_scan"](spark, str(tmp_path)).collect()}
     assert got == {"part000": 2, "part025": 1, "part1000": 1, "part1234": 2}

@@ -4,33 +4,46 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: Where a section begins, and what ends a sentence.
+SECTION, SENTENCE_END = r"\n(?=#{1,3} )", r"(?<=[.!?])\s+"
+
+
+def _packed(sentences: list[str], most: int) -> Iterator[str]:
+    """Runs of sentences, each as long as fits; the furthest sentence of a run is found in the running lengths."""
+    upto = [0, *accumulate(len(s) + 1 for s in sentences)]
+    i = 0
+    while i < len(sentences):
+        j = bisect_right(upto, upto[i] + most + 1) - 1
+        if j > i:
+            yield " ".join(sentences[i:j])
+        else:
+            j = i + 1
+            yield from (sentences[i][k : k + most] for k in range(0, len(sentences[i]), most))
+        i = j
+
+
 def chunks(text: str, most: int = 1000) -> list[str]:
-    """Pieces of at most `most` characters: sections first, then sentences packed greedily, then hard cuts."""
+    """Pieces of at most `most` characters: whole sections where they fit, else runs of sentences, else plain cuts."""
     text = text.strip()
     if len(text) <= most:
         return [text]
+    borders = [0, *(m.start() for m in re.finditer(SECTION, text)), len(text)]
     out: list[str] = []
-    for section in filter(str.strip, re.split(r"(?=\n#{1,3} )", text)):
+    for a, b in pairwise(borders):
+        section = text[a:b]
         if len(section) <= most:
-            out.append(section)
-            continue
-        held = ""
-        for sentence in re.split(r"(?<=[.!?])\s+", section):
-            if len(held) + len(sentence) + 1 <= most:
-                held = f"{held} {sentence}".strip()
-                continue
-            out += [held] if held else []
-            held = sentence if len(sentence) <= most else ""
-            if not held:
-                out += [sentence[i : i + most] for i in range(0, len(sentence), most)]
-        out += [held] if held else []
-    return out or [text[:most]]
+            out += [section] if section.strip() else []
+        else:
+            out += _packed(re.split(SENTENCE_END, section.strip()), most)
+    return out
 
 
 def chunked(df: DataFrame, text: str, most: int = 1000) -> DataFrame:
@@ -48,38 +61,28 @@ def aligned(left: Column, right: Column) -> Column:
     return F.zip_with(left, right, lambda a, b: F.struct(F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b")))
 
 
+#: Fixed values of the fitting rule: characters a token takes at least, the surplus of a cut as factor and constant.
+LEAST_PER_TOKEN, SURPLUS, EXTRA = 2.0, 1.10, 32
+STATUS = {(False, False): "none", (True, False): "prompt_truncated", (False, True): "target_truncated", (True, True): "both_truncated"}
+
+
+def _shrunk(text: str, least: int, rounds: int, over: Callable[[str], int], tokens: Callable[[str], int], cut: Callable[[str, int], str]) -> tuple[str, bool]:
+    """text cut until nothing is over, its floor is reached or the rounds are used up; whether it was cut."""
+    left, length = rounds, None
+    while left and length != least and (excess := over(text)) > 0:
+        per_token = max(LEAST_PER_TOKEN, len(text) / max(1, tokens(text)))
+        length = max(least, len(text) - EXTRA - math.ceil(SURPLUS * excess * per_token))
+        text, left = cut(text, length), left - 1
+    return text, left < rounds
+
+
 def fit_pair(prompt: str, target: str, count: Callable[[str], int], longest: int, *, fixed: int = 0, least_prompt: int = 64, least_target: int = 64, rounds: int = 6) -> tuple[str, str, str] | None:
-    """Prompt, target and status within `longest` tokens: the prompt loses its end, then the target its beginning.
-
-    Each round drops what the overflow takes at the present characters per token (2 at least), a tenth more and 32; None
-    if both floors don't suffice.
-    """
-    size = lambda: fixed + count(prompt) + count(target)
-    changed: list[str] = []
-    for which, least in (("prompt", least_prompt), ("target", least_target)):
-        floored = False
-        for _ in range(rounds):
-            over = size() - longest
-            if over <= 0:
-                break
-            text = prompt if which == "prompt" else target
-            tokens = fixed + count(prompt) if which == "prompt" else count(target)
-            keep = len(text) - math.ceil(over * max(2.0, len(text) / max(1, tokens)) * 1.10) - 32
-            if keep < least:
-                if floored:
-                    if which == "target":
-                        return None
-                    break
-                keep, floored = least, True
-            if which == "prompt":
-                prompt = prompt[:keep].rstrip()
-            else:
-                target = target[-keep:].lstrip()
-            if which not in changed:
-                changed.append(which)
-    if size() > longest:
-        return None
-    return prompt, target, {0: "none", 2: "both_truncated"}.get(len(changed), f"{changed[0]}_truncated" if changed else "none")
+    """Prompt, target and status within `longest` tokens: the prompt loses its end, then the target its beginning; None if
+    both floors don't suffice."""
+    total = lambda p, t: fixed + count(p) + count(t)
+    p, cut_p = _shrunk(prompt, least_prompt, rounds, lambda p: total(p, target) - longest, lambda p: fixed + count(p), lambda p, n: p[:n].rstrip())
+    t, cut_t = _shrunk(target, least_target, rounds, lambda t: total(p, t) - longest, count, lambda t, n: t[-n:].lstrip())
+    return None if total(p, t) > longest else (p, t, STATUS[cut_p, cut_t])
 
 
 def fitted_pairs(df: DataFrame, prompt: str, target: str, longest: int, count: Callable[[str], int] = lambda t: len(t.split()), **more) -> DataFrame:

@@ -54,9 +54,9 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("doc", text.alias("text"))
 
 
-def traces(spark: SparkSession, d: str, longest: int | None = None) -> DataFrame:
-    """conv_id, turn, raw: model outputs wrapped around conversation turns, or around `longest` characters of each."""
-    said = F.regexp_replace(F.substring("text", 1, longest) if longest else F.col("text"), r"[^A-Za-z ]", "")
+def traces(spark: SparkSession, d: str) -> DataFrame:
+    """conv_id, turn, raw: model outputs wrapped around whole conversation turns."""
+    said = F.regexp_replace("text", r"[^A-Za-z ]", "")
     n = F.col("turn").cast("string")
     think = F.concat(F.lit("--- STAGE 1: Knowledge Preparation ---\n"), said, F.lit("\n--- STAGE 2: Filter ---\nREGION_001 [1, 2, "), n, F.lit(", 9]: soft edge. → KEEP as Visual Clumsy.\nREGION_002 [3, 3, 5, 5]: noise. → DROP.\n--- STAGE 3: Semantics ---\nnone\n--- STAGE 4: Verdict ---\ndone"))
     raw = F.concat(F.lit("```markdown\n<think>"), think, F.lit("</think>\n<report># FORGERY ANALYSIS REPORT\nbody "), n, F.lit("\n**END OF REPORT**\ntail</report>\n```"))

@@ -22,7 +22,6 @@ def _pairs(spark, d):
 
 
 PAIR_SQL = f"WITH {BOX_SQL}, p AS (SELECT a.doc, a.item, a.x1 AS a_x1, a.y1 AS a_y1, a.x2 AS a_x2, a.y2 AS a_y2, b.x1 AS b_x1, b.y1 AS b_y1, b.x2 AS b_x2, b.y2 AS b_y2 FROM bx a JOIN bx b ON a.doc = b.doc AND a.item = b.item AND a.f = 'R' AND b.f = 'N')"
-A, B = Box.of("a_"), Box.of("b_")
 INTER = inter_sql("a_", "b_")
 AREA = {k: f"({k}x2 - {k}x1) * ({k}y2 - {k}y1)" for k in ("a_", "b_")}
 
@@ -30,18 +29,18 @@ AREA = {k: f"({k}x2 - {k}x1) * ({k}y2 - {k}y1)" for k in ("a_", "b_")}
 def _scalar(name, expression, sql):
     @query(name, f"{PAIR_SQL} SELECT doc, item, round({sql}, 6) AS value FROM p")
     def _(spark, d):
-        return _pairs(spark, d).select("doc", "item", r6(expression).alias("value"))
+        return _pairs(spark, d).select("doc", "item", r6(expression(Box.of("a_"), Box.of("b_"))).alias("value"))
 
 
-_scalar("g01_iou", G.iou(A, B), iou_sql("a_", "b_"))
-_scalar("g02_iomin", G.intersection_over_min(A, B), f"CASE WHEN {INTER} > 0 THEN CAST({INTER} AS DOUBLE) / least(greatest(1, {AREA['a_']}), greatest(1, {AREA['b_']})) ELSE 0.0 END")
-_scalar("g03_overlap_frac", G.overlap_fraction(A, B), f"CAST({INTER} AS DOUBLE) / greatest(1, {AREA['b_']})")
-_scalar("g05_iou_viz", G.iou_clamped(A, B), f"CAST({INTER} AS DOUBLE) / ({AREA['a_']} + {AREA['b_']} - {INTER})")
+_scalar("g01_iou", G.iou, iou_sql("a_", "b_"))
+_scalar("g02_iomin", G.intersection_over_min, f"CASE WHEN {INTER} > 0 THEN CAST({INTER} AS DOUBLE) / least(greatest(1, {AREA['a_']}), greatest(1, {AREA['b_']})) ELSE 0.0 END")
+_scalar("g03_overlap_frac", G.overlap_fraction, f"CAST({INTER} AS DOUBLE) / greatest(1, {AREA['b_']})")
+_scalar("g05_iou_viz", G.iou_clamped, f"CAST({INTER} AS DOUBLE) / ({AREA['a_']} + {AREA['b_']} - {INTER})")
 
 
 @query("g04_union_box", f"{PAIR_SQL} SELECT doc, item, least(a_x1, b_x1) AS x1, least(a_y1, b_y1) AS y1, greatest(a_x2, b_x2) AS x2, greatest(a_y2, b_y2) AS y2 FROM p")
 def _(spark, d):
-    return _pairs(spark, d).select("doc", "item", *G.union_box(A, B).named())
+    return _pairs(spark, d).select("doc", "item", *G.union_box(Box.of("a_"), Box.of("b_")).named())
 
 
 @query("g06_poly", f"{PAIR_SQL} SELECT doc, item, CAST(trunc(least(a_x1 + 0.7, b_x1 + 0.2)) AS INTEGER) AS x1, CAST(trunc(greatest(a_y2 + 0.7, b_y2 + 0.2)) AS INTEGER) AS y2 FROM p")
@@ -189,21 +188,21 @@ def _(spark, d):
 def _on_report(name, expression, sql):
     @query(name, f"{REPORT_SQL} SELECT doc, {sql} AS value FROM r")
     def _(spark, d):
-        return I.reports(spark, d).select("doc", expression.alias("value"))
+        return I.reports(spark, d).select("doc", expression(F.col("text")).alias("value"))
 
 
-TX = F.col("text")
-_on_report("h01_conclusion", R.conclusion(TX), "CASE WHEN doc % 2 = 0 THEN 'FORGED' ELSE 'PRISTINE' END")
-_on_report("h02_risk", R.risk_score(TX), "CAST(doc % 101 AS INTEGER)")
-_on_report("h03_headers", F.size(R.blocks(TX)).cast("bigint"), "n")
-_on_report("h07_summary", R.summary(TX), "concat('seen ', n, ' times')")
-_on_report("h44_conclusion_strict", R.conclusion_strict(F.regexp_replace(TX, r"\*\*", "")), "CASE WHEN doc % 2 = 0 THEN 'FORGED' ELSE 'AUTHENTIC' END")
+TX = "text"
+_on_report("h01_conclusion", R.conclusion, "CASE WHEN doc % 2 = 0 THEN 'FORGED' ELSE 'PRISTINE' END")
+_on_report("h02_risk", R.risk_score, "CAST(doc % 101 AS INTEGER)")
+_on_report("h03_headers", lambda x: F.size(R.blocks(x)).cast("bigint"), "n")
+_on_report("h07_summary", R.summary, "concat('seen ', n, ' times')")
+_on_report("h44_conclusion_strict", lambda x: R.conclusion_strict(F.regexp_replace(x, r"\*\*", "")), "CASE WHEN doc % 2 = 0 THEN 'FORGED' ELSE 'AUTHENTIC' END")
 
 
 def _on_anomaly(name, field, sql):
     @query(name, f"WITH {BOX_SQL} SELECT doc, item, {sql} AS value FROM bx WHERE f = 'R'")
     def _(spark, d):
-        a = I.reports(spark, d).select("doc", F.explode(R.parse_report(TX)["anomalies"]).alias("a"))
+        a = I.reports(spark, d).select("doc", F.explode(R.parse_report(F.col(TX))["anomalies"]).alias("a"))
         return a.select("doc", F.col("a.index").alias("item"), field(F.col("a")).alias("value"))
 
 
@@ -215,73 +214,62 @@ _on_anomaly("h06_content", lambda a: a["forged_content"], "concat('total ', x1)"
 
 @query("h08_parse_report", f"{REPORT_SQL} SELECT doc, CASE WHEN doc % 2 = 0 THEN 'FORGED' ELSE 'PRISTINE' END AS conclusion, CAST(doc % 101 AS INTEGER) AS risk_score, CAST(n AS INTEGER) AS n_anomalies, concat('seen ', n, ' times') AS summary FROM r")
 def _(spark, d):
-    return I.reports(spark, d).select("doc", R.parse_report(TX).alias("r")).select("doc", "r.conclusion", "r.risk_score", F.size("r.anomalies").alias("n_anomalies"), "r.summary")
+    return I.reports(spark, d).select("doc", R.parse_report(F.col(TX)).alias("r")).select("doc", "r.conclusion", "r.risk_score", F.size("r.anomalies").alias("n_anomalies"), "r.summary")
 
 
 @query("h09_serialize_dataset", f"{REPORT_SQL}, s AS (SELECT doc, string_agg(concat('### ANOMALY_', lpad(CAST(item AS VARCHAR), 3, '0'), ': Visual Clumsy (row ', y1, ')', chr(10), '[GROUNDING]: [', x1, ', ', y1, ', ', x2, ', ', y2, ']', chr(10), '[FORGED_CONTENT]: total ', x1, chr(10), '[REASON]: strokes differ', chr(10), 'at ', x2, chr(10)), chr(10) ORDER BY item) AS b FROM bx WHERE f = 'R' GROUP BY 1) SELECT r.doc, md5(concat('# FORGERY ANALYSIS REPORT', chr(10), chr(10), '**[Conclusion]:** ', CASE WHEN r.doc % 2 = 0 THEN 'FORGED' ELSE 'PRISTINE' END, chr(10), '**[RISK_SCORE]:** ', r.doc % 101, chr(10), chr(10), b, chr(10), '## SUMMARY', chr(10), 'seen ', n, ' times', chr(10))) AS digest FROM r JOIN s USING (doc)")
 def _(spark, d):
-    return I.reports(spark, d).select("doc", F.md5(R.serialize_dataset(R.parse_report(TX))).alias("digest"))
+    return I.reports(spark, d).select("doc", F.md5(R.serialize_dataset(R.parse_report(F.col(TX)))).alias("digest"))
 
 
 @query("h10_serialize_submission", f"{REPORT_SQL}, s AS (SELECT doc, string_agg(concat('Region ', item, ': [', x1, ', ', y1, ', ', x2, ', ', y2, '], total ', x1), chr(10) ORDER BY item) AS b FROM bx WHERE f = 'R' GROUP BY 1) SELECT r.doc, md5(concat('Conclusion: ', CASE WHEN r.doc % 2 = 0 THEN 'Forged' ELSE 'Authentic' END, chr(10), 'Score: ', r.doc % 101, chr(10), chr(10), 'Tamper Regions:', chr(10), b, chr(10), chr(10), 'Summary:', chr(10), 'seen ', n, ' times', chr(10))) AS digest FROM r JOIN s USING (doc)")
 def _(spark, d):
-    return I.reports(spark, d).select("doc", F.md5(R.serialize_submission(R.parse_report(TX))).alias("digest"))
+    return I.reports(spark, d).select("doc", F.md5(R.serialize_submission(R.parse_report(F.col(TX)))).alias("digest"))
 
 
 @query("h11_explanation", f"{REPORT_SQL}, s AS (SELECT doc, string_agg(concat('strokes differ', chr(10), 'at ', x2), chr(10) ORDER BY item) AS b FROM bx WHERE f = 'R' GROUP BY 1) SELECT r.doc, md5(concat(b, chr(10), 'seen ', n, ' times')) AS digest FROM r JOIN s USING (doc)")
 def _(spark, d):
-    return I.reports(spark, d).select("doc", F.md5(R.explanation(R.parse_report(TX))).alias("digest"))
+    return I.reports(spark, d).select("doc", F.md5(R.explanation(R.parse_report(F.col(TX)))).alias("digest"))
 
 
-SAID = "regexp_replace(substring(text, 1, 200), '[^A-Za-z ]', '', 'g')"
+SAID = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 THINK = f"concat('--- STAGE 1: Knowledge Preparation ---', chr(10), {SAID}, chr(10), '--- STAGE 2: Filter ---', chr(10), 'REGION_001 [1, 2, ', turn, ', 9]: soft edge. → KEEP as Visual Clumsy.', chr(10), 'REGION_002 [3, 3, 5, 5]: noise. → DROP.', chr(10), '--- STAGE 3: Semantics ---', chr(10), 'none', chr(10), '--- STAGE 4: Verdict ---', chr(10), 'done')"
 ONE = f"concat('--- STAGE 1: Knowledge Preparation ---', CASE WHEN trim({SAID}) = '' THEN '' ELSE concat(chr(10), rtrim({SAID})) END)"
 
 
-def _whole(sql):
-    """The same SQL over whole texts."""
-    return sql.replace("substring(text, 1, 200)", "text")
-
-
 def _on_trace(name, expression, sql=None):
-    # SQL that names a prefix is kept; the query over whole texts then stands beside it.
-    cut = bool(sql) and SAID in sql
-
     @query(name, sql and f"SELECT conv_id, turn, {sql} AS value FROM conversations")
     def _(spark, d):
-        return I.traces(spark, d, 200 if cut else None).select("conv_id", "turn", expression.alias("value"))
-
-    if cut:
-        _on_trace(f"{name}_whole", expression, _whole(sql))
-
-
-RAW, THOUGHT = F.col("raw"), F.col("think")
-_on_trace("h12_clean_report", T.clean_report(RAW), "concat('# FORGERY ANALYSIS REPORT', chr(10), 'body ', turn, chr(10), '**END OF REPORT**')")
-_on_trace("h13_clean_report_v0", T.clean_report(F.regexp_replace(RAW, "(?s)<think>.*</think>", ""), strip_think=False), "concat('# FORGERY ANALYSIS REPORT', chr(10), 'body ', turn, chr(10), '**END OF REPORT**')")
-_on_trace("h14_think", F.md5(T.think_or_stages(RAW)), f"md5({THINK})")
-_on_trace("h15_strip_thinking", F.md5(T.thoughts(RAW)), f"md5({THINK})")
-_on_trace("h16_blocks", T.block(RAW, "report"), "concat('# FORGERY ANALYSIS REPORT', chr(10), 'body ', turn, chr(10), '**END OF REPORT**', chr(10), 'tail')")
-_on_trace("h17_trim_tail", T.trim_tail(F.concat(F.col("role"), F.lit(" body </think>\n```json\n**END OF REPORT** "))), "concat(role, ' body')")
-_on_trace("h18_stage1", T.stage_one(THOUGHT), ONE)
-_on_trace("h19_first_two", F.md5(T.stages(THOUGHT, 1, 3)), f"md5(concat('--- STAGE 1: Knowledge Preparation ---', chr(10), {SAID}, chr(10), '--- STAGE 2: Filter ---', chr(10), 'REGION_001 [1, 2, ', turn, ', 9]: soft edge. → KEEP as Visual Clumsy.', chr(10), 'REGION_002 [3, 3, 5, 5]: noise. → DROP.'))")
-_on_trace("h19_stages_34", T.stages(THOUGHT, 3, None), "concat('--- STAGE 3: Semantics ---', chr(10), 'none', chr(10), '--- STAGE 4: Verdict ---', chr(10), 'done')")
-_on_trace("h19_reasoning", F.md5(T.stages(THOUGHT, 1, None)), f"md5({THINK})")
-_on_trace("h20_keep_blocks", F.array_join(T.kept_blocks(THOUGHT), "\n"), "concat('REGION_001 [1, 2, ', turn, ', 9]: soft edge. → KEEP as Visual Clumsy.')")
-_on_trace("h21_filtered", F.md5(T.filtered_regions(THOUGHT)), f"md5(concat({ONE}, chr(10), chr(10), '--- STAGE 2 KEEP regions (filtered) ---', chr(10), chr(10), 'REGION_001 [1, 2, ', turn, ', 9]: soft edge. → KEEP as Visual Clumsy.'))")
-_on_trace("h22_kept_boxes", F.get(T.kept_boxes(THOUGHT), F.lit(0))[2], "CAST(turn AS INTEGER)")
-_on_trace("h40_truncate", T.truncate(F.col("text"), 40), "CASE WHEN length(text) > 40 THEN concat(substring(text, 1, 39), '…') ELSE text END")
-_on_trace("h42_is_sentence", T.is_sentence(F.col("text")), "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 3 OR length(text) - length(replace(text, ' ', '')) >= 2")
+        return I.traces(spark, d).select("conv_id", "turn", expression().alias("value"))
+
+
+RAW, THOUGHT = "raw", "think"
+_on_trace("h12_clean_report", lambda: T.clean_report(F.col(RAW)), "concat('# FORGERY ANALYSIS REPORT', chr(10), 'body ', turn, chr(10), '**END OF REPORT**')")
+_on_trace("h13_clean_report_v0", lambda: T.clean_report(F.regexp_replace(F.col(RAW), "(?s)<think>.*</think>", ""), strip_think=False), "concat('# FORGERY ANALYSIS REPORT', chr(10), 'body ', turn, chr(10), '**END OF REPORT**')")
+_on_trace("h14_think", lambda: F.md5(T.think_or_stages(F.col(RAW))), f"md5({THINK})")
+_on_trace("h15_strip_thinking", lambda: F.md5(T.thoughts(F.col(RAW))), f"md5({THINK})")
+_on_trace("h16_blocks", lambda: T.block(F.col(RAW), "report"), "concat('# FORGERY ANALYSIS REPORT', chr(10), 'body ', turn, chr(10), '**END OF REPORT**', chr(10), 'tail')")
+_on_trace("h17_trim_tail", lambda: T.trim_tail(F.concat(F.col("role"), F.lit(" body </think>\n```json\n**END OF REPORT** "))), "concat(role, ' body')")
+_on_trace("h18_stage1", lambda: T.stage_one(F.col(THOUGHT)), ONE)
+_on_trace("h19_first_two", lambda: F.md5(T.stages(F.col(THOUGHT), 1, 3)), f"md5(concat('--- STAGE 1: Knowledge Preparation ---', chr(10), {SAID}, chr(10), '--- STAGE 2: Filter ---', chr(10), 'REGION_001 [1, 2, ', turn, ', 9]: soft edge. → KEEP as Visual Clumsy.', chr(10), 'REGION_002 [3, 3, 5, 5]: noise. → DROP.'))")
+_on_trace("h19_stages_34", lambda: T.stages(F.col(THOUGHT), 3, None), "concat('--- STAGE 3: Semantics ---', chr(10), 'none', chr(10), '--- STAGE 4: Verdict ---', chr(10), 'done')")
+_on_trace("h19_reasoning", lambda: F.md5(T.stages(F.col(THOUGHT), 1, None)), f"md5({THINK})")
+_on_trace("h20_keep_blocks", lambda: F.array_join(T.kept_blocks(F.col(THOUGHT)), "\n"), "concat('REGION_001 [1, 2, ', turn, ', 9]: soft edge. → KEEP as Visual Clumsy.')")
+_on_trace("h21_filtered", lambda: F.md5(T.filtered_regions(F.col(THOUGHT))), f"md5(concat({ONE}, chr(10), chr(10), '--- STAGE 2 KEEP regions (filtered) ---', chr(10), chr(10), 'REGION_001 [1, 2, ', turn, ', 9]: soft edge. → KEEP as Visual Clumsy.'))")
+_on_trace("h22_kept_boxes", lambda: F.get(T.kept_boxes(F.col(THOUGHT)), F.lit(0))[2], "CAST(turn AS INTEGER)")
+_on_trace("h40_truncate", lambda: T.truncate(F.col("text"), 40), "CASE WHEN length(text) > 40 THEN concat(substring(text, 1, 39), '…') ELSE text END")
+_on_trace("h42_is_sentence", lambda: T.is_sentence(F.col("text")), "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 3 OR length(text) - length(replace(text, ' ', '')) >= 2")
 
 
 @query("h23_grounding_list", f"WITH {BOX_SQL} SELECT doc, count(*) AS n, CAST(sum(x1) AS BIGINT) AS total FROM bx WHERE f = 'R' GROUP BY 1")
 def _(spark, d):
-    g = I.reports(spark, d).select("doc", T.groundings(TX).alias("g"))
+    g = I.reports(spark, d).select("doc", T.groundings(F.col(TX)).alias("g"))
     return g.select("doc", F.size("g").cast("bigint").alias("n"), F.aggregate("g", F.lit(0).cast("bigint"), lambda s, b: s + F.get(b, F.lit(0))).alias("total"))
 
 
 @query("h24_replace_grounding", f"WITH {BOX_SQL} SELECT doc, '7,8,9,10' AS first FROM bx WHERE f = 'R' GROUP BY 1")
 def _(spark, d):
-    new = T.replace_first_grounding(TX, F.array(*map(F.lit, (7, 8, 9, 10))))
+    new = T.replace_first_grounding(F.col(TX), F.array(*map(F.lit, (7, 8, 9, 10))))
     return I.reports(spark, d).select("doc", F.array_join(F.get(T.groundings(new), F.lit(0)).cast("array<string>"), ",").alias("first"))
 
 
@@ -290,15 +278,10 @@ VALIDATED = f"SELECT conv_id, turn, turn % 2 = 0 AS report_match, CASE WHEN cont
 
 def _validated(traces):
     wanted = F.concat(F.lit("# FORGERY ANALYSIS REPORT  body "), F.when(F.col("turn") % 2 == 0, F.col("turn").cast("string")).otherwise("x"), F.lit("\n**END OF REPORT** tail"))
-    return traces.select("conv_id", "turn", T.validation(RAW, wanted).alias("v")).select("conv_id", "turn", "v.report_match", "v.forbidden_phrase", "v.ok")
+    return traces.select("conv_id", "turn", T.validation(F.col(RAW), wanted).alias("v")).select("conv_id", "turn", "v.report_match", "v.forbidden_phrase", "v.ok")
 
 
 @query("h25_validate", VALIDATED)
-def _(spark, d):
-    return _validated(I.traces(spark, d, 200))
-
-
-@query("h25_validate_whole", _whole(VALIDATED))
 def _(spark, d):
     return _validated(I.traces(spark, d))
 
@@ -399,7 +382,7 @@ def _(spark, d):
 
 @query("h41_viz_parse", f"WITH {BOX_SQL} SELECT doc, item, concat('strokes differ at ', x2) AS reason FROM bx WHERE f = 'R'")
 def _(spark, d):
-    return I.reports(spark, d).select("doc", F.explode(R.visual_anomalies(TX)).alias("a")).select("doc", F.col("a.index").alias("item"), "a.reason")
+    return I.reports(spark, d).select("doc", F.explode(R.visual_anomalies(F.col(TX))).alias("a")).select("doc", F.col("a.index").alias("item"), "a.reason")
 
 
 @query("h43_lang_class", "SELECT DISTINCT lang, CASE WHEN lang IN ('ar', 'fa', 'ur', 'he') THEN 'rtl' WHEN lang IN ('zh', 'ja', 'th') THEN 'continuous' ELSE 'spaced' END AS kind FROM documents")

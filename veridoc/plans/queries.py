@@ -499,11 +499,11 @@ def _val(name, column, sql):
     def _(spark, d):
         x = M.pixel_metrics(F.col("tp"), F.col("fp"), F.col("fn"))["iou"]
         masked = F.col("tp") + F.col("fn") > 0
-        return _pixels(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(masked).alias("n_masked"), r6(F.avg(F.when(masked, x))).alias("miou"), r6(F.avg((column == masked).cast("double"))).alias("accuracy"))
+        return _pixels(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(masked).alias("n_masked"), r6(F.avg(F.when(masked, x))).alias("miou"), r6(F.avg((column() == masked).cast("double"))).alias("accuracy"))
 
 
-_val("d14_val_eval", F.col("tp") + F.col("fp") > 300, "(tp + fp > 300)")
-_val("d15_stage1_val", F.col("tp") + F.col("fp") > 0, "(tp + fp > 0)")
+_val("d14_val_eval", lambda: F.col("tp") + F.col("fp") > 300, "(tp + fp > 300)")
+_val("d15_stage1_val", lambda: F.col("tp") + F.col("fp") > 0, "(tp + fp > 0)")
 
 
 @query("d16_text_stats", "SELECT lang, CAST(sum(n_chars) AS BIGINT) AS total, round(avg(n_chars), 6) AS mean, median(n_chars) AS median, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY 1")
