@@ -172,17 +172,40 @@ def components_of(texts, ids):
     return {k: (len(s), find(k)) for k, s in zip(ids, sets, strict=True)}
 
 
-@pytest.mark.parametrize("most,inline", [(768, 1000), (3, 0)])
-def test_near_duplicates(spark, most, inline):
+@pytest.mark.parametrize("most,inline,hottest", [(768, 1000, 200_000), (3, 0, 5)])
+def test_near_duplicates(spark, most, inline, hottest):
+    """Whole groups in a block, and groups cut into blocks of three that must meet again."""
     texts = corpus(7, 70)
     base = texts[-1].split() + ["q%d" % i for i in range(60)]
     for k in range(14):  # a chain of near copies, so that blocks and queries meet
         base[k * 3] = f"v{k}"
         texts.append(" ".join(base))
-    got = jac.similar_components(frame(spark, texts, 5), most=most, inline=inline).collect()
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    for k in range(24):  # a passage makes up most of each, some link and some just don't
+        own = [f"o{rng.randrange(30)}" for _ in range(rng.choice([4, 7, 8, 9, 12]))]
+        texts.append(" ".join(passage + own if k % 2 else own + passage))
+    for k in range(12):  # copies with one word of their own
+        texts.append(" ".join([*passage[:k], f"x{k % 5}", *[f"r{i}" for i in range(90)]]))
+    got = jac.similar_components(frame(spark, texts, 5), most=most, inline=inline, hottest=hottest).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_of(texts, list(range(5, 5 + len(texts))))
 
 
+def test_near_duplicates_random_blocks(spark):
+    """Many sets around the threshold, in blocks of two or three."""
+    rng = random.Random(21)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(rng.choice([30, 60]))]
+        for _ in range(9):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(50)}"
+            texts.append(" ".join(w[: len(w) - rng.choice([0, 0, 3])]))
+    got = jac.similar_components(frame(spark, texts), most=3, per_block=200, inline=0, hottest=10).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_of(texts, list(range(len(texts))))
+
+
 def test_near_duplicates_edges(spark):
     docs = frame(spark, ["a b c d e f"] * 3 + [None, "", "x"])
     assert jac.similar_components(docs.limit(0)).count() == 0

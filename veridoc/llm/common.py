@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -14,12 +18,16 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where driver and executors are
+    one process (tests).  Elsewhere executors would each write to their own disk, so nothing is guessed."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = got.get() if got.isDefined() else None
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="veridoc-")
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/veridoc"
@@ -35,11 +43,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a table of written() that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._veridoc_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._veridoc_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> Iterator[None]:
+    """Arrow batches of at most so many rows and bytes for what is planned and run inside."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def lean(run: Callable) -> Callable:
+    """run for mapInArrow, giving memory back to the system when a task ends: a worker that waits keeps little."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +111,6 @@ def union_columns(names: Iterable[str], taken: Iterable[str]) -> list[str]:
 
 
 def without(docs: DataFrame, ids: DataFrame, inline: int = 1_000_000) -> DataFrame:
-    """docs whose doc_id isn't among ids (doc_id): broadcast up to `inline` ids, shuffled beyond."""
+    """docs whose doc_id isn't among ids (doc_id: whole numbers of 8 bytes): broadcast up to `inline` ids, shuffled beyond."""
     out = written(ids.distinct(), "ids")
     return docs.join(F.broadcast(out) if out.count() <= inline else out, "doc_id", "left_anti").select(*docs.columns)

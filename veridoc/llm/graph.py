@@ -12,11 +12,12 @@ def _mark(edges: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
     """node, component (its smallest node) for every node of links (a, b: bigint).
 
     Each round is two aggregations and joins on a node; minima are summed before the shuffle, and a hub's join is one
-    that adaptive execution splits.  Rounds end up as written tables, so a lost executor costs one round's work.
+    that adaptive execution splits.  Rounds end up as written tables, so a lost executor costs one round's work.  Rounds grow
+    with the logarithm of the longest path; if `most_rounds` didn't do, that is an error and not a result.
     """
     edges = written(links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = _mark(edges)
@@ -36,5 +37,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         edges, done, mark = new, now == mark, now
         if done:
             break
+    else:
+        raise RuntimeError(f"components haven't settled in {most_rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -3,31 +3,37 @@
 Documents are sets of hashed word shingles.  Documents with equal sets are one class and are joined once.
 
 1. Groups.  All sets are ordered by hash.  Two sets that link share at least 8 % of either's size among the first
-   n - ceil(0.8 n) + ceil(n / 10) shingles of both (an extended prefix), so a class fewer of whose prefix shingles are shared with
-   another class of suitable size is out; this sheds documents that only have a common passage.  For each shingle the
-   classes left are sorted by size and only neighbours are tied (if their sizes allow a link at all), so a shingle of
-   a million documents makes a million ties, not their square.  Tied classes form the groups of similar documents;
-   what isn't tied can't link.  Groups above `most` classes are split by size band (links reach the next band only) and by
-   hash into blocks; each block is also asked about the members of the blocks that it could link with.
-2. Matrix.  Inside a group the members are cut into small subgroups of neighbours; for each subgroup the union of its
-   members' shingles is stored as a column of a sparse matrix.  A query's row sums bound its overlap with any member.
+   n - ceil(0.8 n) + ceil(n / 10) shingles of both (an extended prefix), so a class fewer of whose prefix shingles are
+   shared with a class of its own or a neighbouring size band (a factor of 1.25) is out; this sheds documents that only
+   have a common passage.  Of each shingle and band one class stands for the others: they are tied to it, and bands to
+   the next band, so a shingle of a million documents makes a million ties, not their square.  Tied classes form the
+   groups of similar documents; what isn't tied can't link.
+2. Matrix.  A group is a block; groups above `most` classes or `per_block` shingles are cut into blocks by minimum hash
+   (similar sets fall together) and, where that isn't enough, by id.  Inside a block the members are cut into small
+   subgroups of neighbours; for each the union of its members' shingles is stored as a column of a sparse matrix.  A
+   query's row sums bound its overlap with any member.
 3. Opening.  Only subgroups whose bound reaches 80 % of the larger set are opened; their members' overlaps are counted
    exactly.  Members known to be connected already are not compared again.  The task returns the links that connect.
-4. Components of those links, spread over classes and their documents.
-
-Scale: prefixes travel as packed arrays, partitioned by hash ranges whose number follows the input, so a reducer's memory
-doesn't grow.  A block's members are bounded, and its queries pass by one at a time.  Texts are shuffled only if more than
-`inline` classes are tied (below, their ids are broadcast).  Hot classes are one row; the join that spreads components
-over copies is one that can be split.
-
-Defined cases: null, empty and blank texts have an empty set and are a component of their own; texts of fewer words than
-a shingle have one shingle, the whole sequence; very long texts are read whole; repeated rows each return a row; an
-empty table returns no rows; extra columns are ignored.
+4. Between the blocks of a large group.  First one member of each component found meets the others' (blocks by another
+   minimum hash), which joins the copies of one text however many they are.  Groups that are still in several
+   components are finished exactly: under one order of all shingles (rare ones first) linked sets share one of their
+   first n - ceil(0.8 n) + 1, so a member only asks the blocks where such a shingle stands in another component.
+5. Components of those links, spread over classes and their documents.
+
+Scale: prefixes travel as packed arrays, partitioned by hash ranges whose number follows the input.  Equal shingles of one
+band meet inside a task first, so a shingle that a third of all documents have reaches its range as one entry a task and
+band.  A block's members are bounded by number and by shingles; its queries pass by one at a time.  The order's head
+(`hottest` shingles) is all that is broadcast by content; ids are broadcast up to `inline`.  Hot classes are one row; the
+join that spreads components over copies is one that can be split.
+
+Defined cases: doc_id is a whole number (bigint); null, empty and blank texts have an empty set and are a component of
+their own; texts of fewer words than a shingle have one shingle, the whole sequence; very long texts are read whole;
+repeated rows each return a row; ties in size or hash are broken by id; an empty table returns no rows; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import contextlib
 import math
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -35,19 +41,23 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import dropped, written
+from .common import arrow_batches, dropped, lean, written
 from .graph import connected_components
 
 _U = np.uint64
-_PACKED = np.dtype([("f", "<u4"), ("n", "<u4"), ("d", "<i8")])
+_PACKED = np.dtype([("f", "<u8"), ("n", "<u4"), ("d", "<i8")])
+#: Set in a packed size: another class of the band is known to have the shingle.
+_KNOWN = np.uint32(1 << 31)
+#: Odd multipliers that give a hash's tokens other orders.
+_MIXED, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles."""
 
-    def __init__(self, size: int, bound: int = 400_000):
+    def __init__(self, size: int, bound: int = 100_000):
         self.size, self.bound, self.words = size, bound, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -94,18 +104,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 d.append(digests(s) if len(s) else (None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64())], names=["doc_id", "n", "d1", "d2"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint")
-
-
-def _ranges(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted tokens: the hash ranges that occur and where each begins (and the end)."""
-    ranges = (tokens >> _U(64 - bits)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]) if len(ranges) else np.zeros(0, int)
-    return ranges[first], np.r_[first, len(tokens)]
-
-
-def _packed_rows(ranges: np.ndarray, cuts: np.ndarray, payload: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array([payload[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["bucket", "payload"])
+    return docs.mapInArrow(lean(run), "doc_id bigint, n bigint, d1 bigint, d2 bigint")
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
@@ -121,32 +120,60 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[by
         yield key, parts
 
 
-def _grouped(packed: DataFrame, run, schema: str) -> DataFrame:
-    """run over partitions in which each bucket's rows follow one another."""
+def _grouped(packed: DataFrame, by: str, order: list[str], run, schema: str) -> DataFrame:
+    """run over partitions in which the rows of each `by` follow one another."""
     spark = packed.sparkSession
-    return packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), by).sortWithinPartitions(*order).mapInArrow(lean(run), schema)
 
 
 def prefix_length(n: int) -> int:
     return min(n, n - -(-4 * n // 5) + -(-n // 10))
 
 
-def shared_prefixes(docs: DataFrame, size: int, bits: int, portion: int = 2_000_000) -> DataFrame:
-    """f, n, d: prefix shingles (fingerprints) that at least two classes of suitable sizes have, with those classes."""
+def size_bands(n: np.ndarray) -> np.ndarray:
+    """Sizes that differ by less than a factor of 1.25; sets that link are in one band or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(1.25) + 1e-9).astype(np.int64)
+
+
+def _entries(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed entries sorted by shingle, band and class, each class once a shingle; their bands; whether each is first of its band."""
+    band = size_bands(x["n"] & ~_KNOWN)
+    order = np.lexsort((~(x["n"] & _KNOWN), x["d"], band, x["f"]))
+    x, band = x[order], band[order]
+    once = np.r_[True, (x["f"][1:] != x["f"][:-1]) | (x["d"][1:] != x["d"][:-1])]
+    x, band = x[once], band[once]
+    return x, band, np.r_[True, (x["f"][1:] != x["f"][:-1]) | (band[1:] != band[:-1])]
+
+
+def _packed(bucket: int, x: np.ndarray) -> tuple[int, bytes]:
+    return bucket, x.tobytes()
+
+
+def shared_prefixes(docs: DataFrame, size: int, bits: int, portion: int = 500_000) -> DataFrame:
+    """f, n, band, d: prefix shingles that another class of the same or a neighbouring size band has too, with their classes."""
 
     def spread(batches):
         held, total, seen = [], 0, set()
 
         def flush():
-            tokens = np.concatenate([h[0] for h in held])
-            payload = np.empty(len(tokens), _PACKED)
+            x = np.empty(total, _PACKED)
             sizes = [len(h[0]) for h in held]
-            payload["f"] = ((tokens >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype("<u4")
-            payload["n"] = np.repeat([min(h[1], 0xFFFFFFFF) for h in held], sizes)
-            payload["d"] = np.repeat(np.array([h[2] for h in held], np.int64), sizes)
-            order = np.argsort(tokens, kind="stable")
-            ranges, cuts = _ranges(tokens[order], bits)
-            return _packed_rows(ranges, cuts, payload[order])
+            x["f"] = np.concatenate([h[0] for h in held])
+            x["n"] = np.repeat(np.array([min(h[1], int(_KNOWN) - 1) for h in held], np.uint32), sizes)
+            x["d"] = np.repeat(np.array([h[2] for h in held], np.int64), sizes)
+            x, _, first = _entries(x)
+            # Of a shingle and band one entry goes on to its range; the others are known to be shared already.
+            out = [_packed(-1, x[~first])] if not first.all() else []
+            alone = np.r_[first[1:], True]
+            x["n"] |= np.where(alone, np.uint32(0), _KNOWN)
+            x = x[first]
+            with np.errstate(over="ignore"):
+                bucket = ((x["f"] * _MIXED) >> _U(64 - bits)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            x, bucket = x[order], bucket[order]
+            cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(x)]
+            out += [_packed(int(bucket[a]), x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "payload"])
 
         for _, sets in _sets(batches, size):
             for s in sets:
@@ -162,31 +189,47 @@ def shared_prefixes(docs: DataFrame, size: int, bits: int, portion: int = 2_000_
                 if total > portion:
                     yield flush()
                     held, total = [], 0
-                    if len(seen) > 200_000:
+                    if len(seen) > 100_000:
                         seen = set()
         if held:
             yield flush()
 
+    def rows(x, band):
+        return pa.RecordBatch.from_arrays([pa.array(x["f"].view(np.int64) if x["f"].flags.contiguous else x["f"].copy().view(np.int64)), pa.array((x["n"] & ~_KNOWN).astype(np.int64)), pa.array(band.astype(np.int32)), pa.array(x["d"].astype(np.int64))], names=["f", "n", "band", "d"])
+
     def meet(batches: Iterator[pa.RecordBatch]):
         for key, parts in _by_bucket(batches):
-            x = np.concatenate([np.frombuffer(p, _PACKED) for p in parts])
-            x = x[np.lexsort((x["d"], x["n"], x["f"]))]
-            x = x[np.r_[True, (x["f"][1:] != x["f"][:-1]) | (x["d"][1:] != x["d"][:-1])]]
-            near = (x["f"][:-1] == x["f"][1:]) & (5 * x["n"][:-1].astype(np.int64) >= 4 * x["n"][1:].astype(np.int64))
-            x = x[np.r_[near, False] | np.r_[False, near]]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(key) << 32) | x["f"].astype(np.int64), pa.int64()), pa.array(x["n"].astype(np.int64), pa.int64()), pa.array(x["d"], pa.int64())], names=["f", "n", "d"])
-
-    return _grouped(docs.mapInArrow(spread, "bucket bigint, payload binary"), meet, "f bigint, n bigint, d bigint")
-
-
-def ties(shared: DataFrame) -> DataFrame:
-    """a, b: classes that share a prefix shingle, neighbours in size; connected wherever a link is possible."""
-    enough = shared.groupBy("d", "n").agg(F.count(F.lit(1)).alias("m")).where("25 * m >= 2 * n").select("d")
-    left = shared.join(enough, "d", "left_semi")
-    w = Window.partitionBy("f").orderBy("n", "d")
-    pairs = left.select("d", "n", F.lag("d").over(w).alias("a"), F.lag("n").over(w).alias("an")).where("5 * an >= 4 * n AND a <> d")
-    return pairs.select("a", F.col("d").alias("b"))
+            if key < 0:
+                for p in parts:
+                    x = np.frombuffer(p, _PACKED)
+                    yield rows(x, size_bands(x["n"]))
+                continue
+            x, band, first = _entries(np.concatenate([np.frombuffer(p, _PACKED) for p in parts]))
+            alone = first & np.r_[first[1:], True]
+            # The next band's entries of a shingle follow at once: sorted by shingle and band.
+            next_to = (x["f"][1:] == x["f"][:-1]) & (band[1:] - band[:-1] == 1)
+            group = np.cumsum(first) - 1
+            touched = np.zeros(group[-1] + 1, bool)
+            touched[group[:-1][next_to]] = True
+            touched[group[1:][next_to]] = True
+            keep = ~alone | touched[group] | ((x["n"] & _KNOWN) != 0)
+            if keep.any():
+                yield rows(x[keep], band[keep])
+
+    packed = docs.mapInArrow(lean(spread), "bucket bigint, payload binary")
+    # What is known already has no range to go to: it is dealt out by a number of its own.
+    dealt = packed.withColumn("to", F.when(F.col("bucket") < 0, F.xxhash64("payload")).otherwise(F.col("bucket")))
+    return _grouped(dealt.select("bucket", "payload", "to"), "to", ["bucket"], meet, "f bigint, n bigint, band int, d bigint")
+
+
+def ties(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """d of the classes that share enough; a, b: those that have a shingle with a band's least class, and bands with the next."""
+    enough = written(shared.groupBy("d", "n").agg(F.count_distinct("f").alias("m")).where("25 * m >= 2 * n").select("d").distinct(), "enough")
+    left = shared.join(enough, "d", "left_semi").select("f", "band", "d")
+    least = written(left.groupBy("f", "band").agg(F.min("d").alias("least")), "least")
+    own = left.join(least, ["f", "band"]).where("d <> least").select(F.col("d").alias("a"), F.col("least").alias("b"))
+    above = least.select("f", (F.col("band") - 1).alias("band"), F.col("least").alias("b"))
+    return enough, own.unionByName(least.join(above, ["f", "band"]).select(F.col("least").alias("a"), "b"))
 
 
 class TokenGroupMatrix:
@@ -231,133 +274,237 @@ class TokenGroupMatrix:
 
 
 class Block:
-    """A block's members, and queries against them one at a time; gives links that connect all that links connect."""
+    """A block's members, and queries against them one at a time; gives links that connect all that links connect.
+
+    labels: of each member the component that it is known to belong to; equal labels aren't compared.
+    """
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+    def __init__(self, ids: list[int], sets: list[np.ndarray], labels: list[int]):
         self.matrix = TokenGroupMatrix(sets)
         self.ids = [ids[i] for i in self.matrix.order]
-        self.label = np.arange(len(ids))  # by place in the matrix
+        self.label = np.array([labels[i] for i in self.matrix.order], np.int64)  # by place in the matrix
 
-    def ask(self, tokens: np.ndarray, own: int | None = None) -> list[int]:
-        """Ids of members that join the query to what it isn't joined to yet.  own: its place, if it is a member."""
+    def ask(self, tokens: np.ndarray, mine: int) -> list[int]:
+        """Ids of members that join a query labelled `mine` to what it isn't joined to yet."""
         matrix, label, n = self.matrix, self.label, len(tokens)
-        mine = None if own is None else label[own]
         out: list[int] = []
         found = matrix.locate(tokens)
         if 5 * len(found) < 4 * n:
             return out
         for g in matrix.qualifying(found, n):
             a, b = matrix.first[g], matrix.last[g]
-            if mine is not None and (label[a:b] == mine).all():
+            if (label[a:b] == mine).all():
                 continue
             both = matrix.overlaps(g, found)
             for k in np.flatnonzero(5 * both >= 4 * (n + matrix.sizes[a:b] - both)):
-                other = label[a + k]
-                if other != mine:
+                if label[a + k] != mine:
                     out.append(self.ids[a + k])
-                    if mine is None:
-                        mine = other
-                    else:
-                        label[label == other] = mine
+                    label[label == label[a + k]] = mine
         return out
 
     def inner(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        return [(self.ids[p], i) for p, k in enumerate(self.matrix.order) for i in self.ask(sets[k], p)]
+        return [(self.ids[p], i) for p, k in enumerate(self.matrix.order) for i in self.ask(sets[k], int(self.label[p]))]
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within blocks; rows of a partition come by block, members before queries."""
-    home, ids, sets, block, out = None, [], [], None, []
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of home, role, rep, label, payload: members (role 0, compared with one another), targets (role 1) and, after
+    either, queries (role 2)."""
+    home, ids, labels, sets, inner, block, out = None, [], [], [], False, None, []
 
     def built() -> Block:
-        made = Block(ids, sets)
-        out.extend(made.inner(sets))
+        made = Block(ids, sets, labels)
+        if inner:
+            out.extend(made.inner(sets))
         return made
 
+    def batch_of() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
     for batch in batches:
-        for i in range(batch.num_rows):
-            h, role, rep = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-            tokens = np.frombuffer(batch.column(3)[i].as_buffer(), _U)
+        for h, role, rep, label, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+            tokens = np.frombuffer(payload.as_buffer(), _U)
             if h != home:
-                if block is None and len(ids) > 1:
+                if block is None and inner and len(ids) > 1:
                     built()
-                home, ids, sets, block = h, [], [], None
-            if role == 0:
+                home, ids, labels, sets, inner, block = h, [], [], [], False, None
+            if role < 2:
                 ids.append(rep)
+                labels.append(label)
                 sets.append(tokens.copy())
+                inner |= role == 0
             elif ids:
                 block = block or built()
-                out.extend((rep, x) for x in block.ask(tokens))
+                out.extend((rep, x) for x in block.ask(tokens, label))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield batch_of()
             out.clear()
-    if block is None and len(ids) > 1:
+    if block is None and inner and len(ids) > 1:
         built()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        yield batch_of()
 
 
-@contextlib.contextmanager
-def _small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows while tables of long rows are written."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def _compared(sent: DataFrame) -> DataFrame:
+    columns = ["home", "role", "rep", "label", "payload"]
+    return _grouped(sent.select(*columns), "home", ["home", "role", "rep"], _links, "a bigint, b bigint")
 
 
-def similar_components(docs: DataFrame, *, size: int = 5, doc_id: str = "doc_id", text: str = "text", most: int = 768, inline: int = 400_000, per_range: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links of similarity 0.8 or more)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(signatures(rows, size), "signatures")
-    total = signed.agg(F.sum("n")).first()[0] or 0
-    bits = min(24, max(6, math.ceil(math.log2(max(1, total / per_range)))))
-    shared = written(shared_prefixes(rows, size, bits), "shared")
-    tied = connected_components(ties(shared))
-    dropped(shared)
-    classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    grouped = written(classes.join(tied.select(F.col("node").alias("d1"), F.col("component").alias("tie")), "d1"), "grouped")
-    # Large groups: bands of sizes that can link with the next only, in blocks of bounded size.
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int")
-    sizes = grouped.groupBy("tie").agg(F.count(F.lit(1)).alias("of_tie"))
-    bands = grouped.join(sizes.where(F.col("of_tie") > most), "tie").groupBy("tie", band.alias("band")).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
-    below = bands.select("tie", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
-    placed = grouped.withColumn("band", band).join(bands, ["tie", "band"], "left").join(below, ["tie", "band"], "left")
-    own = F.pmod(F.xxhash64("d2"), F.col("blocks")).cast("int")
-    homes = F.when(F.col("blocks").isNull(), F.array(F.struct(F.xxhash64("tie").alias("home"), F.lit(0).alias("role")))).otherwise(
-        F.concat(
-            F.transform(F.sequence(F.lit(0), own), lambda i: F.struct(F.xxhash64("tie", "band", i).alias("home"), F.when(i == own, 0).otherwise(1).alias("role"))),
-            F.when(F.col("blocks_below").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("blocks_below") - 1), lambda i: F.struct(F.xxhash64("tie", F.col("band") - 1, i).alias("home"), F.lit(1).alias("role")))).otherwise(F.array().cast("array<struct<home:bigint,role:int>>")),
-        )
-    )
-    asked = written(placed.select(F.col("rep").alias("doc_id"), "d1", "d2", homes.alias("homes")), "asked")
-    few = asked.count() <= inline
-    wanted = rows.join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", "d1", "d2", "homes", "text")
-
-    def send(batches):
+def _homes(members: DataFrame, by: str, most: int, per_block: int) -> DataFrame:
+    """members (tie, rep, n) with home, its block, and large, whether its tie has several: at most about `most` members and `per_block` shingles each."""
+    cut = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n") / per_block), F.lit(1)).cast("int")
+    whole = members.groupBy("tie").agg(cut().alias("of_tie"))
+    spot = members.join(whole, "tie").withColumn("bucket", F.pmod(F.xxhash64(by), F.col("of_tie")))
+    part = spot.groupBy("tie", "bucket").agg(cut().alias("of_bucket"))
+    placed = spot.join(part, ["tie", "bucket"])
+    # A tie that fits into one block is one bucket, and its only block.
+    return placed.select(*members.columns, F.xxhash64("tie", "bucket", F.pmod(F.xxhash64("rep"), F.col("of_bucket"))).alias("home"), (F.col("of_tie") > 1).alias("large"))
+
+
+def _members(rows: DataFrame, grouped: DataFrame, size: int, inline: int) -> DataFrame:
+    """rep, tie, n, m1, m2 (two minimum hashes), payload (the whole set) of the tied classes."""
+    wanted = grouped.select(F.col("rep").alias("doc_id"), "d1", "d2", "tie")
+    few = grouped.count() <= inline
+    met = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "d1", "d2", "tie", "text")
+    kinds, names = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), ["rep", "tie", "n", "m1", "m2", "payload"]
+
+    def run(batches):
         for batch, sets in _sets(batches, size, 4):
             out, held = [], 0
-            for (rep, d1, d2, homes), s in zip(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True), sets, strict=True):
+            for (rep, d1, d2, tie), s in zip(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True), sets, strict=True):
                 if digests(s) != (d1, d2):
                     continue  # another row of the same id
-                payload = s.tobytes()
-                out += [(h["home"], h["role"], rep, payload) for h in homes]
-                held += len(payload) * len(homes)
-                if held > 8_000_000:
+                with np.errstate(over="ignore"):
+                    second = int((s * _SECOND).min())
+                out.append((rep, tie, len(s), int(s[0]) - (1 << 63), second - (1 << 63), s.tobytes()))
+                held += 8 * len(s)
+                if held > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=names)
                     out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=names)
 
-    kinds, names = (pa.int64(), pa.int32(), pa.int64(), pa.binary()), ["home", "role", "rep", "payload"]
-    sent = wanted.mapInArrow(send, "home bigint, role int, rep bigint, payload binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with _small_batches(spark, 500):
-        links = written(sent.repartition(parts, "home").sortWithinPartitions("home", "role").mapInArrow(_verify, "a bigint, b bigint"), "links")
-    joined = connected_components(links)
+    return met.mapInArrow(lean(run), "rep bigint, tie bigint, n bigint, m1 bigint, m2 bigint, payload binary")
+
+
+def frequent_shingles(sets: DataFrame, hottest: int, portion: int = 500_000, times: int = 8) -> np.ndarray:
+    """Shingles by descending count, `hottest` at most, of those that occur `times` in some portion of the sets (payload).
+
+    Only the order of comparison hangs on them: any order that is the same for all sets gives all links.
+    """
+
+    def run(batches):
+        held, total = [], 0
+
+        def counted():
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            hot = n >= times
+            return pa.RecordBatch.from_arrays([pa.array(tokens[hot].view(np.int64)), pa.array(n[hot])], names=["f", "c"])
+
+        for batch in batches:
+            for v in batch.column(0):
+                held.append(np.frombuffer(v.as_buffer(), _U).copy())
+                total += len(held[-1])
+                if total > portion:
+                    yield counted()
+                    held, total = [], 0
+        if held:
+            yield counted()
+
+    found = sets.select("payload").mapInArrow(lean(run), "f bigint, c bigint")
+    top = found.groupBy("f").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "f").limit(hottest).collect()
+    return np.array([r["f"] for r in top], np.int64).view(_U)
+
+
+def rare_prefixes(members: DataFrame, hot: np.ndarray) -> DataFrame:
+    """f, tie, rep, n, comp, home: the shingles of which any linked set has one among its own."""
+    order = np.argsort(hot)
+    shared = members.sparkSession.sparkContext.broadcast((hot[order], (len(hot) - order).astype(np.int64)))
+
+    def run(batches):
+        known, rank = shared.value
+        for batch in batches:
+            f, sizes = [], []
+            for v in batch.column(5):
+                s = np.frombuffer(v.as_buffer(), _U)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, rank[at], 0), kind="stable")]  # rare ones first, by hash
+                f.append(s[: len(s) - -(-4 * len(s) // 5) + 1])
+                sizes.append(len(f[-1]))
+            if f:
+                spread = np.repeat(np.arange(len(f)), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f).view(np.int64)), *(batch.column(i).take(pa.array(spread)) for i in range(5))], names=["f", *batch.schema.names[:5]])
+
+    return members.select("tie", "rep", "n", "comp", "home", "payload").mapInArrow(lean(run), "f bigint, tie bigint, rep bigint, n bigint, comp bigint, home bigint")
+
+
+def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
+    out = members.join(components.select(F.col("node").alias("rep"), F.col("component")), "rep", "left")
+    return out.withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+def _unsettled(state: DataFrame) -> DataFrame:
+    """tie of the large groups that are in more than one component."""
+    each = state.groupBy("tie").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    return each.where("x <> y").select("tie")
+
+
+def _between_blocks(large: DataFrame, links: DataFrame, most: int, per_block: int, hottest: int) -> list[DataFrame]:
+    """Written tables of further links of groups of several blocks.  large: rep, tie, n, m2, home, payload."""
+    made: list[DataFrame] = []
+    keys = ["rep", "tie", "n", "m2", "home"]
+    # One member of each component, in other blocks.
+    state = _labelled(large.select(*keys), connected_components(links))
+    hubs = state.join(_unsettled(state), "tie", "left_semi").groupBy("tie", "comp").agg(F.min(F.struct("rep", "n", "m2")).alias("hub")).select("tie", "hub.*")
+    hubs = written(_homes(hubs, "m2", most, per_block).drop("large"), "hubs")
+    sent = large.select("rep", "payload").join(hubs, "rep").select("home", F.lit(0).alias("role"), "rep", F.col("rep").alias("label"), "payload")
+    made.append(written(_compared(sent), "links"))
+    dropped(hubs)
+    # The rest exactly.
+    state = _labelled(large.select(*keys), connected_components(links.unionByName(made[0])))
+    open_ = written(state.join(_unsettled(state), "tie", "left_semi"), "open")
+    if not open_.limit(1).count():
+        dropped(open_)
+        return made
+    full = large.select("rep", "payload").join(open_, "rep")
+    prefixes = written(rare_prefixes(full, frequent_shingles(full, hottest)), "prefixes")
+    there = prefixes.groupBy("f", "tie", "home").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("n1"), F.max("n").alias("n2"))
+    met = prefixes.select("f", "tie", "rep", "n", "comp", F.col("home").alias("own")).join(there, ["f", "tie"])
+    met = met.where("home < own AND NOT (c1 = comp AND c2 = comp) AND 4 * n <= 5 * n2 AND 4 * n1 <= 5 * n")
+    asked = written(met.select("rep", "home").distinct(), "asked")
+    targets = full.join(asked.select("home").distinct(), "home", "left_semi").select("home", F.lit(1).alias("role"), "rep", F.col("comp").alias("label"), "payload")
+    queries = asked.join(full.select("rep", "comp", "payload"), "rep").select("home", F.lit(2).alias("role"), "rep", F.col("comp").alias("label"), "payload")
+    made.append(written(_compared(targets.unionByName(queries)), "links"))
+    dropped(open_, prefixes, asked)
+    return made
+
+
+def similar_components(docs: DataFrame, *, size: int = 5, doc_id: str = "doc_id", text: str = "text", most: int = 768, per_block: int = 400_000, inline: int = 400_000, per_range: int = 250_000, hottest: int = 200_000) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links of similarity 0.8 or more)."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    with arrow_batches(spark):
+        signed = written(signatures(rows, size), "signatures")
+        total = signed.agg(F.sum("n")).first()[0] or 0
+        bits = min(24, max(4, math.ceil(math.log2(max(1, 0.3 * total / per_range)))))
+        shared = written(shared_prefixes(rows, size, bits), "shared")
+        enough, pairs = ties(shared)
+        tied = connected_components(pairs)
+        classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
+        alike = tied.select(F.col("node").alias("d1"), F.col("component").alias("tie"))
+        grouped = written(classes.join(alike, "d1"), "grouped")
+        members = written(_members(rows, grouped, size, inline), "members")
+        dropped(shared, enough, grouped)
+        homes = written(_homes(members.drop("payload"), "m1", most, per_block), "homes")
+        sent = members.select("rep", "payload").join(homes.select("rep", "home"), "rep").select("home", F.lit(0).alias("role"), "rep", F.col("rep").alias("label"), "payload")
+        links = written(_compared(sent), "links")
+        found = [links]
+        if homes.where("large").limit(1).count():
+            found += _between_blocks(members.select("rep", "payload").join(homes.where("large"), "rep"), links, most, per_block, hottest)
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        joined = connected_components(every)
+        dropped(members, homes, *found)
     spread = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     return signed.join(spread, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
