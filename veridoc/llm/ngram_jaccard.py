@@ -94,17 +94,18 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, column: int = 1) -> Iter
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, d1, d2: how many shingles, and a digest of the set (null if empty)."""
+    """doc_id, n, d1, d2, m1, m2: how many shingles, a digest of the set and its least shingle in two orders (null if empty)."""
 
     def run(batches):
         for batch, sets in _sets(batches, size):
-            n, d = [], []
+            n, more = [], []
             for s in sets:
                 n.append(len(s))
-                d.append(digests(s) if len(s) else (None, None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64())], names=["doc_id", "n", "d1", "d2"])
+                with np.errstate(over="ignore"):
+                    more.append((*digests(s), int(s[0]) - (1 << 63), int((s * _SECOND).min()) - (1 << 63)) if len(s) else (None,) * 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array([x[i] for x in more], pa.int64()) for i in range(4))], names=["doc_id", "n", "d1", "d2", "m1", "m2"])
 
-    return docs.mapInArrow(lean(run), "doc_id bigint, n bigint, d1 bigint, d2 bigint")
+    return docs.mapInArrow(lean(run), "doc_id bigint, n bigint, d1 bigint, d2 bigint, m1 bigint, m2 bigint")
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
@@ -226,7 +227,7 @@ def ties(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """d of the classes that share enough; a, b: those that have a shingle with a band's least class, and bands with the next."""
     enough = written(shared.groupBy("d", "n").agg(F.count_distinct("f").alias("m")).where("25 * m >= 2 * n").select("d").distinct(), "enough")
     left = shared.join(enough, "d", "left_semi").select("f", "band", "d")
-    least = written(left.groupBy("f", "band").agg(F.min("d").alias("least")), "least")
+    least = left.groupBy("f", "band").agg(F.min("d").alias("least"))
     own = left.join(least, ["f", "band"]).where("d <> least").select(F.col("d").alias("a"), F.col("least").alias("b"))
     above = least.select("f", (F.col("band") - 1).alias("band"), F.col("least").alias("b"))
     return enough, own.unionByName(least.join(above, ["f", "band"]).select(F.col("least").alias("a"), "b"))
@@ -360,30 +361,33 @@ def _homes(members: DataFrame, by: str, most: int, per_block: int) -> DataFrame:
     return placed.select(*members.columns, F.xxhash64("tie", "bucket", F.pmod(F.xxhash64("rep"), F.col("of_bucket"))).alias("home"), (F.col("of_tie") > 1).alias("large"))
 
 
-def _members(rows: DataFrame, grouped: DataFrame, size: int, inline: int) -> DataFrame:
-    """rep, tie, n, m1, m2 (two minimum hashes), payload (the whole set) of the tied classes."""
-    wanted = grouped.select(F.col("rep").alias("doc_id"), "d1", "d2", "tie")
-    few = grouped.count() <= inline
-    met = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "d1", "d2", "tie", "text")
-    kinds, names = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), ["rep", "tie", "n", "m1", "m2", "payload"]
+def _sent(rows: DataFrame, wanted: DataFrame, size: int, inline: int) -> DataFrame:
+    """rep, d1, d2 and the whole numbers of wanted (rep, d1, d2 and others) with payload, the whole set of that document."""
+    few = wanted.count() <= inline  # rows of a few whole numbers each
+    others = [c for c in wanted.columns if c not in ("rep", "d1", "d2")]
+    names = ["rep", "d1", "d2", *others]
+    met = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("rep")).select(*names, "text")
 
     def run(batches):
-        for batch, sets in _sets(batches, size, 4):
-            out, held = [], 0
-            for (rep, d1, d2, tie), s in zip(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True), sets, strict=True):
-                if digests(s) != (d1, d2):
+        for batch, sets in _sets(batches, size, len(names)):
+            at, payloads, held = [], [], 0
+
+            def flush():
+                return pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at)) for i in range(len(names))), pa.array(payloads, pa.binary())], names=[*names, "payload"])  # noqa: B023
+
+            for i, (d1, d2, s) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), sets, strict=True)):
+                if not len(s) or digests(s) != (d1, d2):
                     continue  # another row of the same id
-                with np.errstate(over="ignore"):
-                    second = int((s * _SECOND).min())
-                out.append((rep, tie, len(s), int(s[0]) - (1 << 63), second - (1 << 63), s.tobytes()))
+                at.append(i)
+                payloads.append(s.tobytes())
                 held += 8 * len(s)
                 if held > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=names)
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=names)
+                    yield flush()
+                    at, payloads, held = [], [], 0
+            if at:
+                yield flush()
 
-    return met.mapInArrow(lean(run), "rep bigint, tie bigint, n bigint, m1 bigint, m2 bigint, payload binary")
+    return met.mapInArrow(lean(run), ", ".join(f"{n} bigint" for n in names) + ", payload binary")
 
 
 def frequent_shingles(sets: DataFrame, hottest: int, portion: int = 500_000, times: int = 8) -> np.ndarray:
@@ -449,33 +453,35 @@ def _unsettled(state: DataFrame) -> DataFrame:
     return each.where("x <> y").select("tie")
 
 
-def _between_blocks(large: DataFrame, links: DataFrame, most: int, per_block: int, hottest: int) -> list[DataFrame]:
-    """Written tables of further links of groups of several blocks.  large: rep, tie, n, m2, home, payload."""
+def _between_blocks(rows: DataFrame, large: DataFrame, links: DataFrame, size: int, most: int, per_block: int, inline: int, hottest: int) -> list[DataFrame]:
+    """Written tables of further links of groups of several blocks.  large: rep, d1, d2, tie, n, m2, home."""
     made: list[DataFrame] = []
-    keys = ["rep", "tie", "n", "m2", "home"]
     # One member of each component, in other blocks.
-    state = _labelled(large.select(*keys), connected_components(links))
-    hubs = state.join(_unsettled(state), "tie", "left_semi").groupBy("tie", "comp").agg(F.min(F.struct("rep", "n", "m2")).alias("hub")).select("tie", "hub.*")
-    hubs = written(_homes(hubs, "m2", most, per_block).drop("large"), "hubs")
-    sent = large.select("rep", "payload").join(hubs, "rep").select("home", F.lit(0).alias("role"), "rep", F.col("rep").alias("label"), "payload")
+    state = _labelled(large, connected_components(links))
+    hubs = state.join(_unsettled(state), "tie", "left_semi").groupBy("tie", "comp").agg(F.min(F.struct("rep", "n", "m2", "d1", "d2")).alias("hub")).select("tie", "hub.*")
+    hubs = written(_homes(hubs, "m2", most, per_block).select("rep", "d1", "d2", "home"), "hubs")
+    sent = _sent(rows, hubs, size, inline).select("home", F.lit(0).alias("role"), "rep", F.col("rep").alias("label"), "payload")
     made.append(written(_compared(sent), "links"))
     dropped(hubs)
     # The rest exactly.
-    state = _labelled(large.select(*keys), connected_components(links.unionByName(made[0])))
-    open_ = written(state.join(_unsettled(state), "tie", "left_semi"), "open")
+    state = _labelled(large, connected_components(links.unionByName(made[0])))
+    open_ = written(state.join(_unsettled(state), "tie", "left_semi").select("rep", "d1", "d2", "tie", "n", "comp", "home"), "open")
     if not open_.limit(1).count():
         dropped(open_)
         return made
-    full = large.select("rep", "payload").join(open_, "rep")
+    full = written(_sent(rows, open_, size, inline), "full")
     prefixes = written(rare_prefixes(full, frequent_shingles(full, hottest)), "prefixes")
     there = prefixes.groupBy("f", "tie", "home").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("n1"), F.max("n").alias("n2"))
     met = prefixes.select("f", "tie", "rep", "n", "comp", F.col("home").alias("own")).join(there, ["f", "tie"])
     met = met.where("home < own AND NOT (c1 = comp AND c2 = comp) AND 4 * n <= 5 * n2 AND 4 * n1 <= 5 * n")
     asked = written(met.select("rep", "home").distinct(), "asked")
-    targets = full.join(asked.select("home").distinct(), "home", "left_semi").select("home", F.lit(1).alias("role"), "rep", F.col("comp").alias("label"), "payload")
-    queries = asked.join(full.select("rep", "comp", "payload"), "rep").select("home", F.lit(2).alias("role"), "rep", F.col("comp").alias("label"), "payload")
+    dropped(prefixes)
+    homes = written(asked.select("home").distinct(), "homes")
+    small = lambda t: F.broadcast(t) if t.count() <= inline else t
+    targets = full.join(small(homes), "home", "left_semi").select("home", F.lit(1).alias("role"), "rep", F.col("comp").alias("label"), "payload")
+    queries = full.select("rep", "comp", "payload").join(small(asked), "rep").select("home", F.lit(2).alias("role"), "rep", F.col("comp").alias("label"), "payload")
     made.append(written(_compared(targets.unionByName(queries)), "links"))
-    dropped(open_, prefixes, asked)
+    dropped(open_, full, asked, homes)
     return made
 
 
@@ -490,21 +496,21 @@ def similar_components(docs: DataFrame, *, size: int = 5, doc_id: str = "doc_id"
         shared = written(shared_prefixes(rows, size, bits), "shared")
         enough, pairs = ties(shared)
         tied = connected_components(pairs)
-        classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-        alike = tied.select(F.col("node").alias("d1"), F.col("component").alias("tie"))
-        grouped = written(classes.join(alike, "d1"), "grouped")
-        members = written(_members(rows, grouped, size, inline), "members")
-        dropped(shared, enough, grouped)
-        homes = written(_homes(members.drop("payload"), "m1", most, per_block), "homes")
-        sent = members.select("rep", "payload").join(homes.select("rep", "home"), "rep").select("home", F.lit(0).alias("role"), "rep", F.col("rep").alias("label"), "payload")
+        dropped(shared)
+        classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("m1").alias("m1"), F.first("m2").alias("m2"))
+        grouped = classes.join(tied.select(F.col("node").alias("d1"), F.col("component").alias("tie")), "d1")
+        members = written(_homes(grouped.select("rep", "d1", "d2", "tie", "n", "m1", "m2"), "m1", most, per_block), "members")
+        dropped(enough)
+        sent = _sent(rows, members.select("rep", "d1", "d2", "home"), size, inline).select("home", F.lit(0).alias("role"), "rep", F.col("rep").alias("label"), "payload")
         links = written(_compared(sent), "links")
         found = [links]
-        if homes.where("large").limit(1).count():
-            found += _between_blocks(members.select("rep", "payload").join(homes.where("large"), "rep"), links, most, per_block, hottest)
+        large = members.where("large").select("rep", "d1", "d2", "tie", "n", "m2", "home")
+        if large.limit(1).count():
+            found += _between_blocks(rows, large, links, size, most, per_block, inline, hottest)
         every = found[0]
         for more in found[1:]:
             every = every.unionByName(more)
         joined = connected_components(every)
-        dropped(members, homes, *found)
+        dropped(members, *found)
     spread = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
-    return signed.join(spread, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return signed.select("doc_id", "n", "d1", "d2").join(spread, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
