@@ -1,101 +1,104 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
-
-Fit, on a bounded sample of labelled rows (`sample` of each label, by hash order): one half gives the dictionaries.
-Their contents are the segments by which the two kinds of text differ: word beginnings that occur in many more different
-contexts of one kind than of the other (different contexts, so copies of one text count once), each extended while its
-continuation is the same.  The other half gives the calibration: a logistic model over the document's window distances.
-
-Score: the whole text is cut into windows of a few words; each is compressed once with either dictionary; the distance is
-the difference of the two lengths.  Windows are so short that a compressor would store them plainly, so a fixed primer that
-both dictionaries contain comes first.  A document's features are how many and which share of its windows reach each
-distance (thresholds 1 to `DEPTH`), calibrated to a probability.
-
-Scale: dictionaries and model are a few kilobytes, and scoring is one pass in Arrow batches without a shuffle; memory is
-a window's.  The labelled sample is found by a top-n of hashes (never a sort of all rows).
-
-Defined cases: null and empty texts have no windows and get the score of no evidence; very long words count as words
-and are compressed whole; without labelled rows of both kinds every score is the share of toxic rows (0 if none);
-repeated rows each return a row; an empty table returns no rows; extra columns are ignored.
+"""Toxicity by compression distance: two zstandard dictionaries, trained on toxic and on ordinary text.
+
+Fit, on a bounded sample of labelled rows (`sample` of each label, by hash order), in halves.  The first half trains three
+dictionaries with zstandard's own trainer: a base on ordinary text, which both sides share (what all text has then costs
+both the same, and only what the kinds of text differ in is left); one on windows of toxic text; one on as many windows of
+ordinary text.  Toxic rows are mostly ordinary text, so the toxic windows are those whose middle word begins as words do
+that toxic text has in far more different contexts than ordinary text (contexts, so copies of one text count once);
+without any such word all windows are taken.  The second half gives the calibration: a logistic model over the
+document's window distances.
+
+Score: the whole text is cut into windows of a few words; each is compressed with the base and either dictionary, and the
+distance is the difference of the two lengths.  Windows are so short that a compressor would store them plainly, so a
+fixed primer that both sides know comes first.  A document's features are how many and which share of its windows
+reach each distance (thresholds 1 to `DEPTH`), calibrated to a probability.
+
+Scale: dictionaries and model are some tens of kilobytes, and scoring is one pass in Arrow batches without a shuffle; memory
+is a window's.  The labelled sample is found by a top-n of hashes (never a sort of all rows).
+
+Defined cases: null and empty texts have no windows and get the score of no evidence; very long texts are scored whole,
+and very long words count as words and are compressed whole; without labelled rows of both kinds every score is the share
+of toxic rows (0 if none); ties of a sample's hash go by doc_id; repeated rows each return a row; an empty table returns no
+rows; extra columns, whatever their names, are ignored (accepted() returns them).
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from .common import lean
 from .fitting import fit_logistic, sigmoid
 
 #: Distances from 1 to DEPTH are told apart; windows have WINDOW words.
-DEPTH, WINDOW = 10, 3
-#: Bytes that text doesn't have, known to both dictionaries.
+DEPTH, WINDOW = 12, 3
+#: Bytes of the shared base and of either kind's dictionary.
+BASE, SIZE = 32768, 4096
+#: Bytes that text doesn't have, known to both sides.
 PRIMER = bytes((i * 73 + 200) % 256 for i in range(48))
 _WORD = re.compile(rb"\S+")
 _WINDOW = re.compile(rb"(?:\S+\s*){1,%d}" % WINDOW)
 
 
-def _beginnings(texts: list[str], least: int, most: int) -> tuple[Counter, int]:
-    """For each beginning of a word (with its space) in how many different contexts it stands; how many contexts there are."""
-    contexts: set[tuple[bytes, bytes, bytes]] = set()
+def _contexts(texts: list[str]) -> list[tuple[bytes, bytes, bytes]]:
+    """Different words with their neighbours, in order of a hash."""
+    out: set[tuple[bytes, bytes, bytes]] = set()
     for t in texts:
         words = _WORD.findall(t.encode().lower())
-        contexts.update(zip([b"", *words[:-1]], words, [*words[1:], b""], strict=True))
+        out.update(zip([b"", *words[:-1]], words, [*words[1:], b""], strict=True))
+    return sorted(out, key=lambda c: (xxhash.xxh3_64_intdigest(b"\n".join(c)), c))
+
+
+def _beginnings(contexts: list[tuple[bytes, bytes, bytes]], least: int, most: int) -> Counter:
+    """In how many contexts a beginning of a word (with its space) stands."""
     out: Counter = Counter()
     for word, n in Counter(c[1] for c in contexts).items():
         word = b" " + word[:most]
         for i in range(least, len(word) + 1):
             out[word[:i]] += n
-    return out, len(contexts)
-
-
-def distinctive(own: list[str], other: list[str], *, size: int = 4000, times: float = 12, deviations: float = 12, occurrences: int = 12, least: int = 4, most: int = 24) -> list[bytes]:
-    """Segments that mark texts of `own` against `other`, the most frequent last, of `size` bytes at most."""
-    (a, na), (b, nb) = _beginnings(own, least, most), _beginnings(other, least, most)
-    expected = lambda p: (b[p] + 0.5) * na / max(nb, 1)
-    marks = lambda p: a[p] >= occurrences and a[p] > times * expected(p) and a[p] - expected(p) > deviations * math.sqrt(expected(p) + 1)
-    longer: dict[bytes, list[bytes]] = defaultdict(list)
-    for p in a:
-        longer[p[:-1]].append(p)
-    found: dict[bytes, int] = {}
-    roots: set[bytes] = set()
-    for p in sorted(filter(marks, a), key=lambda p: (len(p), p)):
-        if any(p[:i] in roots for i in range(least, len(p))):
-            continue
-        roots.add(p)
-        segment = p
-        while follows := [q for q in longer[segment] if a[q] >= 0.9 * a[segment]]:
-            segment = follows[0]
-        found[segment] = a[p]
-    out, total = [], 0
-    for s in sorted(found, key=lambda s: (-found[s], s)):
-        total += len(s)
-        if total > size:
-            break
-        out.append(s)
-    return out[::-1]
-
-
-def frequent(texts: list[str], size: int) -> bytes:
-    """The most frequent longer words, filling `size` bytes."""
-    counts = Counter(w for t in texts for w in _WORD.findall(t.encode().lower()) if 4 < len(w) < 25)
-    return b"".join(b" " + w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: size // 5 + 1])[:size]
+    return out
+
+
+def marked(own: list[tuple], other: list[tuple], *, times: float = 12, deviations: float = 12, occurrences: int = 12, least: int = 4, most: int = 24) -> list[tuple]:
+    """The contexts of own whose word begins as words do that own has far more often than other."""
+    a, b = _beginnings(own, least, most), _beginnings(other, least, most)
+    scale = len(own) / max(len(other), 1)
+
+    def marks(p: bytes) -> bool:
+        expected = (b[p] + 0.5) * scale
+        return a[p] >= occurrences and a[p] > times * expected and a[p] - expected > deviations * math.sqrt(expected + 1)
+
+    found = set(filter(marks, a))
+    return [c for c in own if any((b" " + c[1])[:i] in found for i in range(least, min(len(c[1]) + 1, most) + 1))]
+
+
+def trained(contexts: list[tuple], size: int, segment: int) -> bytes:
+    """A dictionary that zstandard trains on windows; of too few windows, the windows themselves."""
+    windows = [b" " + b" ".join(c) + b" " for c in contexts]
+    try:
+        return zstandard.train_dictionary(size, windows, k=segment, d=6 if segment < 32 else 8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(windows)[:size]
 
 
 class Distances:
-    """Window distances of texts between the two dictionaries."""
+    """Window distances of texts between the two dictionaries, both behind the base."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.both = [self._compressor(d + PRIMER) for d in (ordinary, toxic)]
+    def __init__(self, base: bytes, toxic: bytes, ordinary: bytes):
+        size = max(len(toxic), len(ordinary))  # equal lengths, so the base is equally far away
+        self.both = [self._compressor(base + d.rjust(size, b"\0") + PRIMER) for d in (ordinary, toxic)]
 
     @staticmethod
     def _compressor(content: bytes):
-        how = zstandard.ZstdCompressionParameters.from_level(5, source_size=192, dict_size=len(content), min_match=4, strategy=zstandard.STRATEGY_LAZY, hash_log=14, chain_log=14, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
+        how = zstandard.ZstdCompressionParameters(window_log=18, hash_log=15, chain_log=16, search_log=4, min_match=6, target_length=32, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
 
     def histogram(self, text: str) -> np.ndarray:
@@ -116,8 +119,8 @@ def features(histograms: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, toxic: bytes, ordinary: bytes, weights: np.ndarray, shift: np.ndarray, scale: np.ndarray, prior: float):
-        self.toxic, self.ordinary, self.weights, self.shift, self.scale, self.prior = toxic, ordinary, weights, shift, scale, prior
+    def __init__(self, base: bytes, toxic: bytes, ordinary: bytes, weights: np.ndarray, shift: np.ndarray, scale: np.ndarray, prior: float):
+        self.base, self.toxic, self.ordinary, self.weights, self.shift, self.scale, self.prior = base, toxic, ordinary, weights, shift, scale, prior
         self.distances: Distances | None = None
 
     def __getstate__(self):
@@ -126,7 +129,7 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         if not len(self.weights):
             return np.full(len(texts), self.prior)
-        self.distances = self.distances or Distances(self.toxic, self.ordinary)
+        self.distances = self.distances or Distances(self.base, self.toxic, self.ordinary)
         x = features(np.array([self.distances.histogram(t) for t in texts]).reshape(len(texts), DEPTH + 1))
         return sigmoid(np.c_[(x - self.shift) / self.scale, np.ones(len(x))] @ self.weights)
 
@@ -135,17 +138,16 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
     """share: of toxic rows among labelled ones, for the calibration."""
     none = np.zeros(0)
     if len(toxic) < 4 or len(ordinary) < 4:
-        return Model(b"", b"", none, none, none, share)
-    marks = distinctive(toxic[::2], ordinary[::2])
-    content = b"".join(marks) or frequent(toxic[::2], 200)
-    against = b"".join(distinctive(ordinary[::2], toxic[::2], size=len(content)))
-    against = (against + frequent(ordinary[::2], len(content)))[: len(content)].ljust(len(content), b" ")
-    model = Distances(content, against)
+        return Model(b"", b"", b"", none, none, none, share)
+    own, other = _contexts(toxic[::2]), _contexts(ordinary[::2])
+    windows = marked(own, other) or own
+    dictionaries = trained(other, BASE, 32), trained(windows, SIZE, 16), trained(other[: len(windows)], SIZE, 16)
+    model = Distances(*dictionaries)
     y = np.r_[np.ones(len(toxic[1::2])), np.zeros(len(ordinary[1::2]))]
     x = features(np.array([model.histogram(t) for t in [*toxic[1::2], *ordinary[1::2]]]))
     shift, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     weights = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return Model(content, against, fit_logistic((x - shift) / scale, y, weights=weights), shift, scale, share)
+    return Model(*dictionaries, fit_logistic((x - shift) / scale, y, weights=weights), shift, scale, share)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> tuple[list[str], list[str], float]:
@@ -174,7 +176,7 @@ def score_documents(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", te
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("_text"))
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", score double, predicted int")
+    return rows.mapInArrow(lean(run), ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -187,7 +189,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             s = np.concatenate([np.zeros(0), *(shared.value.scores([v.as_py() or ""]) for v in batch.column(at))])
             yield batch.filter(pa.array(s < 0.5, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out():
