@@ -105,9 +105,13 @@ def pair_hashes(hashes: str, gap: int, size: Column) -> Column:
     return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(gap + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
-def union_columns(names: Iterable[str], taken: Iterable[str]) -> list[str]:
-    taken = set(taken)
-    return [n for n in names if n not in taken]
+def unused(taken: Iterable[str], name: str) -> str:
+    """name, with underscores before it until no column is called so (in any case)."""
+    low = {t.lower() for t in taken}
+    name = f"_{name}"
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
 
 
 def without(docs: DataFrame, ids: DataFrame, inline: int = 1_000_000) -> DataFrame:

@@ -4,8 +4,8 @@ Fit, on a bounded sample of labelled rows (`sample` of each label, by hash order
 dictionaries with zstandard's own trainer: a base on ordinary text, which both sides share (what all text has then costs
 both the same, and only what the kinds of text differ in is left); one on windows of toxic text; one on as many windows of
 ordinary text.  Toxic rows are mostly ordinary text, so the toxic windows are those whose middle word begins as words do
-that toxic text has in far more different contexts than ordinary text (contexts, so copies of one text count once);
-without any such word all windows are taken.  The second half gives the calibration: a logistic model over the
+in far more toxic than ordinary texts (a text counts for a word in a context that no earlier one had, so copies count
+once); without any such word all windows are taken.  The second half gives the calibration: a logistic model over the
 document's window distances.
 
 Score: the whole text is cut into windows of a few words; each is compressed with the base and either dictionary, and the
@@ -48,29 +48,29 @@ _WORD = re.compile(rb"\S+")
 _WINDOW = re.compile(rb"(?:\S+\s*){1,%d}" % WINDOW)
 
 
-def _contexts(texts: list[str]) -> list[tuple[bytes, bytes, bytes]]:
-    """Different words with their neighbours, in order of a hash."""
-    out: set[tuple[bytes, bytes, bytes]] = set()
-    for t in texts:
+def _contexts(texts: list[str]) -> dict[tuple[bytes, bytes, bytes], int]:
+    """Different words with their neighbours, each with the first text that has it; in order of a hash."""
+    out: dict[tuple[bytes, bytes, bytes], int] = {}
+    for i, t in enumerate(texts):
         words = _WORD.findall(t.encode().lower())
-        out.update(zip([b"", *words[:-1]], words, [*words[1:], b""], strict=True))
-    return sorted(out, key=lambda c: (xxhash.xxh3_64_intdigest(b"\n".join(c)), c))
+        for c in zip([b"", *words[:-1]], words, [*words[1:], b""], strict=True):
+            out.setdefault(c, i)
+    return dict(sorted(out.items(), key=lambda c: (xxhash.xxh3_64_intdigest(b"\n".join(c[0])), c[0])))
 
 
-def _beginnings(contexts: list[tuple[bytes, bytes, bytes]], least: int, most: int) -> Counter:
-    """In how many contexts a beginning of a word (with its space) stands."""
-    out: Counter = Counter()
-    for word, n in Counter(c[1] for c in contexts).items():
+def _beginnings(contexts: dict[tuple, int], least: int, most: int) -> Counter:
+    """In how many texts a beginning of a word (with its space) stands in a context that no earlier text had."""
+    own: dict[int, set[bytes]] = {}
+    for (_, word, _), i in contexts.items():
         word = b" " + word[:most]
-        for i in range(least, len(word) + 1):
-            out[word[:i]] += n
-    return out
+        own.setdefault(i, set()).update(word[:j] for j in range(least, len(word) + 1))
+    return Counter(p for found in own.values() for p in found)
 
 
-def marked(own: list[tuple], other: list[tuple], *, times: float = 12, deviations: float = 12, occurrences: int = 12, least: int = 4, most: int = 24) -> list[tuple]:
-    """The contexts of own whose word begins as words do that own has far more often than other."""
+def marked(own: dict[tuple, int], other: dict[tuple, int], *, times: float = 6, deviations: float = 6, occurrences: int = 6, least: int = 5, most: int = 24) -> list[tuple]:
+    """The contexts of own whose word begins as words do in far more texts of own than of other."""
     a, b = _beginnings(own, least, most), _beginnings(other, least, most)
-    scale = len(own) / max(len(other), 1)
+    scale = len(set(own.values())) / max(len(set(other.values())), 1)
 
     def marks(p: bytes) -> bool:
         expected = (b[p] + 0.5) * scale
@@ -140,8 +140,8 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
     if len(toxic) < 4 or len(ordinary) < 4:
         return Model(b"", b"", b"", none, none, none, share)
     own, other = _contexts(toxic[::2]), _contexts(ordinary[::2])
-    windows = marked(own, other) or own
-    dictionaries = trained(other, BASE, 32), trained(windows, SIZE, 16), trained(other[: len(windows)], SIZE, 16)
+    windows = marked(own, other) or list(own)
+    dictionaries = trained(list(other), BASE, 32), trained(windows, SIZE, 16), trained(list(other)[: len(windows)], SIZE, 16)
     model = Distances(*dictionaries)
     y = np.r_[np.ones(len(toxic[1::2])), np.zeros(len(ordinary[1::2]))]
     x = features(np.array([model.histogram(t) for t in [*toxic[1::2], *ordinary[1::2]]]))
