@@ -47,7 +47,7 @@ def corpus(seed=1, n=60):
 
 
 def test_url_filter(spark):
-    urls = [None, "", "no scheme", "http://A.example.NET/en/x?q#f", "https://net/", "http://xnet/", "http://a.net", "http://b.org/fr/1", "http://b.org/de/1", "ftp://ads.example.org/click/", "http://example.com/de/?u=http://x/", "http://example.com:80/de/", "http://b.org/fr/1"]
+    urls = [None, "", "no scheme", "http://A.example.NET/en/x?q#f", "https://net/", "http://xnet/", "http://a.net", "http://b.org/fr/1", "http://b.org/de/1", "ftp://ads.example.org/click/", "http://example.com/de/?u=http://x/", "http://example.com:80/de/", "http://b.org/fr/1", "http://Offer3.example.com/deal/3", "https://a.free-bets.example.com/x?q"]
     df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
     expected = []
     for u in urls:
@@ -57,13 +57,24 @@ def test_url_filter(spark):
         listed = (host + path).rstrip("/") in url_filter.LISTED
         expected.append((host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "block" if listed else "allow"))
     rules, lists = url_filter.default_lists(spark)
-    for inline in (4096, 0):  # the filter inside the plan, and as a table
-        got = url_filter.judge_urls(df, rules, lists, keep=("page_id",), inline_keys=inline).orderBy("page_id").collect()
+    for most in (1 << 19, 2):  # a roomy filter, and one that lets nearly all pass
+        got = url_filter.judge_urls(df, rules, lists, keep=("page_id",), most_blocks=most).orderBy("page_id").collect()
         assert [(r.host, r.path, r.rule, r.verdict) for r in got] == expected
     assert url_filter.judge_urls(df.limit(0), rules, lists, keep=("page_id",)).count() == 0
     assert {r.verdict for r in url_filter.judge_urls(df, rules.limit(0), lists.limit(0), keep=("page_id",)).collect()} == {"allow"}
 
 
+def test_url_canonical_forms(spark):
+    """One list entry is found in all its notations; the filter lets few others pass."""
+    urls = ["http://WWW.Bad.example.edu:80/a/%7Eb/#f", "https://bad.example.edu./a/~b?x=1", "http://bad.example.edu:443/a/~b//", "http://bad.example.edu:8080/a/~b", "http://bad.example.edu/a/~B", "http://offer3.example.edu/deal/3"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules, lists = url_filter.default_lists(spark)
+    one = spark.createDataFrame([("bad.example.edu/a/~b/",), ("BAD.example.edu/a/%7eb",)], "url string")
+    got = url_filter.judge_urls(df, rules, one, keep=("page_id",)).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block"] * 3 + ["allow"] * 3
+    assert url_filter.judge_urls(spark.createDataFrame([(0, "http://offer3.example.net/deal/3")], "page_id long, url string"), rules.limit(0), lists, keep=("page_id",)).first().verdict == "block"
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"))
     bloom = {r.block: r for r in url_filter.build_bloom(keys, 50).collect()}
@@ -400,6 +411,9 @@ def test_line_dedup(spark, inline):
         expected.append(None if t is None else "\n".join(keep))
     got = line_dedup.dedup_lines(frame(spark, texts), inline=inline).orderBy("doc_id").collect()
     assert [r.text for r in got] == expected and all(r.n_chars == len(r.text) for r in got if r.text is not None)
+    clash = frame(spark, texts).selectExpr("*", "1 AS lines", "2 AS n_near", "3 AS _lines", "4 AS _id")
+    more = line_dedup.dedup_lines(clash, inline=inline, counts=("a", "b", "c")).orderBy("doc_id").collect()
+    assert [r.text for r in more] == expected and {(r.lines, r.n_near, r._lines, r._id) for r in more} == {(1, 2, 3, 4)}
     again = frame(spark, texts)
     assert line_dedup.dedup_lines(again.unionByName(again)).count() == 2 * len(texts)
     assert line_dedup.dedup_lines(again.limit(0)).count() == 0

@@ -8,19 +8,21 @@ end inside the document (length bound).  What is left is verified word by word a
 the same stage.  Only true occurrences leave it, so a hot document, item or word never sends candidate pairs through a
 shuffle.
 
-Broadcast: the windows, up to `broadcast_windows` of them (counted first); beyond that the words are shuffled to
-them on the rare word (an adaptive, splittable join).
+Broadcast: the windows (`window` words each), up to `broadcast_windows` of them (counted first); beyond that the places of
+words are shuffled to them on the rare word, without the texts (an adaptive, splittable join), and the places that fit get
+their text by document.
 
-Defined cases: null texts have no words; repeated document rows each return a row with the same figures; items without
+Defined cases: null texts have no words; texts of any length are taken whole; of equally rare words the first in the
+alphabet counts; repeated document rows each return a row with the same figures; items without
 words have no windows; equal items are all named; an empty benchmark or document table gives no hits or no rows; extra
-columns are ignored.
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import UPPER, text_of, written
+from .common import UPPER, dropped, text_of, written
 
 #: Characters between words: ASCII but for digits and letters.  Capitals are word characters before lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -56,9 +58,16 @@ def contained_windows(docs: DataFrame, items: DataFrame, *, window: int = 10, do
     rarity = numbered.join(counted, "key").groupBy("window").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("n", "key", "place")).alias("rare"), F.first("item_ids").alias("item_ids"))
     # A window that has a word no document has occurs nowhere.
     needed = written(rarity.where(F.col("found") == F.size("window")).select("window", F.size("window").alias("size"), "item_ids", F.col("rare.key").alias("key"), F.col("rare.place").alias("place")), "rarest")
-    places = rows.select("doc_id", F.xxhash64("text").alias("copy"), bench_words(F.col("text")).alias("words")).select("doc_id", "copy", "words", F.posexplode("words").alias("at", "word")).withColumn("key", F.lower("word"))
-    met = places.join(small(needed), "key")
+    dropped(windows)
+    of = rows.select("doc_id", F.xxhash64("text").alias("copy"), bench_words(F.col("text")).alias("words"))
+    at = lambda *more: of.select("doc_id", "copy", *more, F.posexplode("words").alias("at", "word")).withColumn("key", F.lower("word"))
     start = F.col("at") - F.col("place")
+    if few:
+        met = at("words").join(F.broadcast(needed), "key")
+    else:
+        # Places meet the rare words without their texts; the few that do get their text again by document.
+        spots = at(F.size("words").alias("n_words")).select("doc_id", "copy", "at", "key", "n_words").join(needed, "key").where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
+        met = spots.drop("n_words").join(of.dropDuplicates(["doc_id", "copy"]), ["doc_id", "copy"])
     bounded = met.where((start >= 0) & (start + F.col("size") <= F.size("words")))
     same = F.slice("words", start + 1, F.col("size"))
     return bounded.where(low(F.array_join(same, " ")) == F.array_join("window", " ")).select("doc_id", "copy", start.alias("start"), "size", "item_ids")

@@ -17,13 +17,19 @@ the query and the pipeline use, every line with a word takes part, and lines of
 4. Each (line, key's partner) is verified on the words' own hashes, and a line goes if any of them holds; then texts are
    written without the dropped lines.
 
+An earlier line counts whether or not it stays itself, so a chain of lines, each one word from the one before, goes but for its
+first: "keep earliest" then needs no order of decisions, and which lines go doesn't hang on how the table is split.  The
+bound is one word at any length: lines with two changed words stay.
+
 Scale: a line that holds a third of all lines is summed before each shuffle, and joins on a line's or variant's key are
-ones that can be split.  Documents are read three times and only shuffled if more than `inline` documents are
-concerned (below, their line numbers are broadcast).
+ones that can be split.  Documents are read three times and only shuffled if more than `inline` lines are
+concerned (below, their numbers are broadcast).
 
 Defined cases: null text stays null, empty text empty, and neither has lines; blank lines stay; repeated rows of one doc_id and
 text are one place and get the same result; rows without a doc_id stay as they are; ties can't arise (a
-place is unique); an empty table returns no rows; all columns of the input are returned, n_chars brought up to date.
+place is unique); texts and lines of any length are taken whole; an empty table returns no rows; doc_id is a whole number
+(bigint); all columns of the input are returned whatever their names, n_chars brought up to date, but for those called as
+the `counts`, whose place the result's take.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import dropped, written
+from .common import arrow_batches, dropped, lean, unused, written
 
 #: Parameters of the whole job.
 WHOLE = {"least_words": 1, "near_words": 5}
@@ -79,7 +85,7 @@ def lines_of(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
             if out:
                 yield _batch(out, _LINES)
 
-    return docs.mapInArrow(run, "doc_id bigint, line int, n int, h bigint, g bigint, halves array<bigint>")
+    return docs.mapInArrow(lean(run), "doc_id bigint, line int, n int, h bigint, g bigint, halves array<bigint>")
 
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("halves", pa.list_(pa.int64()))])
@@ -90,10 +96,14 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
+def _small(lists: DataFrame, inline: int) -> DataFrame:
+    """lists (doc_id, lines and a few numbers), to be broadcast if they have at most `inline` lines in all."""
+    return F.broadcast(lists) if (lists.agg(F.sum(F.size("lines"))).first()[0] or 0) <= inline else lists
+
+
 def _word_hashes(docs: DataFrame, at: DataFrame, inline: int) -> DataFrame:
     """doc_id, line, flags, words (hashes in order) of the lines that at (doc_id, lines: array of line, flags) names."""
-    few = at.count() <= inline
-    rows = docs.join(F.broadcast(at) if few else at, "doc_id").select("doc_id", "text", "lines")
+    rows = docs.join(_small(at, inline), "doc_id").select("doc_id", "text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("flags", pa.int32()), ("words", pa.list_(pa.int64()))])
@@ -108,7 +118,7 @@ def _word_hashes(docs: DataFrame, at: DataFrame, inline: int) -> DataFrame:
             if out:
                 yield _batch(out, schema)
 
-    return rows.mapInArrow(run, "doc_id bigint, line int, flags int, words array<bigint>")
+    return rows.mapInArrow(lean(run), "doc_id bigint, line int, flags int, words array<bigint>")
 
 
 #: Kinds of keys: a whole line, a line without a word, a line without a word whose place and length count.
@@ -152,7 +162,7 @@ def _variants(suspects: DataFrame) -> DataFrame:
                 keys, kinds = variant_keys(words.values.to_numpy(), flags)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), pa.array(np.full(len(keys), doc, np.int64)), pa.array(np.full(len(keys), line, np.int32))], schema=_VARIANTS)
 
-    return suspects.mapInArrow(_merged(run, 100_000), "key bigint, kind tinyint, doc_id bigint, line int")
+    return suspects.mapInArrow(lean(_merged(run, 100_000)), "key bigint, kind tinyint, doc_id bigint, line int")
 
 
 def _merged(run, rows: int):
@@ -189,10 +199,10 @@ def _verified(pairs: DataFrame) -> DataFrame:
             ok = [within_one_edit(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["doc_id", "line"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(run, "doc_id bigint, line int")
+    return pairs.mapInArrow(lean(run), "doc_id bigint, line int")
 
 
-def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_words: int = 5, near_words: int = 10, inline: int = 400_000) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_words: int = 5, near_words: int = 10, inline: int = 1_000_000) -> DataFrame:
     """doc_id, lines (sorted line numbers to drop), n_near (how many of them only nearly equal an earlier one)."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     lines = written(lines_of(rows, least_words, near_words), "lines")
@@ -221,14 +231,20 @@ def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     return out
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", inline: int = 400_000, **more) -> DataFrame:
-    """docs with the kept lines as text (n_chars brought up to date) and, beside its columns, n_lines, n_dropped, n_near."""
-    drop = dropped_lines(docs, doc_id=doc_id, text=text, inline=inline, **more).withColumnRenamed("doc_id", "_id")
-    few = drop.count() <= inline
-    joined = docs.join(F.broadcast(drop) if few else drop, F.col(doc_id).cast("bigint") == F.col("_id"), "left")
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", inline: int = 1_000_000, counts: tuple[str, str, str] = ("n_lines", "n_dropped", "n_near"), **more) -> DataFrame:
+    """docs with the kept lines as text (n_chars brought up to date) and, beside its columns, the counts of lines, dropped and nearly equal ones."""
+    at, lines, near, new = (unused(docs.columns, n) for n in ("id", "lines", "near", "new"))
+    with arrow_batches(docs.sparkSession):
+        found = dropped_lines(docs, doc_id=doc_id, text=text, inline=inline, **more)
+    drop = _small(found, inline).withColumnsRenamed({"doc_id": at, "lines": lines, "n_near": near})
+    joined = docs.join(drop, F.col(doc_id).cast("bigint") == F.col(at), "left")
     parts = F.split(F.col(text), "\n", -1)
-    kept = F.when(F.col("lines").isNull(), F.col(text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("lines", i)), "\n"))
-    changed = {text: kept} | ({"n_chars": F.char_length(kept).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    names = [F.col(c) if c not in changed else changed[c].alias(c) for c in docs.columns]
-    counts = [F.size(parts).alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near")]
-    return joined.select(*names, *[c.cast("bigint").alias(n) for c, n in zip(counts, ("n_lines", "n_dropped", "n_near"), strict=True)])
+    # The runs between dropped lines, in one sweep: a long text may lose many.
+    ends = F.concat(F.col(lines), F.array(F.size(parts)))
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), F.col(lines)), ends, lambda a, b: F.slice(parts, a + 2, b - a - 1))
+    kept = F.when(F.col(lines).isNull(), F.col(text)).otherwise(F.array_join(F.flatten(runs), "\n"))
+    joined = joined.withColumn(new, kept)
+    changed = {text: F.col(new)} | ({"n_chars": F.char_length(new).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    names = [F.col(c) if c not in changed else changed[c].alias(c) for c in docs.columns if c not in counts]
+    values = [F.size(parts), F.coalesce(F.size(lines), F.lit(0)), F.coalesce(near, F.lit(0))]
+    return joined.select(*names, *[c.cast("bigint").alias(n) for c, n in zip(values, counts, strict=True)])

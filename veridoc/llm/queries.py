@@ -17,13 +17,14 @@ PII_KEY = "veridoc example key"
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, listed = url_filter.default_lists(spark)
-    out = url_filter.judge_urls(table(spark, sf_dir, "pages"), rules, listed, keep=("page_id",))
+    pages = table(spark, sf_dir, "pages")
+    out = url_filter.judge_urls(pages, rules, listed.unionByName(url_filter.urls_of_sites(pages)), keep=("page_id",))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality_classifier.fitted(docs, labels.where(~toxicity.held_out()))
+    model = quality_classifier.fitted(docs.where(~toxicity.held_out()), labels)
     out = quality_classifier.score_documents(docs, model)
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "text_score", "metadata_score", "score", "predicted", (F.col("predicted") == 1).alias("kept"))
 
@@ -79,7 +80,8 @@ ORACLE_SQL: dict[str, str] = {
         fit AS (SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
                 FROM (SELECT DISTINCT host, path, page_id FROM p) q JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL)
         SELECT p.page_id, p.host, p.path, fit.rule,
-               coalesce(fit.v, CASE WHEN regexp_replace(p.host || p.path, '/+$', '') IN ('ads.example.org/click', 'tracker.example.com/pixel', 'mirror.example.org/spam') THEN 'block' ELSE 'allow' END) AS verdict
+               coalesce(fit.v, CASE WHEN regexp_replace(p.host || p.path, '/+$', '') IN ('ads.example.org/click', 'tracker.example.com/pixel', 'mirror.example.org/spam')
+                                OR regexp_matches(p.host, '(^|[.:])(casino-win|free-bets|cheap-pills)([.:]|$)') THEN 'block' ELSE 'allow' END) AS verdict
         FROM p LEFT JOIN fit USING (page_id, host, path)""",
     "op10_benchmark_decontamination": rf"""
         WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, {_UPPER}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),

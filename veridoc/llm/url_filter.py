@@ -3,16 +3,19 @@
 Listed are rules (host, path prefix, verdict), which hold for a host and all its subdomains, and whole URLs.  Each
 becomes one canonical key: `r|host|path` or `u|host/path`.  A URL has one candidate key for each of its host's suffixes
 and each rule-path length in the list, and one for itself.  All candidates are probed against the filter inside the
-row; only possible hits become rows and reach the hash join, which compares whole keys and so removes the filter's
-false positives.  The longest rule that fits decides; then a listed whole URL blocks; then the default.
+task that made them; only possible hits reach the hash join, which compares whole keys and so removes the filter's false
+positives.  The longest rule that fits decides; then a listed whole URL blocks; then the default.
+
+Whole URLs are compared in one canonical form on both sides: host in lower case without `www.`, default port and final
+dot; percent-escapes of the path resolved; no query, fragment or final slashes.
 
 Scale: URLs are reduced to distinct (host, path) before anything is exploded, so a host or URL that holds a third of
-all rows is one row here.  The filter's blocks are 256-bit rows keyed by block number.  Up to `inline_keys` keys (a
-checked bound) they travel inside the plan as one literal array; beyond it the blocks are a table that candidates join by
-block number.  The final join to pages is on (host, path), where adaptive execution can split a hot key.
+all rows is one row here.  The filter's blocks are 256-bit rows keyed by block number, and the filter is always broadcast:
+it has `most_blocks` blocks at most (some 30 MB).  Longer lists get fewer bits a key, so more false positives for the exact
+join and no other plan.  The final join to pages is on (host, path), where adaptive execution can split a hot key.
 
-Defined cases: null urls and urls without `://` have an empty host and path and get the default verdict; repeated rows
-each return a row; an empty list gives the default to all; extra columns of the input are ignored; a rule listed twice
+Defined cases: urls of any length are taken whole; null urls and urls without `://` have an empty host and path and get the default verdict; repeated rows
+each return a row; an empty list gives the default to all; extra columns of the input are ignored, and `keep` may not name a result's column; a rule listed twice
 counts once (of contradicting duplicates the block wins); of equally long rules the smaller string wins.
 """
 
@@ -26,8 +29,9 @@ from .common import UPPER
 
 #: The rules of the production query: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Whole canonical URLs blocked by the production query, beside its rules.
+#: Whole URLs blocked by the production query, beside its rules: a few, the pages of listed sites, and addresses of campaigns.
 LISTED = ("ads.example.org/click", "tracker.example.com/pixel", "mirror.example.org/spam")
+SITES, CAMPAIGNS = ("casino-win", "free-bets", "cheap-pills"), 200_000
 BITS_PER_KEY, WORDS_PER_BLOCK, PROBES = 24, 4, 6
 
 
@@ -40,6 +44,13 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def canonical_url(host: Column, path: Column) -> Column:
+    """The form in which whole URLs are compared."""
+    name = F.regexp_replace(F.regexp_replace(F.translate(host, UPPER, UPPER.lower()), r":(80|443)?$", ""), r"^www\.|\.$", "")
+    plain = F.when(path.contains("%"), F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)).otherwise(path)
+    return F.concat(name, F.regexp_replace(plain, "/+$", ""))
+
+
 def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
@@ -63,36 +74,28 @@ def listed_keys(rules: DataFrame, listed: DataFrame) -> DataFrame:
     one = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rule = F.concat("host", "path")
     return one.select(F.concat(F.lit("r|"), "host", F.lit("|"), "path").alias("key"), rule.alias("rule"), "verdict", F.length(rule).alias("size")).unionByName(
-        listed.where(F.col("url").isNotNull()).select(F.concat(F.lit("u|"), F.regexp_replace("url", "/+$", "")).alias("key")).distinct().select("key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"), F.lit(0).alias("size"))
+        listed.where(F.col("url").isNotNull()).select(F.concat(F.lit("u|"), canonical_url(F.regexp_extract("url", r"^[^/]*", 0), F.regexp_extract("url", r"(?s)^[^/]*(.*)", 1))).alias("key")).distinct().select("key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"), F.lit(0).alias("size"))
     )
 
 
-def judge_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame, *, url: str = "url", keep: tuple[str, ...] = (), default: str = "allow", inline_keys: int = 4096) -> DataFrame:
+def judge_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame, *, url: str = "url", keep: tuple[str, ...] = (), default: str = "allow", most_blocks: int = 1 << 19) -> DataFrame:
     """keep columns, host, path, rule, verdict, decided_by ('rule', 'list' or 'default') for each row of urls."""
-    spark = urls.sparkSession
     keys = listed_keys(rules, listed)
     n_keys = keys.count()
     lengths = sorted(r[0] for r in rules.where(F.col("host").isNotNull()).select(F.length("path")).distinct().where(F.length("path").isNotNull()).collect())
-    blocks = max(1, -(-n_keys * BITS_PER_KEY // (64 * WORDS_PER_BLOCK)))
+    blocks = min(most_blocks, max(1, -(-n_keys * BITS_PER_KEY // (64 * WORDS_PER_BLOCK))))
     parts = urls.select(*keep, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     pairs = parts.select("host", "path").where(F.col("host") != "").distinct()
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     heads = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
     ruled = F.flatten(F.transform("suffixes", lambda s: F.transform("heads", lambda p: F.concat(F.lit("r|"), s, F.lit("|"), p))))
-    whole = F.concat(F.lit("u|"), F.regexp_replace(F.concat("host", "path"), "/+$", ""))
+    whole = F.concat(F.lit("u|"), canonical_url(F.col("host"), F.col("path")))
     shaped = pairs.select("host", "path", suffixes.alias("suffixes"), F.filter(heads, lambda p: p.isNotNull()).alias("heads"))
     shaped = shaped.select("host", "path", F.concat(ruled, F.array(whole)).alias("candidates"))
-    bloom = build_bloom(keys, blocks)
-    if n_keys <= inline_keys:
-        rows = {r["block"]: [r[f"w{i}"] for i in range(WORDS_PER_BLOCK)] for r in bloom.collect()}
-        words = [F.array(*[F.lit(rows.get(b, [0] * WORDS_PER_BLOCK)[w]).cast("bigint") for b in range(blocks)]) for w in range(WORDS_PER_BLOCK)]
-        passes = lambda k: reduce(lambda a, b: a & b, [F.get(words[w], _block(k, blocks)).bitwiseAND(m) == m for w, m in enumerate(_masks(k))])
-        hits = shaped.select("host", "path", F.explode(F.filter("candidates", passes)).alias("key"))
-    else:
-        loose = shaped.select("host", "path", F.explode("candidates").alias("key")).withColumn("block", _block(F.col("key"), blocks))
-        met = loose.join(bloom, "block")
-        hits = met.where(reduce(lambda a, b: a & b, [F.col(f"w{w}").bitwiseAND(m) == m for w, m in enumerate(_masks(F.col("key")))])).select("host", "path", "key")
+    loose = shaped.select("host", "path", F.explode("candidates").alias("key")).withColumn("block", _block(F.col("key"), blocks))
+    met = loose.join(F.broadcast(build_bloom(keys, blocks)), "block")
+    hits = met.where(reduce(lambda a, b: a & b, [F.col(f"w{w}").bitwiseAND(m) == m for w, m in enumerate(_masks(F.col("key")))])).select("host", "path", "key")
     exact = hits.join(keys, "key")
     best = exact.groupBy("host", "path").agg(F.min(F.struct((-F.col("size")).alias("size"), "rule", "verdict")).alias("best"))
     best = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
@@ -102,4 +105,12 @@ def judge_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame, *, url: str
 
 
 def default_lists(spark) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(list(RULES), "host string, path string, verdict string"), spark.createDataFrame([(u,) for u in LISTED], "url string")
+    """The rules, and the URLs that don't hang on any table."""
+    campaigns = spark.range(CAMPAIGNS).select(F.format_string("WWW.offer%d.example.net:80/deal/%d/", F.col("id") % 997, "id").alias("url"))
+    return spark.createDataFrame(list(RULES), "host string, path string, verdict string"), spark.createDataFrame([(u,) for u in LISTED], "url string").unionByName(campaigns)
+
+
+def urls_of_sites(urls: DataFrame, url: str = "url") -> DataFrame:
+    """url: whole URLs of the pages whose host has a label among SITES."""
+    parts = urls.select(url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    return parts.where(F.arrays_overlap(F.split("host", r"[.:]"), F.array(*map(F.lit, SITES)))).select(F.concat("host", "path").alias("url")).distinct()
