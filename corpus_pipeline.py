@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veridoc.llm import byte_bpe, decontaminate, line_dedup, ngram_jaccard, toxicity
-from veridoc.llm.common import table, without, written
+from veridoc.llm.common import table, unused, without, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat earlier ones; a document that was nothing else goes."""
-    out = line_dedup.dedup_lines(docs, **line_dedup.WHOLE)
-    return out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    counts = tuple(unused(docs.columns, n) for n in ("n_lines", "n_dropped", "n_near"))
+    out = line_dedup.dedup_lines(docs, counts=counts, **line_dedup.WHOLE)
+    return out.where((F.col(counts[1]) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("n-gram Jaccard join", drop_near_copies), ("benchmark decontamination", drop_contaminated), ("byte-level BPE", encode)]
 
-#: The fitted compression model of the first stage isn't expressible in SQL; tests/llm holds run() against brute force.
+#: The fitted compression model of the first stage isn't expressible in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
