@@ -73,8 +73,6 @@ PATTERNS = {
 #: Where an entity may begin, and any entity.
 _BEGIN = r"(?<![\p{L}\p{N}+])"
 ANY = _BEGIN + "(?:" + "|".join([_SECRET + r"[^\s\"',;<>]+", *PATTERNS.values()]) + ")"
-#: What a text must have to hold any entity: cheap to look for.
-HINT = rf"[0-9@=]|(?i:pass|pwd|secret|token|api).{{0,8}}:|(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}|ghp_|gho_|ghs_|xox|sk[_-]"
 _OPEN, _CLOSE = "\x01", "\x02"
 
 
@@ -222,13 +220,12 @@ def _laid_out(entity: Column, kind: Column, canon: Column, made: Column) -> Colu
 
 
 def segments(text: Column) -> Column:
-    """What is between entities and, at odd places, the entities; null without any hint of one."""
+    """What is between entities and, at odd places, the entities; null of null."""
     marked = F.split(F.regexp_replace(text, ANY, _OPEN + "$0" + _CLOSE), f"[{_OPEN}{_CLOSE}]", -1)
     # A text that has the marks itself is searched twice instead.
     found = F.concat(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), F.array(F.lit("")))
     apart = F.flatten(F.zip_with(F.split(text, ANY, -1), found, lambda a, b: F.array(a, b)))
-    whole = F.when(text.contains(_OPEN) | text.contains(_CLOSE), F.slice(apart, F.lit(1), F.size(apart) - 1)).otherwise(marked)
-    return F.when(text.rlike(HINT), whole)
+    return F.when(text.contains(_OPEN) | text.contains(_CLOSE), F.slice(apart, F.lit(1), F.size(apart) - 1)).otherwise(marked)
 
 
 _ENTITIES = "array<struct<prefix:string,entity:string,kind:string,canon:string>>"
