@@ -5,13 +5,13 @@ Fit, on a bounded sample of labelled rows (`labelled` of each label, by hash ord
 labels, only where it is surer than the other view) to the other view's training rows.  Afterwards each view is calibrated
 on labelled rows that took no part in its training, and a last small model combines the two calibrated log-odds.
 
-Text view: hashed words and word shapes (log counts).  Metadata view: language and source (hashed), sizes of text and
-lines, shares of character kinds; no words.
+Text view: hashed words and word shapes (log counts), of unit length, so no sizes.  Metadata view: language and source
+(hashed), sizes of the text and of its lines; nothing of what is written in them.
 
 Score: every row of the table, whole texts, in Arrow batches; no shuffle.  The model is a few hundred kilobytes.
 
 Defined cases: null text counts as empty; null language and source are values of their own; empty texts get a score from
-metadata; without labelled rows of both kinds every score is the share of good rows (1 if none); repeated rows each
+metadata; very long texts are read whole; ties of a sample's hash go by doc_id; without labelled rows of both kinds every score is the share of good rows (1 if none); repeated rows each
 return a row; an empty table returns no rows; extra columns are ignored.
 """
 
@@ -30,7 +30,6 @@ from .fitting import fit_logistic, fit_sparse_logistic, sigmoid
 
 DIMS = 1 << 15
 _WORD = re.compile(r"\S+")
-_SHAPES = tuple(re.compile(p) for p in (r"[A-ZÀ-Þ]", r"[0-9]", r"[#*$%&|<>]", r"[!?]", r"[.,;:]", r"[^\x00-\x7F]"))
 
 
 class Hasher:
@@ -63,14 +62,13 @@ def text_view(text: str, column: Hasher) -> tuple[np.ndarray, np.ndarray]:
 
 
 def metadata_view(text: str, lang: str | None, source: str | None) -> np.ndarray:
-    n = max(len(text), 1)
-    lines = text.split("\n")
-    kinds = [len(p.findall(text)) / n for p in _SHAPES]
-    blanks = text.count(" ")
+    """Language and source, one of 8 and of 32 hashed places, and sizes: of the text, of its lines, how many; no characters of words."""
+    sizes = [len(line) for line in text.split("\n")]
     one_hot = np.zeros(40)
     one_hot[zlib.crc32(f"lang {lang}".encode()) % 8] = 1
     one_hot[8 + zlib.crc32(f"source {source}".encode()) % 32] = 1
-    return np.r_[np.log1p(len(text)), np.log1p(len(lines)), np.log1p(n / len(lines)), np.log1p(n / (blanks + 1)), len(set(lines)) / len(lines), np.sqrt(kinds), kinds, one_hot]
+    shape = np.log1p([len(text), len(sizes), max(sizes), min(sizes), sum(sizes) / len(sizes)])
+    return np.r_[shape, shape**2 / 10, one_hot]
 
 
 class CoTrained:
@@ -153,15 +151,23 @@ def fitted(docs: DataFrame, labels: DataFrame, *, label: str = "quality", labell
     return CoTrained().fit([(r["text"], r["lang"], r["source"], r["y"]) for r in got if r["y"] is not None], [(r["text"], r["lang"], r["source"], None) for r in got if r["y"] is None], counts.get(1, 0) / total if total else 1.0)
 
 
-def score_documents(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """doc_id, text_score, metadata_score, score (good likelier the higher) and predicted for each row of docs."""
+def score_documents(docs: DataFrame, model: CoTrained, portion: int = 1_000_000) -> DataFrame:
+    """doc_id, text_score, metadata_score, score (good likelier the higher) and predicted for each row of docs; portion: characters scored at once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = Hasher()
         for batch in batches:
-            rows = zip(*(batch.column(i) for i in (1, 2, 3)), strict=True)
-            s = np.concatenate([np.zeros((0, 3)), *(shared.value.scores([tuple(v.as_py() for v in r)], column) for r in rows)])
+            made, held, size = [np.zeros((0, 3))], [], 0
+            for r in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                held.append(tuple(v.as_py() for v in r))
+                size += len(held[-1][0] or "")
+                if size > portion:
+                    made.append(shared.value.scores(held, column))
+                    held, size = [], 0
+            if held:
+                made.append(shared.value.scores(held, column))
+            s = np.concatenate(made)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, i]) for i in range(3)), pa.array((s[:, 2] >= 0.5).astype(np.int32))], names=["doc_id", "text_score", "metadata_score", "score", "predicted"])
 
     rows = docs.select("doc_id", "text", "lang", "source")
