@@ -1,9 +1,10 @@
 """Quality rules: base rules, then robust multivariate outliers per language and source.
 
 Every document becomes a vector of transformed statistics in fixed point (thousandths).  Each (lang, source) group gets
-a minimum-covariance-determinant estimate: from medians and median deviations the half nearest to the centre is taken, then
-concentration steps recompute mean and covariance of the `share` of rows that are nearest by Mahalanobis distance.
-A document beyond the chi-square cutoff of the final distance (rescaled by its median) is rejected.
+an estimate by concentration steps towards the minimum covariance determinant: from medians and median deviations the half
+nearest to the centre is taken, then `steps` steps recompute mean and covariance of the `share` of rows that are nearest by
+Mahalanobis distance (one start; each step lowers the determinant, but no other start is compared).  A document beyond the
+cutoff `cut` of the final squared distance (rescaled by its median) is rejected.
 
 Everything is DataFrame expressions.  A step is one aggregation of integer sums (exact, so any partitioning and any
 retry gives the same estimate), one small table of groups and one of distance bins: the nearest share is found from a
@@ -14,7 +15,7 @@ The documents' texts are read once; the vectors are a written table of a few doz
 Defined cases: null text has no words (base_failed); null lang or source form groups of their own; groups of fewer than
 `min_rows` fitting rows share one pooled estimate, and if the pool is that small too, the method keeps its rows; ties share
 a distance; repeated rows each return a row; statistics without spread have a floor on their deviation; an empty table
-returns no rows; extra columns are ignored.
+returns no rows; texts of any length are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations

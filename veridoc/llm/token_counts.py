@@ -6,7 +6,8 @@ The pre-tokenizer is a transducer over character classes (thirteen states).  Its
 borders they settle, before the current and the previous character.  A batch of texts is one string of classes, cut
 into chunks; each chunk gives a state map (entry state to exit state), all chunks and all entry states at once; the maps
 compose by a parallel prefix scan (log2 n rounds of gathers), which yields every chunk's true entry state; a second sweep
-then reads off the borders.  A text's length therefore never makes a serial run.
+then reads off the borders.  A text's length therefore never makes a serial run; a single very long pre-token still does, in the
+merge machine below.
 
 The merge machine turns a pre-token's bytes into its token count.  Its state is the longest suffix that could still grow
 into a token, with the last token and the count at each of that suffix's cuts; a transition is annotated with the tokens
