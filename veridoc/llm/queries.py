@@ -83,6 +83,31 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(fit.v, CASE WHEN regexp_replace(p.host || p.path, '/+$', '') IN ('ads.example.org/click', 'tracker.example.com/pixel', 'mirror.example.org/spam')
                                 OR regexp_matches(p.host, '(^|[.:])(casino-win|free-bets|cheap-pills)([.:]|$)') THEN 'block' ELSE 'allow' END) AS verdict
         FROM p LEFT JOIN fit USING (page_id, host, path)""",
+    "op4_ngram_jaccard": rf"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_UPPER}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS (SELECT x, y FROM pair JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+        reach AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT y, c FROM reach JOIN link ON x = a WHERE c < y)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(c) AS component_id FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)""",
+    "op9_line_dedup": r"""
+        WITH l AS (
+          SELECT doc_id, i - 1 AS line, doc_id * 10000000 + i AS place, x, list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w
+          FROM (SELECT doc_id, s[i] AS x, i FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))),
+        f AS (SELECT array_to_string(w, ' ') AS t, any_value(w) AS w, any_value(len(w)) AS n, min(place) AS place FROM l WHERE len(w) > 0 GROUP BY 1),
+        h AS (SELECT place, n, w, m, array_to_string(w[1:m // 2], ' ') AS k1, array_to_string(w[n - (m - m // 2) + 1:n], ' ') AS k2 FROM (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= 5)),
+        pair AS (
+          SELECT x.place AS a, y.place AS b, x.w AS v, y.w AS w FROM h x JOIN h y ON x.m = y.m AND x.k1 = y.k1 WHERE x.m = x.n AND x.place <> y.place
+          UNION ALL SELECT x.place, y.place, x.w, y.w FROM h x JOIN h y ON x.m = y.m AND x.k2 = y.k2 WHERE x.m = x.n AND x.place <> y.place),
+        spot AS (SELECT *, coalesce(list_position(list_transform(range(1, len(v) + 1), lambda i: v[i] = w[i]), false), len(v) + 1) AS p FROM pair),
+        near AS (SELECT DISTINCT greatest(a, b) AS place FROM spot WHERE v[p + 1:] = w[p + 1:] AND len(v) = len(w) OR len(w) = len(v) + 1 AND v[p:] = w[p + 1:]),
+        gone AS (SELECT place, 1 AS near FROM near UNION ALL SELECT l.place, 0 FROM l JOIN f ON array_to_string(l.w, ' ') = f.t WHERE len(l.w) > 0 AND l.place <> f.place),
+        made AS (SELECT doc_id, count(*) AS n_lines, count(near) AS n_dropped, coalesce(sum(near), 0) AS n_near,
+                        coalesce(string_agg(x, chr(10) ORDER BY line) FILTER (near IS NULL), '') AS text FROM l LEFT JOIN gone USING (place) GROUP BY 1)
+        SELECT d.doc_id, n_lines, coalesce(n_dropped, 0) AS n_dropped, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, length(made.text) AS n_chars, sha256(made.text) AS text_sha256
+        FROM documents d LEFT JOIN made USING (doc_id)""",
     "op10_benchmark_decontamination": rf"""
         WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, {_UPPER}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
         win AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 9], ' ') AS t, least(len(w), 10) AS l
