@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranking import exact_rank
+
 
 def is_forged(verdict: Column) -> Column:
     return F.coalesce(F.upper(verdict).startswith("FORG"), F.lit(False))
@@ -75,26 +77,19 @@ def text_stats(df: DataFrame, size: Column, by: tuple[str, ...] = ()) -> DataFra
     return df.groupBy(*by).agg(F.sum(size).alias("total"), F.avg(size).alias("mean"), F.median(size).alias("median"), F.min(size).alias("least"), F.max(size).alias("most"))
 
 
-def nearest_ranks(df: DataFrame, value: str, percents: list[float], bins: int = 1024) -> DataFrame:
+def nearest_ranks(df: DataFrame, value: str, percents: list[float]) -> DataFrame:
     """percent, value: the value at index round(p / 100 * (n - 1)), half to even; percents of 100 and more give the last.
 
-    Two levels: distinct values are counted and summed into `bins` equal bins, which are the only rows ordered together;
-    then the values of the few bins that hold a wanted index are ordered, each bin for itself.
+    Distinct values are counted first, then ranked by their counts over sampled ranges: neither a value that most rows
+    share nor one far from all others fills a task.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("m"))
-    ends = counted.agg(F.min("value").cast("double").alias("lo"), F.max("value").cast("double").alias("hi"), F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
-    where = F.coalesce(F.least(F.lit(bins - 1), F.floor(bins * F.try_divide(F.col("value").cast("double") - F.col("lo"), F.col("hi") - F.col("lo")))), F.lit(0)).cast("int")
-    placed = counted.join(F.broadcast(ends.select("lo", "hi"))).select("value", "m", where.alias("bin"))
-    filled = placed.groupBy("bin").agg(F.sum("m").alias("of_bin"))  # `bins` rows at most
-    filled = filled.withColumn("before", F.sum("of_bin").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("of_bin"))
-    wanted = df.sparkSession.createDataFrame([(float(p),) for p in percents], "percent double").join(F.broadcast(ends.select("n")), how="left")
-    at = F.when(F.col("percent") >= 100, F.col("n") - 1).otherwise(F.greatest(F.lit(0), F.least(F.col("n") - 1, F.rint(F.col("percent") / 100 * (F.col("n") - 1)).cast("bigint"))))
-    wanted = wanted.select("percent", at.alias("at"))
-    homes = wanted.join(F.broadcast(filled), (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("of_bin")))
-    inside = placed.join(F.broadcast(homes.select("percent", "at", "before", "bin")), "bin")
-    upto = F.col("before") + F.sum("m").over(Window.partitionBy("percent").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    hit = inside.withColumn("upto", upto).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("m") <= F.col("at"))).select("percent", "value")
-    return wanted.select("percent").join(hit, "percent", "left").select("percent", F.coalesce("value", F.lit(0)).alias("value"))
+    ranked = exact_rank(counted, ["value"], rank="before", size="n", weight="m")
+    p = F.col("percent")
+    at = F.when(p >= 100, F.col("n") - 1).otherwise(F.greatest(F.lit(0), F.least(F.col("n") - 1, F.rint(p / 100 * (F.col("n") - 1)).cast("bigint"))))
+    wanted = df.sparkSession.createDataFrame([(float(p),) for p in percents], "percent double")
+    hit = ranked.join(F.broadcast(wanted), (F.col("before") <= at) & (at < F.col("before") + F.col("m"))).select("percent", "value")
+    return wanted.join(hit, "percent", "left").select("percent", F.coalesce("value", F.lit(0)).alias("value"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 12, width: int = 50) -> DataFrame:

@@ -2,8 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..tables import stored
+
+
+def exact_rank(df: DataFrame, order: list[str], by: list[str] | tuple[str, ...] = (), *, rank: str = "rank", size: str = "size", weight: str | None = None, partitions: int | None = None) -> DataFrame:
+    """df with each row's place (from 0) among its group's rows in `order`, and how many those are.
+
+    With `weight` (whole numbers), places and sizes count weights: a row's place is the weight before it.
+
+    Sampled splitters cut (group, order) into ranges of about equal numbers of rows, each range is sorted for itself, and
+    a range's places begin at the sum of the ranges before it in its group.  So a group with nearly all rows and a
+    value far from the others spread over as many tasks as any.  Equal rows are told apart by where they were read, their places
+    being arbitrary among themselves.  Nulls come first.  The plan of df runs twice (once for the sample).
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    keys = [*by, *order, "_tie"]
+    rows = stored(tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()), "ranked").drop("_tie")
+    part = F.shiftright("_id", 33)
+    rows = rows.withColumn("_part", part)
+    if weight is None:
+        rows, each = rows.withColumn("_before", F.col("_id")), F.count(F.lit(1))
+    else:
+        w = Window.partitionBy("_part", *by).orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows, each = rows.withColumn("_before", F.sum(weight).over(w) - F.col(weight)), F.sum(weight)
+    # A row for each range, and one more for each group that ends inside of it.
+    names = {b: f"_g{i}" for i, b in enumerate(by)}
+    ranges = rows.groupBy("_part", *by).agg(F.min("_before").alias("_from"), each.alias("_n")).withColumnsRenamed(names | {"_part": "_p"})
+    w = Window.partitionBy(*names.values())
+    ahead = F.coalesce(F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("_p", "_from", *names.values(), ahead.alias("_ahead"), F.sum("_n").over(w).alias(size))
+    same = reduce(and_, [F.col(b).eqNullSafe(F.col(g)) for b, g in names.items()], F.col("_part") == F.col("_p"))
+    return rows.join(ranges, same).select(*df.columns, (F.col("_before") - F.col("_from") + F.col("_ahead")).cast("bigint").alias(rank), F.col(size).cast("bigint").alias(size))
+
 
 def numbered(df: DataFrame, by: list[str], *order: str, name: str = "number") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -14,8 +51,12 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
 
 
 def shards(df: DataFrame, n: int, by: list[str], *order: str) -> DataFrame:
-    """Contiguous shards 0..n-1 whose sizes differ by one at most, the first ones larger."""
-    return df.withColumn("shard", F.ntile(n).over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    """Contiguous shards 0..n-1 whose sizes differ by one at most, the first ones larger; a group may hold all rows."""
+    ranked = exact_rank(df, list(order), by, rank="_rank", size="_size")
+    low, more = F.floor(F.col("_size") / n), F.col("_size") % n
+    head = more * (low + 1)
+    shard = F.when(F.col("_rank") < head, F.floor(F.col("_rank") / (low + 1))).otherwise(more + F.floor((F.col("_rank") - head) / F.greatest(low, F.lit(1))))
+    return ranked.select(*df.columns, shard.cast("int").alias("shard"))
 
 
 def runs(df: DataFrame, by: list[str], position: str, present: Column) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranking import exact_rank
+
 
 def filter_equal(df: DataFrame, **conditions) -> DataFrame:
     """Rows that meet all conditions: equality, or membership for lists.  Unknown columns are an error."""
@@ -54,14 +56,10 @@ def balanced(df: DataFrame, limit: int, positive: Column, key: str, seed: int =
 
 
 def random_split(df: DataFrame, key: str, fraction: float = 0.02, seed: int = 42) -> DataFrame:
-    """df with `split`: the first max(1, n * fraction) rows in hash order are "eval".
-
-    The boundary is found by a top-n of hashes, so no task sorts the table.
-    """
-    n = max(1, int(df.count() * fraction))
-    edge = df.select(*[c.alias(f"o{i}") for i, c in enumerate(hash_order(key, seed))]).orderBy("o0", "o1").limit(n).agg(F.max(F.struct("o0", "o1")).alias("edge"))
-    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(hash_order(key, seed))])
-    return df.withColumn("split", F.when(order <= edge.scalar(), "eval").otherwise("train"))
+    """df with `split`: the first max(1, n * fraction) rows in hash order are "eval".  Ranks are exact and spread over tasks."""
+    names = ["_hash", key] if key in df.columns else ["_hash"]
+    ranked = exact_rank(df.withColumn("_hash", hash_order(key, seed)[0]), names, rank="_rank", size="_size")
+    return ranked.select(*df.columns, F.when(F.col("_rank") < F.greatest(F.lit(1), F.floor(F.col("_size") * fraction)), "eval").otherwise("train").alias("split"))
 
 
 def stratified_split(df: DataFrame, key: str, strata: Sequence[str], *, fraction: float = 0.1, least: int = 2, seed: int = 42) -> DataFrame:
