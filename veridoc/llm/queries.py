@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, ngram_jaccard, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
-from .common import table
+from . import byte_bpe, decontaminate, line_dedup, merkle, ngram_jaccard, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from .common import ascii_lower, table
 
 
 #: Whoever runs the query for real names a key of their own.
@@ -67,7 +67,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_ngram_jaccard, op5_toxicity, op6_byte_bpe, op7_pii, op8_token_counts, op9_line_dedup, op10_benchmark_decontamination)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), received={"text": tampered})
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_ngram_jaccard, op5_toxicity, op6_byte_bpe, op7_pii, op8_token_counts, op9_line_dedup, op10_benchmark_decontamination, op11_merkle_manifest)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
