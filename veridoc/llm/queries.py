@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, merkle, ngram_jaccard, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from . import byte_bpe, decontaminate, line_dedup, merkle, ngram_jaccard, pii, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
 from .common import ascii_lower, table
 
 
@@ -72,7 +72,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), received={"text": tampered})
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_ngram_jaccard, op5_toxicity, op6_byte_bpe, op7_pii, op8_token_counts, op9_line_dedup, op10_benchmark_decontamination, op11_merkle_manifest)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_ngram_jaccard, op5_toxicity, op6_byte_bpe, op7_pii, op8_token_counts, op9_line_dedup, op10_benchmark_decontamination, op11_merkle_manifest, op13_suffix_dedup)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
