@@ -22,7 +22,8 @@ def test_query(spark, small, name):
         o = c.sql(ORACLE_SQL[name])
         at = [o.columns.index(k) for k in sorted(df.columns)]
         assert got == sorted(tuple(str(r[i]) for i in at) for r in o.fetchall())
-    assert len(got) == table(spark, small, "pages" if "url" in name else "documents").count()
+    if name != "op12_collocations":  # a report by language
+        assert len(got) == table(spark, small, "pages" if "url" in name else "documents").count()
 
 
 def test_pipeline(spark, small):

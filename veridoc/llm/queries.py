@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, merkle, ngram_jaccard, pii, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
+from . import byte_bpe, collocations, decontaminate, line_dedup, merkle, ngram_jaccard, pii, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
 from .common import ascii_lower, table
 
 
@@ -72,12 +72,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), received={"text": tampered})
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_ngram_jaccard, op5_toxicity, op6_byte_bpe, op7_pii, op8_token_counts, op9_line_dedup, op10_benchmark_decontamination, op11_merkle_manifest, op13_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_ngram_jaccard, op5_toxicity, op6_byte_bpe, op7_pii, op8_token_counts, op9_line_dedup, op10_benchmark_decontamination, op11_merkle_manifest, op12_collocations, op13_suffix_dedup)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -130,4 +134,19 @@ ORACLE_SQL: dict[str, str] = {
         i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM hit GROUP BY 1)
         SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op12_collocations": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_UPPER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+        i AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m),
+        g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM i GROUP BY 1, 2, 3),
+        c AS (SELECT * FROM g WHERE m > 1 AND f >= 100),
+        k AS (SELECT lang, phrase, m, f, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM c),
+        cut AS (SELECT k.lang, k.phrase, k.m, k.f AS a, k.k, x.f AS l, y.f AS r, n.n, CAST((1000 * CAST(k.f AS HUGEINT) * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+                FROM k JOIN n USING (lang) JOIN g x ON x.lang = k.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN g y ON y.lang = k.lang AND y.phrase = array_to_string(ws[k + 1:k.m], ' ')),
+        best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS first FROM cut),
+        gone AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c t ON s.lang = t.lang AND t.m > s.m AND t.f >= s.f AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ')),
+        kept AS (SELECT best.* FROM best LEFT JOIN gone ON gone.lang = best.lang AND gone.phrase = best.phrase WHERE first = 1 AND gone.phrase IS NULL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
 }
