@@ -318,8 +318,9 @@ def repeated_spans(rows: DataFrame, least: int, widths: tuple[int, ...], inline:
             whole = written(repeated(alive.where("h0 IS NOT NULL"), _TOKENS["hull"]), "whole")
             rest = written(alive.select(*node, "c0", "c1").join(whole.select(*node), node, "left_anti"), "rest")
             # Of nodes that repeat as a whole, one of each kind stays for the sake of those that share its core.
-            shared = whole.join(rest.select(*_TOKENS["core"]).distinct(), list(_TOKENS["core"]), "left_semi")
-            kinds = shared.groupBy(*_TOKENS["hull"]).agg(F.min(F.struct("doc", "th", "anchor")).alias("one")).select("one.*", "first")
+            cores = written(rest.select(*_TOKENS["core"]).distinct(), "cores")
+            kinds = whole.groupBy(*_TOKENS["hull"]).agg(F.min(F.struct("doc", "th", "anchor")).alias("one"), F.min("c0").alias("c0"), F.min("c1").alias("c1"))
+            kinds = kinds.join(cores, list(_TOKENS["core"]), "left_semi").select("one.*", "first")
             open_nodes = written(rest.select(*node).unionByName(kinds), "open")
             dropped(nodes)
         spans = whole.select(*_span(width, least))
@@ -328,6 +329,25 @@ def repeated_spans(rows: DataFrame, least: int, widths: tuple[int, ...], inline:
     return found
 
 
+_SPANS = "spans array<struct<begin: bigint, end: bigint>>"
+_SPAN_LIST = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's stretches (doc, th, found) as maximal ones in order."""
+    for batch in batches:
+        out = []
+        for found in batch.column(2):
+            values = found.values
+            begin, end = values.field("begin").to_numpy(), values.field("end").to_numpy()
+            order = np.argsort(begin, kind="stable")
+            begin, reach = begin[order], np.maximum.accumulate(end[order])
+            new = np.r_[True, begin[1:] > reach[:-1]]
+            last = np.r_[np.flatnonzero(new)[1:] - 1, len(begin) - 1]
+            out.append([{"begin": a, "end": b} for a, b in zip(begin[new].tolist(), reach[last].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _SPAN_LIST)], names=["doc", "th", "spans"])
+
+
 def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 400, widths: tuple[int, ...] = (192, 16, 1), inline: int = 2_000_000) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, n_spans, spans (array of begin, end in bytes).
 
@@ -340,27 +360,20 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     base = docs.select(F.coalesce(ids.cast("bigint"), F.lit(0)).alias("doc"), F.xxhash64(text, F.isnull(ids)).alias("th"), F.col(text).alias("text"), ids.alias("doc_id"))
     with arrow_batches(docs.sparkSession, size="2m"):
         spans = repeated_spans(base.select("doc", "th", "text"), least, widths, inline)
-        lists = spans.groupBy("doc", "th").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("found"))
-        lists = _listed(lists, "found", inline)
+        lists = spans.groupBy("doc", "th").agg(F.collect_set(F.struct("begin", "end")).alias("found")).mapInArrow(_merged, f"doc bigint, th bigint, {_SPANS}")
+        lists = _listed(lists, "spans", inline)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, sizes, gone, spans = [], [], [], []
-            for value, found in zip(batch.column(1), batch.column(2), strict=True):
-                data = value.as_py().encode() if value.is_valid else b""
-                merged: list[list[int]] = []
-                for x in found.as_py() or ():
-                    if merged and x["begin"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x["end"])
-                    else:
-                        merged.append([x["begin"], x["end"]])
-                stops = [0, *[x for m in merged for x in m], len(data)]
+            for value, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                data, found = value.as_py().encode() if value.is_valid else b"", found or []
+                stops = [0, *[x for m in found for x in (m["begin"], m["end"])], len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(stops[::2], stops[1::2], strict=True)) if value.is_valid else None)
                 sizes.append(len(data))
-                gone.append(sum(b - a for a, b in merged))
-                spans.append([{"begin": a, "end": b} for a, b in merged])
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, kind)], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "spans"])
+                gone.append(sum(m["end"] - m["begin"] for m in found))
+                spans.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, _SPAN_LIST)], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "spans"])
 
-    joined = base.join(lists, ["doc", "th"], "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(lean(run), f"doc_id {dict(base.dtypes)['doc_id']}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<begin: bigint, end: bigint>>")
+    joined = base.join(lists, ["doc", "th"], "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(lean(run), f"doc_id {dict(base.dtypes)['doc_id']}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, {_SPANS}")
