@@ -8,8 +8,8 @@ counts, of equal ones the earliest.  A candidate goes if a longer one with f * 1
 1. Words are counted (partial counts in tasks, then one aggregation); those that reach `least` get numbers, and texts
    become sequences of numbers, any other word being a break.
 2. Length by length, a window is a pair of neighbouring frequent phrases, one word shorter, that overlap (Apriori): one 64-bit
-   key.  Mappers count hashed keys in an array of `buckets` saturating cells; keys whose summed cell stays under
-   `least` can't be frequent.  The distinct keys left are the candidates.
+   key.  Mappers count hashed keys in an array of saturating cells, as many as grow with the words; keys whose summed cell stays
+   under `least` can't be frequent.  The distinct keys left are the candidates.
 3. Candidates are dealt to shards by hash, and each shard becomes a minimal perfect hash with its keys stored by slot, so that a
    key that isn't a candidate is recognised.  Mappers look windows up (numpy), count slots by bincount, and the
    arrays of a shard are summed as a tree: by groups of tasks, then altogether.
@@ -17,7 +17,8 @@ counts, of equal ones the earliest.  A candidate goes if a longer one with f * 1
 5. Each phrase takes the counts of its beginnings and ends from its two shorter phrases' slots, so a cut's l and r are read from
    these arrays; the rest is DataFrame expressions.  Products are decimals of 38 digits.
 
-Scale: windows never leave their task, only counts and distinct candidates do.  Tables reach mappers in portions of at most
+Scale: windows never leave their task, only counts and distinct candidates do.  There are up to 2**26 cells; of more than
+2**30 words a larger share of the distinct windows are candidates (results stay exact).  Tables reach mappers in portions of at most
 `portion` keys (some 30 bytes each), each portion being a pass over the sequences; the words' dictionary is broadcast up to
 `most_words` words, and beyond that each text is joined with its own words' numbers.  Frequent phrases of one length must
 be fewer than 2**31 (else an error: raise `least`).  Steps are written tables.
@@ -265,27 +266,39 @@ def _summed(parts: DataFrame, kind: type, most: int | None, salts: int = 16) ->
     return once.select("part", "cells").groupBy("part").applyInArrow(grouped(["part"]), "part bigint, cells binary")
 
 
-def possible_buckets(seqs: DataFrame, least: int, buckets: int, chunk: int = 1 << 16) -> np.ndarray:
+def possible_buckets(seqs: DataFrame, least: int, buckets: int, chunk: int = 1 << 16, most: int = 2_000_000) -> np.ndarray:
     """For each bucket of hashed keys whether its windows reach `least` together; `buckets` bits come to the driver."""
     kind = np.uint8 if least < 256 else np.uint32
-    chunk = min(chunk, buckets)
+    chunk, wide = min(chunk, buckets), min(buckets, 1 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, seen = np.zeros(buckets, np.int64), 0
+        cells = np.zeros(buckets, kind)
+
+        def add(held: list[np.ndarray]) -> None:
+            """Cells saturate at `least`, a stretch of them at a time."""
+            hashes = np.sort(np.concatenate(held))
+            cut = np.searchsorted(hashes, np.arange(0, buckets + 1, wide))
+            for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                if a < b:
+                    own = cells[i * wide : (i + 1) * wide]
+                    own[:] = np.minimum(own + np.bincount(hashes[a:b] - i * wide, minlength=wide), least)
+
+        held, n = [], 0
         for batch in batches:
             for seq in batch.column(0):
                 keys = _keys(seq.as_py())
-                keys = keys[keys >= 0]
-                seen += len(keys)
-                cells += np.bincount((_mixed(keys, 77) & _U(buckets - 1)).astype(np.int64), minlength=buckets)
-        if seen:
-            task = TaskContext.get().partitionId()
-            cells = np.minimum(cells, least).astype(kind)
-            for i in range(0, buckets, chunk):
-                if (own := cells[i : i + chunk]).any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i // chunk], pa.int64()), pa.array([task], pa.int64()), _ints([own])], names=["part", "task", "cells"])
+                held.append((_mixed(keys[keys >= 0], 77) & _U(buckets - 1)).astype(np.int32))
+                n += len(held[-1])
+                if n > most:
+                    add(held)
+                    held, n = [], 0
+        if held:
+            add(held)
+        task = TaskContext.get().partitionId()
+        for i in range(0, buckets, chunk):
+            if (own := cells[i : i + chunk]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // chunk], pa.int64()), pa.array([task], pa.int64()), _ints([own])], names=["part", "task", "cells"])
 
-    # Each row's bincount costs all buckets: rows are few and long.
     total = _summed(seqs.mapInArrow(lean(run), "part bigint, task bigint, cells binary"), kind, least)
     out = np.zeros(buckets, bool)
     for part, cells in total.collect():
@@ -293,6 +306,11 @@ def possible_buckets(seqs: DataFrame, least: int, buckets: int, chunk: int = 1 <
     return out
 
 
+def bucket_count(words: int, load: int = 16, most: int = 1 << 26) -> int:
+    """A power of two so that a cell has `load` windows at most on average, up to `most` cells."""
+    return min(most, 1 << max(12, math.ceil(math.log2(max(1, words) / load))))
+
+
 def candidate_keys(seqs: DataFrame, possible: np.ndarray, flush: int = 2_000_000) -> DataFrame:
     shared = seqs.sparkSession.sparkContext.broadcast(np.packbits(possible).tobytes())
     n = len(possible)
@@ -438,8 +456,8 @@ def rewritten(seqs: DataFrame, shards: DataFrame, of: int, most: int) -> DataFra
     return made.select("next").mapInArrow(lean(pack), "seq binary")
 
 
-def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000, absorbed: int = 100, buckets: int = 1 << 22, shard: int = 65_536, portion: int = 2_000_000, most_words: int = 500_000) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: each language's best `top` phrases.  buckets: a power of two."""
+def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000, absorbed: int = 100, buckets: int | None = None, shard: int = 65_536, portion: int = 2_000_000, most_words: int = 500_000) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: each language's best `top` phrases.  buckets: a power of two (else by the words)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     with arrow_batches(spark, size="2m"):
@@ -447,6 +465,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
         totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
         words = written(exact_rank(counts.where(F.col("f") >= least), ["lang", "word"], rank="id").select("lang", "word", "f", "id"), "words")
         seqs = written(sequences(rows, words, most_words), "sequences")
+        buckets = buckets or bucket_count(totals.agg(F.sum("n")).first()[0] or 0)
         one = F.array("f")
         phrases = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", one.alias("heads"), one.alias("tails"))
         kept = None
