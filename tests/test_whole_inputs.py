@@ -15,8 +15,8 @@ def test_traces(spark, tmp_path):
     assert rows[1].said == text and text in rows[1].think and text in rows[1].raw
     run = lambda name: {r.conv_id: r for r in all_queries()[name](spark, str(tmp_path)).collect()}
     assert [run("h25_validate")[k].forbidden_phrase for k in (1, 2)] == ["as revealed", None]
-    for name in ("h14_think", "h15_strip_thinking", "h19_reasoning"):
-        assert run(name)[1].value == hashlib.md5(rows[1].think.encode()).hexdigest()
+    assert run("h15_strip_thinking")[1].thinking == f"stage1 {text}"
+    assert run("h19_reasoning")[1].value == hashlib.md5(rows[1].think.encode()).hexdigest()
     assert run("h18_stage1")[1].value.endswith("as revealed here")
 
 

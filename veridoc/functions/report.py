@@ -23,7 +23,7 @@ ANOMALY_TYPE = "struct<index:int,type:string,location:string,grounding:array<int
 
 def strip(c: Column) -> Column:
     """Without blanks of any script at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(c, r"(?U)\A\s++|(?<!\s)\s++\z", "")
 
 
 def conclusion(text: Column) -> Column:
@@ -125,16 +125,22 @@ def boxes(report: Column) -> Column:
     return F.filter(F.transform(report["anomalies"], lambda a: a["grounding"]), lambda g: F.size(g) == 4)
 
 
+#: The viewer's own, more lenient grammar.
+VIEW_HEADER = r"(?iU)###\s*ANOMALY_?(\d+)\s*:?\s*([^\n]*)"
+VIEW_BOX = r"(?iU)\[GROUNDING\]\s*:\s*\[\s*(-?\d+\s*,\s*-?\d+\s*,\s*-?\d+\s*,\s*-?\d+)\s*\]"
+VIEW_REASON = r"(?isU)\[REASON\]\s*:\s*(.+?)(?=\n\s*###\s*ANOMALY|\n\s*---|\n\s*##\s|\n\s*\*\*END\s+OF\s+REPORT\*\*|\z)"
+
+
 def visual_anomalies(text: Column) -> Column:
-    """The lenient parser of the viewer: headers in any case, only anomalies with a box, blanks collapsed."""
-    parts = F.filter(F.split(text, r"(?im)(?=^###\s*ANOMALY[_ ]?\d)", -1), lambda p: p.rlike(r"(?i)^###\s*ANOMALY[_ ]?\d"))
-    flat = lambda c: strip(F.regexp_replace(c, r"(?U)\s+", " "))
-    made = F.transform(
-        parts,
-        lambda p: F.struct(
-            F.regexp_extract(p, r"(?i)^###\s*ANOMALY[_ ]?(\d+)", 1).try_cast("int").alias("index"),
-            four_numbers(F.regexp_extract(p, r"(?i)\[GROUNDING\]\s*:?\s*\[([^\]\n]*)\]", 1)).alias("grounding"),
-            flat(F.regexp_extract(p, r"(?is)\[REASON\]\s*:?\s*(.+?)(?=\n\s*---|\n\s*\[[A-Z_]+\]|\n\s*#{2,}|\*\*\s*END\s+OF\s+REPORT|\z)", 1)).alias("reason"),
-        ),
-    )
-    return F.filter(made, lambda a: a["grounding"].isNotNull())
+    """array of struct(index, type, grounding, reason) as the viewer reads a report: headers anywhere and in any case (but not in the
+    rest of another header's line), only anomalies with a box of integers, blanks in reasons collapsed."""
+    chunks = F.slice(F.split(F.regexp_replace(text, VIEW_HEADER, "\x01$0"), r"\x01(?=###)", -1), F.lit(2), F.greatest(F.lit(0), F.length(text)))
+
+    def one(c: Column) -> Column:
+        box = F.regexp_extract(c, VIEW_BOX, 1)
+        numbers = F.transform(F.split(box, ","), lambda n: strip(n).try_cast("int"))
+        reason = strip(F.regexp_replace(F.regexp_extract(c, VIEW_REASON, 1), r"(?U)\s++", " "))
+        kind = F.regexp_replace(strip(F.regexp_extract(c, VIEW_HEADER, 2)), r":++\z", "")
+        return F.struct(F.regexp_extract(c, VIEW_HEADER, 1).alias("index"), kind.alias("type"), F.when(box != "", numbers).alias("grounding"), reason.alias("reason"))
+
+    return F.filter(F.transform(chunks, one), lambda a: a["grounding"].isNotNull())

@@ -14,7 +14,13 @@ STAGE = r"(?is)---\s*STAGE\s*{}\s*[:.\-].*?---"
 STAGE_1 = r"(?i)---\s*STAGE\s*1\s*[:.\-]\s*Knowledge\s*Preparation\s*---"
 REGION = r"(?is)(REGION_\d+\b.*?→\s*(?:KEEP|DROP)\b[^\n.]*\.)"
 KEEP = r"(?i)→\s*KEEP\s+as\s+(?:Semantic\s+Subtle|Visual\s+Clumsy|Logical\s+Fraud)\s*\.\s*\z"
-TAIL = r"(?i)(?:\s|</\s*think\s*>|</\s*tool_call\s*>|<\s*think\s*>|<\s*tool_call\s*>|```\w*|\*\*\s*END\s+OF\s+REPORT\s*\*\*)+\z"
+#: What may stand behind a trace or report, read backwards (so that one anchored pass finds it all), 20 times at most.
+TAIL_BACKWARDS = r"(?iU)\A\s*+(?:(?:>\s*+kniht\s*+/<|>\s*+llac_loot\s*+/<|>\s*+kniht\s*+<|>\s*+llac_loot\s*+<|\w*+```|\*\*\s*+TROPER\s++FO\s++DNE\s*+\*\*)\s*+){0,20}+"
+TITLE = r"#\s*+FORGERY\s++ANALYSIS\s++REPORT"
+THINK = r"(?is)<think>(.*?)</think>"
+REGION_START = r"(?U)(?=REGION\s+\d)"
+KEPT = r"(?iU)KEEP\s+as\s+(?:Semantic\s+Subtle|Visual\s+Clumsy|Logical\s+Fraud)"
+FOUR_INTEGERS = r"\[\s*(-?\d+\s*,\s*-?\d+\s*,\s*-?\d+\s*,\s*-?\d+)\s*\]"
 FORBIDDEN = ("given the answer", "since we know", "the gt says", "according to the ground truth", "the mask shows", "we already know", "as revealed", "it is given that", "the ground-truth", "ground truth report")
 RTL, CONTINUOUS = ("ar", "fa", "ur", "he"), ("zh", "ch", "ja", "th", "lo", "km", "my")
 
@@ -41,31 +47,51 @@ def block(text: Column, tag: str) -> Column:
     return strip(_found(text, rf"(?is)<{tag}>(.*?)</{tag}>"))
 
 
-def clean_report(text: Column, strip_think: bool = True) -> Column:
-    """A model's answer down to the report: fences, thoughts, wrapper, last title, end mark."""
-    t = strip(F.regexp_replace(F.regexp_replace(text, r"^```(?:markdown|md)?\s*", ""), r"\s*```\z", ""))
-    if strip_think:
-        t = strip(F.regexp_replace(t, r"(?is)<think>.*?</think>", ""))
-    t = F.coalesce(block(t, "report"), t)
-    t = F.regexp_replace(t, r"(?s)^.*(?=\Q" + ANCHOR + r"\E)", "")
+def without_fences(text: Column) -> Column:
+    """Without a code fence at the beginning and one at the end (or before a last newline), stripped."""
+    opened = F.regexp_replace(text, r"\A```(?:markdown|md)?(?U:\s*+)", "")
+    return strip(F.regexp_replace(opened, r"```(?=\n?\z)", ""))
+
+
+def _from_last_title(text: Column) -> Column:
+    """From the last report title to the first end mark behind it."""
+    t = F.regexp_replace(text, rf"(?isU)\A.*(?={TITLE})", "")
     at = F.position(F.lit(END), t)
     return strip(F.when(at > 0, F.substring(t, F.lit(1), at + len(END) - 1)).otherwise(t))
 
 
-def thoughts(text: Column) -> Column:
-    """All <think> parts; without any, what stands before the first report title."""
-    parts = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?is)<think>(.*?)</think>"), F.lit(1)), lambda p: strip(p)), lambda p: p != "")
-    at = F.position(F.lit(ANCHOR), text)
-    return F.when(text.rlike(r"(?is)<think>.*?</think>"), F.array_join(parts, "\n\n")).when(at > 1, strip(F.substring(text, F.lit(1), at - 1))).otherwise("")
+def clean_report(text: Column) -> Column:
+    """A model's answer down to the report: outer fences, thoughts, wrapper, last title, end mark, in this order."""
+    t = strip(F.regexp_replace(without_fences(text), THINK, ""))
+    return _from_last_title(F.coalesce(block(t, "report"), t))
+
+
+def clean_report_v0(text: Column) -> Column:
+    """The older order: the wrapper first, then fences inside of it; thoughts aren't looked for."""
+    return _from_last_title(without_fences(F.coalesce(block(text, "report"), text)))
+
+
+def strip_thinking(text: Column) -> Column:
+    """struct(thinking, answer): <think> parts, or without any what stands before the first report title; the rest, fences off."""
+    parts = F.regexp_extract_all(text, F.lit(THINK), F.lit(1))
+    rest = strip(F.regexp_replace(text, THINK, ""))
+    at = F.regexp_instr(rest, F.lit(f"(?iU){TITLE}"))
+    stray = (F.size(parts) == 0) & (at > 1)
+    said = F.array_join(F.filter(F.transform(parts, strip), lambda p: p != ""), "\n\n")
+    thinking = F.when(stray, strip(F.substring(rest, F.lit(1), at - 1))).otherwise(said)
+    answer = F.when(stray, strip(F.substring(rest, at, F.length(rest)))).otherwise(rest)
+    return F.struct(thinking.alias("thinking"), without_fences(answer).alias("answer"))
 
 
 def think_or_stages(text: Column) -> Column:
-    """<think> body, or all of a text that names STAGE 1 or STAGE 2, or null."""
-    return F.coalesce(block(text, "think"), F.when(text.rlike(r"(?i)STAGE\s*[12]"), strip(text)))
+    """<think> body, or all of a text that names STAGE 1 or STAGE 2 (one blank between), or null."""
+    upper = F.upper(text)
+    return F.coalesce(block(text, "think"), F.when(upper.contains("STAGE 1") | upper.contains("STAGE 2"), strip(text)))
 
 
 def trim_tail(text: Column) -> Column:
-    return F.regexp_replace(text, TAIL, "")
+    """Without blanks, fences, tags and end marks at the end.  Runs of any length are passed once."""
+    return F.reverse(F.regexp_replace(F.reverse(text), TAIL_BACKWARDS, ""))
 
 
 def stages(text: Column, first: int, before: int | None) -> Column:
@@ -100,9 +126,14 @@ def filtered_regions(text: Column) -> Column:
 
 
 def kept_boxes(text: Column) -> Column:
-    """Boxes of kept blocks."""
-    of = F.transform(kept_blocks(text), lambda b: four_numbers(F.regexp_extract(b, r"\[([^\]]*)\]", 1)))
-    return F.filter(of, lambda b: b.isNotNull())
+    """All boxes (integers in brackets, each once a block) of the blocks that begin with REGION (cut where REGION, blanks and a number stand) and say KEEP anywhere."""
+
+    def boxes(b: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(b, F.lit(FOUR_INTEGERS), F.lit(1)), lambda f: F.transform(F.split(f, ","), lambda n: strip(n).try_cast("bigint")))
+        return F.array_distinct(found)
+
+    kept = F.filter(F.split(text, REGION_START, -1), lambda b: strip(b).startswith("REGION") & b.rlike(KEPT))
+    return F.coalesce(F.flatten(F.transform(kept, boxes)), F.array().cast("array<array<bigint>>"))
 
 
 def groundings(text: Column) -> Column:

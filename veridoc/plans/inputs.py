@@ -61,3 +61,16 @@ def traces(spark: SparkSession, d: str) -> DataFrame:
     think = F.concat(F.lit("--- STAGE 1: Knowledge Preparation ---\n"), said, F.lit("\n--- STAGE 2: Filter ---\nREGION_001 [1, 2, "), n, F.lit(", 9]: soft edge. → KEEP as Visual Clumsy.\nREGION_002 [3, 3, 5, 5]: noise. → DROP.\n--- STAGE 3: Semantics ---\nnone\n--- STAGE 4: Verdict ---\ndone"))
     raw = F.concat(F.lit("```markdown\n<think>"), think, F.lit("</think>\n<report># FORGERY ANALYSIS REPORT\nbody "), n, F.lit("\n**END OF REPORT**\ntail</report>\n```"))
     return read(spark, d, "conversations").select("conv_id", "turn", "role", "text", said.alias("said"), think.alias("think"), raw.alias("raw"))
+
+
+ANSWERS_SQL = """a AS (SELECT conv_id, turn, turn % 4 AS shape, trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS said FROM conversations)"""
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """conv_id, turn, raw: whole turns inside model outputs of four shapes (fences with newlines, inner fences, two titles, no title)."""
+    said, n = F.trim(F.regexp_replace("text", r"[^A-Za-z ]", "")), F.col("turn").cast("string")
+    first = F.concat(F.lit("```markdown\n<think> "), said, F.lit(" </think>\n<report># FORGERY ANALYSIS REPORT\nbody "), n, F.lit("\n**END OF REPORT**\ntail</report>\n```\n"))
+    second = F.concat(F.lit("<report>\n```md\n#  Forgery Analysis  Report\nbody "), n, F.lit("\n```\n</report> after"))
+    third = F.concat(F.lit("stage1 "), said, F.lit("\n# FORGERY ANALYSIS REPORT\ndraft\n# FORGERY ANALYSIS REPORT\nfinal "), n, F.lit("\n```\n"))
+    shape = F.col("turn") % 4
+    return read(spark, d, "conversations").select("conv_id", "turn", F.when(shape == 0, first).when(shape == 1, second).when(shape == 2, third).otherwise(F.concat(F.lit("  stage 1 "), said, F.lit(" \n"))).alias("raw"))

@@ -244,10 +244,27 @@ def _on_trace(name, expression, sql=None):
 
 
 RAW, THOUGHT = "raw", "think"
-_on_trace("h12_clean_report", lambda: T.clean_report(F.col(RAW)), "concat('# FORGERY ANALYSIS REPORT', chr(10), 'body ', turn, chr(10), '**END OF REPORT**')")
-_on_trace("h13_clean_report_v0", lambda: T.clean_report(F.regexp_replace(F.col(RAW), "(?s)<think>.*</think>", ""), strip_think=False), "concat('# FORGERY ANALYSIS REPORT', chr(10), 'body ', turn, chr(10), '**END OF REPORT**')")
-_on_trace("h14_think", lambda: F.md5(T.think_or_stages(F.col(RAW))), f"md5({THINK})")
-_on_trace("h15_strip_thinking", lambda: F.md5(T.thoughts(F.col(RAW))), f"md5({THINK})")
+
+
+def _on_answer(name, columns, sql):
+    @query(name, f"WITH {I.ANSWERS_SQL} SELECT conv_id, turn, {sql} FROM a")
+    def _(spark, d):
+        return I.answers(spark, d).select("conv_id", "turn", *columns(F.col("raw")))
+
+
+BODY = "concat('# FORGERY ANALYSIS REPORT', chr(10), 'body ', turn, chr(10), '**END OF REPORT**')"
+OUTER = "CASE shape WHEN 0 THEN {body} WHEN 1 THEN {second} WHEN 2 THEN concat('# FORGERY ANALYSIS REPORT', chr(10), 'final ', turn) ELSE trim(concat('stage 1 ', said)) END AS report"
+SPACED = "concat('#  Forgery Analysis  Report', chr(10), 'body ', turn)"
+_on_answer("h12_clean_report", lambda t: [T.clean_report(t).alias("report")], OUTER.format(body=BODY, second=f"concat({SPACED}, chr(10), '```')"))
+_on_answer("h13_clean_report_v0", lambda t: [T.clean_report_v0(t).alias("report")], OUTER.format(body=BODY, second=SPACED))
+_on_answer("h14_think", lambda t: [T.think_or_stages(t).alias("think")], "CASE shape WHEN 0 THEN said WHEN 3 THEN trim(concat('stage 1 ', said)) END AS think")
+_on_answer(
+    "h15_strip_thinking",
+    lambda t: [T.strip_thinking(t)["thinking"].alias("thinking"), T.strip_thinking(t)["answer"].alias("answer")],
+    f"""CASE shape WHEN 0 THEN said WHEN 1 THEN concat('<report>', chr(10), '```md') WHEN 2 THEN trim(concat('stage1 ', said)) ELSE '' END AS thinking,
+    CASE shape WHEN 0 THEN concat('<report>', {BODY}, chr(10), 'tail</report>') WHEN 1 THEN concat({SPACED}, chr(10), '```', chr(10), '</report> after')
+      WHEN 2 THEN concat('# FORGERY ANALYSIS REPORT', chr(10), 'draft', chr(10), '# FORGERY ANALYSIS REPORT', chr(10), 'final ', turn) ELSE trim(concat('stage 1 ', said)) END AS answer""",
+)
 _on_trace("h16_blocks", lambda: T.block(F.col(RAW), "report"), "concat('# FORGERY ANALYSIS REPORT', chr(10), 'body ', turn, chr(10), '**END OF REPORT**', chr(10), 'tail')")
 _on_trace("h17_trim_tail", lambda: T.trim_tail(F.concat(F.col("role"), F.lit(" body </think>\n```json\n**END OF REPORT** "))), "concat(role, ' body')")
 _on_trace("h18_stage1", lambda: T.stage_one(F.col(THOUGHT)), ONE)
@@ -256,7 +273,14 @@ _on_trace("h19_stages_34", lambda: T.stages(F.col(THOUGHT), 3, None), "concat('-
 _on_trace("h19_reasoning", lambda: F.md5(T.stages(F.col(THOUGHT), 1, None)), f"md5({THINK})")
 _on_trace("h20_keep_blocks", lambda: F.array_join(T.kept_blocks(F.col(THOUGHT)), "\n"), "concat('REGION_001 [1, 2, ', turn, ', 9]: soft edge. → KEEP as Visual Clumsy.')")
 _on_trace("h21_filtered", lambda: F.md5(T.filtered_regions(F.col(THOUGHT))), f"md5(concat({ONE}, chr(10), chr(10), '--- STAGE 2 KEEP regions (filtered) ---', chr(10), chr(10), 'REGION_001 [1, 2, ', turn, ', 9]: soft edge. → KEEP as Visual Clumsy.'))")
-_on_trace("h22_kept_boxes", lambda: F.get(T.kept_boxes(F.col(THOUGHT)), F.lit(0))[2], "CAST(turn AS INTEGER)")
+
+
+def _first_stage():
+    n = F.col("turn").cast("string")
+    return F.concat(F.lit("before KEEP as Visual Clumsy [9, 9, 9, 9]\nREGION 1: [1, 2, "), n, F.lit(", 9], [5,6,7,8] and [5, 6, 7, 8] soft → keep  as Visual Clumsy, but "), F.col("said"), F.lit("\nREGION 2 [3, 3, 5, 5] DROP\nREGION  3 [-4 ,0,"), n, F.lit(",9] KEEP as Logical Fraud [1, 1, 2, x] REGION_4 [7, 7, 8, 8]"))
+
+
+_on_trace("h22_kept_boxes", lambda: F.to_json(T.kept_boxes(_first_stage())), "concat('[[1,2,', turn, ',9],[5,6,7,8],[-4,0,', turn, ',9],[7,7,8,8]]')")
 _on_trace("h40_truncate", lambda: T.truncate(F.col("text"), 40), "CASE WHEN length(text) > 40 THEN concat(substring(text, 1, 39), '…') ELSE text END")
 _on_trace("h42_is_sentence", lambda: T.is_sentence(F.col("text")), "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 3 OR length(text) - length(replace(text, ' ', '')) >= 2")
 
@@ -380,9 +404,15 @@ def _(spark, d):
     return turns.select("conv_id", F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.size("messages").alias("n")), {"ignoreNullFields": "false"}).alias("value"))
 
 
-@query("h41_viz_parse", f"WITH {BOX_SQL} SELECT doc, item, concat('strokes differ at ', x2) AS reason FROM bx WHERE f = 'R'")
+@query("h41_viz_parse", f"WITH {BOX_SQL} SELECT doc, CAST(item AS VARCHAR) AS item, 'Clumsy' AS type, concat(x1, ',', y1, ',', x2, ',', y2) AS box, concat('strokes differ [NOTE] at ', x2) AS reason FROM bx WHERE f = 'R' AND item % 3 <> 0")
 def _(spark, d):
-    return I.reports(spark, d).select("doc", F.explode(R.visual_anomalies(F.col(TX))).alias("a")).select("doc", F.col("a.index").alias("item"), "a.reason")
+    """Headers in the middle of lines, tags inside reasons, boxes that aren't whole numbers."""
+    s = lambda c: F.col(c).cast("string")
+    corner = F.concat(s("x1"), F.when(F.col("item") % 3 == 0, ".5").otherwise(""))
+    one = F.concat(F.lit("seen ### anomaly"), s("item"), F.lit(" : Clumsy: \n[GROUNDING]: [ "), corner, F.lit(" ,"), s("y1"), F.lit(", "), s("x2"), F.lit(","), s("y2"), F.lit("]\n[REASON]: strokes  differ\n[NOTE] at "), s("x2"), F.lit("\n --- \nrest "))
+    texts = I.boxes(spark, d, "R").groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", one.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    a = texts.select("doc", F.explode(R.visual_anomalies(F.col("text"))).alias("a"))
+    return a.select("doc", F.col("a.index").alias("item"), "a.type", F.array_join(F.col("a.grounding").cast("array<string>"), ",").alias("box"), "a.reason")
 
 
 @query("h43_lang_class", "SELECT DISTINCT lang, CASE WHEN lang IN ('ar', 'fa', 'ur', 'he') THEN 'rtl' WHEN lang IN ('zh', 'ja', 'th') THEN 'continuous' ELSE 'spaced' END AS kind FROM documents")
@@ -419,15 +449,6 @@ def _(spark, d):
 # --- K: composed ------------------------------------------------------------------------------------------------
 
 
-@query("k01_evaluate_against_meta")
-def _(spark, d):
-    r = I.reports(spark, d)
-    other = r.select((F.col("doc") + 1).alias("doc"), F.col("text").alias("predicted"))
-    pairs = r.join(other, "doc").select(F.col("doc").alias("id"), F.col("text").alias("truth"), "predicted", F.lit(150).alias("width"), F.lit(150).alias("height"))
-    out = P.evaluate(pairs)
-    return out.select("n", *[r6(c).alias(c) for c in ("precision", "recall", "f1", "miou", "mf1", "rubric", "final_score")])
-
-
 @query("k05_augment", f"WITH {BOX_SQL} SELECT doc, count(*) AS n FROM bx WHERE f = 'A' GROUP BY 1")
 def _(spark, d):
     out = P.augment(I.family(spark, d, "A", "item"), I.family(spark, d, "R", "candidate"), I.family(spark, d, "N", "candidate"), I.family(spark, d, "A", "candidate"))

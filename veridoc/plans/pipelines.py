@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import report as R, text as T
 from ..functions.geometry import Box, clip_box
 from ..operators import contracts, metrics as M, spatial as S
+from ..operators.similarity import text_similarity
+from ..tables import stored
 
 
 def exploded_boxes(df: DataFrame, key: str, boxes: Column, width: Column = None, height: Column = None) -> DataFrame:
@@ -18,13 +20,18 @@ def exploded_boxes(df: DataFrame, key: str, boxes: Column, width: Column = None,
     return rows.select("doc", *(clip_box(b, F.col("w"), F.col("h")) if width is not None else b).named())
 
 
-def evaluate(pairs: DataFrame, *, judge=contracts.mock_judge, weights: dict[str, float] = M.COMMAND_LINE, similarity: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def explained(pairs: DataFrame) -> DataFrame:
+    """id, f1 of explanations (id, truth, predicted) by their words' best matches."""
+    return text_similarity(pairs, ["id"], "truth", "predicted").select("id", "f1")
+
+
+def evaluate(pairs: DataFrame, *, judge=contracts.mock_judge, weights: dict[str, float] = M.COMMAND_LINE, similarity: Callable[[DataFrame], DataFrame] | None = explained) -> DataFrame:
     """One row of scores of predicted against true reports.
 
     pairs: id, truth, predicted (report texts), width, height.  similarity: from (id, truth, predicted) explanations to
-    (id, f1); without it the explanation part drops out and its weight goes to the others.
+    (id, f1); with None the explanation part drops out and its weight goes to the others.  Reports are parsed once, into a table.
     """
-    parsed = pairs.select("id", "width", "height", R.parse_report(F.col("truth")).alias("t"), R.parse_report(F.col("predicted")).alias("p"))
+    parsed = stored(pairs.select("id", "width", "height", R.parse_report(F.col("truth")).alias("t"), R.parse_report(F.col("predicted")).alias("p")).withColumns({"t": F.col("t").dropFields("raw"), "p": F.col("p").dropFields("raw")}), "parsed")
     detection = M.detection_scores(parsed.select(F.col("t.conclusion").alias("a"), F.col("p.conclusion").alias("b")), "a", "b")
     a = exploded_boxes(parsed, "id", R.boxes(F.col("t")), F.col("width"), F.col("height"))
     b = exploded_boxes(parsed, "id", R.boxes(F.col("p")), F.col("width"), F.col("height"))
@@ -35,9 +42,9 @@ def evaluate(pairs: DataFrame, *, judge=contracts.mock_judge, weights: dict[str,
     prompt = F.concat(F.lit("TRUTH:\n"), R.explanation(F.col("t")), F.lit("\nPREDICTION:\n"), R.explanation(F.col("p")))
     asked = parsed.select(T.judge_scores(contracts.judge(prompt, judge)).alias("s")).select("s.*")
     rubric = M.rubric_scores(asked).select(F.col("average_norm").alias("rubric"))
-    explained = similarity(parsed.select("id", R.explanation(F.col("t")).alias("truth"), R.explanation(F.col("p")).alias("predicted"))).agg(F.avg("f1").alias("explanation")) if similarity else None
+    meant = similarity(parsed.select("id", R.explanation(F.col("t")).alias("truth"), R.explanation(F.col("p")).alias("predicted"))).agg(F.avg("f1").alias("explanation")) if similarity else None
     one = detection.join(F.broadcast(grounding.withColumnRenamed("n", "n_grounding"))).join(F.broadcast(rubric))
-    one = one.join(F.broadcast(explained)) if explained is not None else one.withColumn("explanation", F.lit(None).cast("double"))
+    one = one.join(F.broadcast(meant)) if meant is not None else one.withColumn("explanation", F.lit(None).cast("double"))
     parts = {"detection": F.col("f1"), "grounding": M.grounding_part(F.col("miou"), F.col("mf1")), "explanation": F.col("explanation"), "rubric": F.col("rubric")}
     return one.withColumn("final_score", M.final_score(parts, weights))
 

@@ -123,22 +123,6 @@ def _(spark, d):
     return spark.createDataFrame([("library", M.EVEN["detection"], M.EVEN["grounding"]), ("command line", M.COMMAND_LINE["detection"], M.COMMAND_LINE["grounding"])], "name string, detection double, grounding double")
 
 
-def _judged_pairs(spark, d):
-    r = I.reports(spark, d)
-    other = r.select((F.col("doc") + 2).alias("doc"), F.col("text").alias("predicted"))
-    return r.join(other, "doc").select(F.col("doc").alias("id"), F.col("text").alias("truth"), "predicted", F.lit(150).alias("width"), F.lit(150).alias("height"))
-
-
-@query("k02_batch_eval", f"WITH {BOX_SQL}, k AS (SELECT DISTINCT doc FROM bx WHERE f = 'R') SELECT count(*) AS n, 1.0::DOUBLE AS f1, 0.7::DOUBLE AS rubric FROM k WHERE doc - 2 IN (SELECT doc FROM k)")
-def _(spark, d):
-    return P.evaluate(_judged_pairs(spark, d)).select("n", "f1", r6("rubric").alias("rubric"))
-
-
-@query("k03_folder_eval", f"WITH {BOX_SQL}, k AS (SELECT DISTINCT doc FROM bx WHERE f = 'R'), j AS (SELECT doc FROM k WHERE doc - 2 IN (SELECT doc FROM k) ORDER BY doc LIMIT 100) SELECT count(*) AS n, 1.0::DOUBLE AS f1 FROM j")
-def _(spark, d):
-    return P.evaluate(L.head(_judged_pairs(spark, d), 100, "id")).select("n", "f1")
-
-
 @query("k04_single_pair", "SELECT 75.0::DOUBLE AS factuality, 70.0::DOUBLE AS reasoning, 65.0::DOUBLE AS completeness")
 def _(spark, d):
     one = spark.createDataFrame([("true report", "predicted report")], "truth string, predicted string")
