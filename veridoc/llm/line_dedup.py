@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, keeping the earliest of equal and nearly equal lines.
 
-A line (between newlines) is its sequence of words.  Order is (doc_id, line number).  A line is dropped if an earlier line has
+A line (between newlines) is its sequence of words.  Order is (doc_id, hash of the text, line number).  A line is dropped if an earlier line has
 the same words, or, for lines of `near_words` words and more, if its words become an earlier line's by at most one
 edit (a word put in, left out or exchanged).  Lines of fewer than `least_words` words always stay; with WHOLE, which
 the query and the pipeline use, every line with a word takes part, and lines of five words and more match nearly.
@@ -26,7 +26,7 @@ ones that can be split.  Documents are read three times and only shuffled if mor
 concerned (below, their numbers are broadcast).
 
 Defined cases: null text stays null, empty text empty, and neither has lines; blank lines stay; repeated rows of one doc_id and
-text are one place and get the same result; rows without a doc_id stay as they are; ties can't arise (a
+text are one place and get the same result, rows of one doc_id with other texts have places of their own; rows without a doc_id stay as they are; ties can't arise (a
 place is unique); texts and lines of any length are taken whole; an empty table returns no rows; doc_id is a whole number
 (bigint); all columns of the input are returned whatever their names, n_chars brought up to date, but for those called as
 the `counts`, whose place the result's take.
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import arrow_batches, dropped, lean, unused, written
 
@@ -49,6 +49,15 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
 
+#: What tells a row's text from others, and a line from others.
+_TEXT, _PLACE = ["doc_id", "th"], ["doc_id", "th", "line"]
+
+
+def text_hash(text: Column) -> Column:
+    """60 bits of the text's MD5, which SQL engines share."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -68,28 +77,28 @@ def half_keys(words: list[bytes]) -> list[int]:
 
 
 def lines_of(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
-    """doc_id, line, n, h, g (128-bit hash of the words), halves (null for short lines) of lines of least_words and more."""
+    """doc_id, th, line, n, h, g (128-bit hash of the words), halves (null for short lines) of lines of least_words and more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 for i, line in enumerate((text.as_py() or "").encode().split(b"\n")):
                     words = line.split()
                     if len(words) >= least_words:
                         whole = xxhash.xxh3_128_intdigest(b" ".join(words))
-                        out.append((doc, i, len(words), _signed(whole >> 64), _signed(whole & (1 << 64) - 1), half_keys(words) if len(words) >= near_words else None))
+                        out.append((doc, th, i, len(words), _signed(whole >> 64), _signed(whole & (1 << 64) - 1), half_keys(words) if len(words) >= near_words else None))
                 if len(out) > 50_000:
                     yield _batch(out, _LINES)
                     out = []
             if out:
                 yield _batch(out, _LINES)
 
-    return docs.mapInArrow(lean(run), "doc_id bigint, line int, n int, h bigint, g bigint, halves array<bigint>")
+    return docs.mapInArrow(lean(run), "doc_id bigint, th bigint, line int, n int, h bigint, g bigint, halves array<bigint>")
 
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("halves", pa.list_(pa.int64()))])
-_VARIANTS = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("line", pa.int32())])
+_LINES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("halves", pa.list_(pa.int64()))])
+_VARIANTS = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -97,28 +106,28 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _small(lists: DataFrame, inline: int) -> DataFrame:
-    """lists (doc_id, lines and a few numbers), to be broadcast if they have at most `inline` lines in all."""
+    """lists (doc_id, th, lines and a few numbers), to be broadcast if they have at most `inline` lines in all."""
     return F.broadcast(lists) if (lists.agg(F.sum(F.size("lines"))).first()[0] or 0) <= inline else lists
 
 
 def _word_hashes(docs: DataFrame, at: DataFrame, inline: int) -> DataFrame:
-    """doc_id, line, flags, words (hashes in order) of the lines that at (doc_id, lines: array of line, flags) names."""
-    rows = docs.join(_small(at, inline), "doc_id").select("doc_id", "text", "lines")
+    """doc_id, th, line, flags, words (hashes in order) of the lines that at (doc_id, th, lines: array of line, flags) names."""
+    rows = docs.join(_small(at, inline), _TEXT).select(*_TEXT, "text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("flags", pa.int32()), ("words", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("flags", pa.int32()), ("words", pa.list_(pa.int64()))])
         for batch in batches:
             out = []
-            for doc, text, lines in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, th, text, lines in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 own = (text or "").encode().split(b"\n")
-                out += [(doc, x["line"], x["flags"], [_signed(xxhash.xxh3_64_intdigest(w)) for w in own[x["line"]].split()]) for x in lines if x["line"] < len(own)]
+                out += [(doc, th, x["line"], x["flags"], [_signed(xxhash.xxh3_64_intdigest(w)) for w in own[x["line"]].split()]) for x in lines if x["line"] < len(own)]
                 if len(out) > 5_000:
                     yield _batch(out, schema)
                     out = []
             if out:
                 yield _batch(out, schema)
 
-    return rows.mapInArrow(lean(run), "doc_id bigint, line int, flags int, words array<bigint>")
+    return rows.mapInArrow(lean(run), "doc_id bigint, th bigint, line int, flags int, words array<bigint>")
 
 
 #: Kinds of keys: a whole line, a line without a word, a line without a word whose place and length count.
@@ -158,11 +167,11 @@ def variant_keys(words: np.ndarray, flags: int) -> tuple[np.ndarray, np.ndarray]
 def _variants(suspects: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, line, flags, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for doc, th, line, flags, words in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
                 keys, kinds = variant_keys(words.values.to_numpy(), flags)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), pa.array(np.full(len(keys), doc, np.int64)), pa.array(np.full(len(keys), line, np.int32))], schema=_VARIANTS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), pa.array(np.full(len(keys), doc, np.int64)), pa.array(np.full(len(keys), th, np.int64)), pa.array(np.full(len(keys), line, np.int32))], schema=_VARIANTS)
 
-    return suspects.mapInArrow(lean(_merged(run, 100_000)), "key bigint, kind tinyint, doc_id bigint, line int")
+    return suspects.mapInArrow(lean(_merged(run, 100_000)), "key bigint, kind tinyint, doc_id bigint, th bigint, line int")
 
 
 def _merged(run, rows: int):
@@ -196,36 +205,36 @@ def within_one_edit(a: list, b: list) -> bool:
 def _verified(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [within_one_edit(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["doc_id", "line"]).filter(pa.array(ok, pa.bool_()))
+            ok = [within_one_edit(a, b) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:3]), names=["doc_id", "th", "line"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(lean(run), "doc_id bigint, line int")
+    return pairs.mapInArrow(lean(run), "doc_id bigint, th bigint, line int")
 
 
 def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_words: int = 5, near_words: int = 10, inline: int = 1_000_000) -> DataFrame:
-    """doc_id, lines (sorted line numbers to drop), n_near (how many of them only nearly equal an earlier one)."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
+    """doc_id, th, lines (sorted line numbers to drop), n_near (how many of them only nearly equal an earlier one)."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_hash(F.col(text)).alias("th"), F.col(text).alias("text")).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     lines = written(lines_of(rows, least_words, near_words), "lines")
-    place = F.struct("doc_id", "line")
+    place = F.struct(*_PLACE)
     firsts = written(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "firsts")
     halves = firsts.where(F.col("halves").isNotNull()).select("first", F.posexplode("halves").alias("kind", "key"))
     # A line's keys as itself and as the longer one may agree: only other lines count.
     shared = halves.groupBy("key").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a != b").select("key")
     flags = halves.join(shared, "key").groupBy("first").agg(F.max(F.when(F.col("kind") % 2 == 0, 1).otherwise(0)).alias("p"), F.max(F.when(F.col("kind") % 2 == 1, 2).otherwise(0)).alias("s"))
-    at = written(flags.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set(F.struct(F.col("first.line").alias("line"), (F.col("p") + F.col("s")).alias("flags"))).alias("lines")), "at")
-    suspects = written(_word_hashes(rows, at, inline).dropDuplicates(["doc_id", "line"]), "suspects")
+    at = written(flags.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).agg(F.collect_set(F.struct(F.col("first.line").alias("line"), (F.col("p") + F.col("s")).alias("flags"))).alias("lines")), "at")
+    suspects = written(_word_hashes(rows, at, inline).dropDuplicates(_PLACE), "suspects")
     variants = written(_variants(suspects), "variants")
     first = lambda kind: F.min(F.when(F.col("kind") == kind, place))
     earliest = variants.groupBy("key").agg(first(_WHOLE).alias("whole"), first(_SHORTER).alias("shorter"), first(_EXCHANGE).alias("exchanged"), F.max(place).alias("latest"))
     earliest = earliest.where((F.col("whole").isNotNull() & F.col("shorter").isNotNull()) | (F.col("exchanged") != F.col("latest"))).drop("latest")
     partner = F.when(F.col("kind") == _WHOLE, F.col("shorter")).when(F.col("kind") == _SHORTER, F.col("whole")).otherwise(F.col("exchanged"))
-    partners = variants.join(earliest, "key").withColumn("partner", partner).where(F.col("partner") < place).select("doc_id", "line", "partner").distinct()
-    of = suspects.select(F.col("doc_id").alias("p_doc"), F.col("line").alias("p_line"), F.col("words").alias("p_words"))
-    pairs = partners.join(suspects, ["doc_id", "line"]).join(of, (F.col("partner.doc_id") == F.col("p_doc")) & (F.col("partner.line") == F.col("p_line"))).select("doc_id", "line", "words", "p_words")
+    partners = variants.join(earliest, "key").withColumn("partner", partner).where(F.col("partner") < place).select(*_PLACE, "partner").distinct()
+    of = suspects.select(F.col("doc_id").alias("p_doc"), F.col("th").alias("p_th"), F.col("line").alias("p_line"), F.col("words").alias("p_words"))
+    pairs = partners.join(suspects, _PLACE).join(of, (F.col("partner.doc_id") == F.col("p_doc")) & (F.col("partner.th") == F.col("p_th")) & (F.col("partner.line") == F.col("p_line"))).select(*_PLACE, "words", "p_words")
     near = written(_verified(pairs), "near")
-    repeats = lines.join(firsts.select("h", "g", "first"), ["h", "g"]).where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line", F.lit(0).alias("near"))
+    repeats = lines.join(firsts.select("h", "g", "first"), ["h", "g"]).where(place != F.col("first")).select(*_PLACE, F.lit(0).alias("near"))
     every = repeats.unionByName(near.withColumn("near", F.lit(1)))
-    out = written(every.groupBy("doc_id", "line").agg(F.max("near").alias("near")).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines"), F.sum("near").alias("n_near")), "drop")
+    out = written(every.groupBy(*_PLACE).agg(F.max("near").alias("near")).groupBy(*_TEXT).agg(F.array_sort(F.collect_list("line")).alias("lines"), F.sum("near").alias("n_near")), "drop")
     for passed in (lines, firsts, at, suspects, variants, near):
         dropped(passed)
     return out
@@ -233,11 +242,11 @@ def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", inline: int = 1_000_000, counts: tuple[str, str, str] = ("n_lines", "n_dropped", "n_near"), **more) -> DataFrame:
     """docs with the kept lines as text (n_chars brought up to date) and, beside its columns, the counts of lines, dropped and nearly equal ones."""
-    at, lines, near, new = (unused(docs.columns, n) for n in ("id", "lines", "near", "new"))
+    at, of, lines, near, new = (unused(docs.columns, n) for n in ("id", "of", "lines", "near", "new"))
     with arrow_batches(docs.sparkSession):
         found = dropped_lines(docs, doc_id=doc_id, text=text, inline=inline, **more)
-    drop = _small(found, inline).withColumnsRenamed({"doc_id": at, "lines": lines, "n_near": near})
-    joined = docs.join(drop, F.col(doc_id).cast("bigint") == F.col(at), "left")
+    drop = _small(found, inline).withColumnsRenamed({"doc_id": at, "th": of, "lines": lines, "n_near": near})
+    joined = docs.join(drop, (F.col(doc_id).cast("bigint") == F.col(at)) & (text_hash(F.col(text)) == F.col(of)), "left")
     parts = F.split(F.col(text), "\n", -1)
     # The runs between dropped lines, in one sweep: a long text may lose many.
     ends = F.concat(F.col(lines), F.array(F.size(parts)))

@@ -108,8 +108,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(c) AS component_id FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)""",
     "op9_line_dedup": r"""
         WITH l AS (
-          SELECT doc_id, i - 1 AS line, doc_id * 10000000 + i AS place, x, list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w
-          FROM (SELECT doc_id, s[i] AS x, i FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))),
+          SELECT doc_id, th, i - 1 AS line, (CAST(doc_id AS HUGEINT) * 1152921504606846976 + th) * 10000000 + i AS place, x, list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w
+          FROM (SELECT doc_id, th, s[i] AS x, i FROM (SELECT doc_id, th, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT DISTINCT doc_id, CAST(concat('0x', substring(md5(text), 1, 15)) AS BIGINT) AS th, string_split(text, chr(10)) AS s FROM documents)))),
         f AS (SELECT array_to_string(w, ' ') AS t, any_value(w) AS w, any_value(len(w)) AS n, min(place) AS place FROM l WHERE len(w) > 0 GROUP BY 1),
         h AS (SELECT place, n, w, m, array_to_string(w[1:m // 2], ' ') AS k1, array_to_string(w[n - (m - m // 2) + 1:n], ' ') AS k2 FROM (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= 5)),
         pair AS (
@@ -118,10 +118,10 @@ ORACLE_SQL: dict[str, str] = {
         spot AS (SELECT *, coalesce(list_position(list_transform(range(1, len(v) + 1), lambda i: v[i] = w[i]), false), len(v) + 1) AS p FROM pair),
         near AS (SELECT DISTINCT greatest(a, b) AS place FROM spot WHERE v[p + 1:] = w[p + 1:] AND len(v) = len(w) OR len(w) = len(v) + 1 AND v[p:] = w[p + 1:]),
         gone AS (SELECT place, 1 AS near FROM near UNION ALL SELECT l.place, 0 FROM l JOIN f ON array_to_string(l.w, ' ') = f.t WHERE len(l.w) > 0 AND l.place <> f.place),
-        made AS (SELECT doc_id, count(*) AS n_lines, count(near) AS n_dropped, coalesce(sum(near), 0) AS n_near,
-                        coalesce(string_agg(x, chr(10) ORDER BY line) FILTER (near IS NULL), '') AS text FROM l LEFT JOIN gone USING (place) GROUP BY 1)
+        made AS (SELECT doc_id, th, count(*) AS n_lines, count(near) AS n_dropped, coalesce(sum(near), 0) AS n_near,
+                        coalesce(string_agg(x, chr(10) ORDER BY line) FILTER (near IS NULL), '') AS text FROM l LEFT JOIN gone USING (place) GROUP BY 1, 2)
         SELECT d.doc_id, n_lines, coalesce(n_dropped, 0) AS n_dropped, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, length(made.text) AS n_chars, sha256(made.text) AS text_sha256
-        FROM documents d LEFT JOIN made USING (doc_id)""",
+        FROM documents d LEFT JOIN made ON made.doc_id = d.doc_id AND made.th = CAST(concat('0x', substring(md5(d.text), 1, 15)) AS BIGINT)""",
     "op10_benchmark_decontamination": rf"""
         WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, {_UPPER}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
         win AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 9], ' ') AS t, least(len(w), 10) AS l
