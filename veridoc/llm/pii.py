@@ -28,6 +28,7 @@ are returned whatever their names, but for one called `entities`, whose place th
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -60,7 +61,7 @@ _GIVEN = "|".join(sorted({n for v in _BY_GENDER.values() for n in v}, key=lambda
 _SECRET = r"""(?=[pPsStTaA])(?i:password|passwd|pwd|secret|token|api[_\-]?key)(?:["']?[=:]["']?|\s{0,3}[=:]\s{0,3}["'])"""
 _COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"[\p{L}\p{N}._%+\-]{1,256}+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+){0,126}\.[A-Za-z]{2,}",
     "key": r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:ghp|gho|ghs|xox[abp]|sk)[_\-][A-Za-z0-9_\-]{16,})(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
     "hex": r"(?=[A-Fa-f]{0,127}\d)(?=\d{0,127}[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
@@ -109,10 +110,10 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _digest(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+def _digest(key: Column, kind: Column, canon: Column, attempt: Column) -> Column:
     """128 hexadecimal digits under the key."""
-    inner = F.sha2(F.concat(F.lit(key + "\0in\0"), kind, F.lit("\0"), canon, F.lit("\0"), attempt.cast("string")), 512)
-    return F.sha2(F.concat(F.lit(key + "\0out\0"), inner), 512)
+    inner = F.sha2(F.concat(key, F.lit("\0in\0"), kind, F.lit("\0"), canon, F.lit("\0"), attempt.cast("string")), 512)
+    return F.sha2(F.concat(key, F.lit("\0out\0"), inner), 512)
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -183,7 +184,7 @@ def _name(canon: Column, digest: Column, attempt: Column) -> Column:
     return _let(syllables, written_out)
 
 
-def canonical_surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+def canonical_surrogate(kind: Column, canon: Column, attempt: Column, key: Column) -> Column:
     """The replacement of an entity's canonical form.  Where a format is too small for all its entities, later attempts are longer."""
     return _let(_digest(key, kind, canon, attempt), lambda d: _by_kind(kind, canon, attempt, d))
 
@@ -241,13 +242,19 @@ def entities(parts: Column) -> Column:
     return F.coalesce(F.transform(known, lambda e: F.struct(e["prefix"].alias("prefix"), e["entity"].alias("entity"), e["kind"].alias("kind"), canonical(e["entity"], e["kind"], e["prefix"]).alias("canon"))), F.array().cast(_ENTITIES))
 
 
+def keyed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with a column derived from the key.  It comes from a table of one row, so that no plan, UI or event log has it as a literal."""
+    derived = hashlib.sha256(b"surrogates\0" + key.encode()).hexdigest()
+    return df.join(F.broadcast(df.sparkSession.createDataFrame([(derived,)], f"{name} string")))
+
+
 def moved_entities(found: DataFrame, key: str) -> DataFrame:
     """kind, canon, attempt (over 0), a written table: entities whose first replacement isn't theirs alone.  found: kind, canon."""
     own = written(found.distinct(), "entities")
     state = written(own.withColumn("attempt", F.lit(0)), "attempts")
-    next_one = canonical_surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("made")
+    next_one = canonical_surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), F.col("secret")).alias("made")
     while True:
-        made = written(state.select("kind", "canon", "attempt", next_one), "surrogates")
+        made = written(keyed(state, key, "secret").select("kind", "canon", "attempt", next_one), "surrogates")
         # Who keeps a shared replacement: the earliest attempt, then the smallest form.
         keeper = made.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canon")).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "made", F.col("keeper.canon").alias("keeper"))
         taken = own.select("kind", F.col("canon").alias("made"), F.lit(True).alias("taken"))
@@ -264,7 +271,7 @@ def moved_entities(found: DataFrame, key: str) -> DataFrame:
 
 def pseudonymize(docs: DataFrame, *, key: str, text: str = "text", inline: int = 200_000, inline_bytes: int = 32_000_000) -> DataFrame:
     """docs with entities in `text` replaced, and `entities` (array of struct(kind, surrogate)) in order."""
-    parts, found, row, moved, new = (unused(docs.columns, n) for n in ("parts", "found", "row", "moved", "new"))
+    parts, found, row, moved, new, secret = (unused(docs.columns, n) for n in ("parts", "found", "row", "moved", "new", "secret"))
     listed = docs.where(F.col(text).isNotNull()).select(segments(F.col(text)).alias("p")).where(F.size("p") > 1)
     every = listed.select(F.explode(entities(F.col("p"))).alias("e")).select("e.kind", "e.canon")
     changed = moved_entities(every, key)
@@ -286,9 +293,9 @@ def pseudonymize(docs: DataFrame, *, key: str, text: str = "text", inline: int =
 
     def surrogate(e: Column) -> Column:
         attempt = F.coalesce(F.try_element_at(moved, F.concat(e["kind"], F.lit("\0"), e["canon"])), F.lit(0))
-        return F.concat(e["prefix"], _laid_out(e["entity"], e["kind"], e["canon"], canonical_surrogate(e["kind"], e["canon"], attempt, key)))
+        return F.concat(e["prefix"], _laid_out(e["entity"], e["kind"], e["canon"], canonical_surrogate(e["kind"], e["canon"], attempt, F.col(secret))))
 
-    rows = rows.withColumn(new, F.transform(found, lambda e: F.struct(e["kind"].alias("kind"), surrogate(e).alias("surrogate"))))
+    rows = keyed(rows, key, secret).withColumn(new, F.transform(found, lambda e: F.struct(e["kind"].alias("kind"), surrogate(e).alias("surrogate"))))
     joined = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.get(F.col(new), ((i - 1) / 2).cast("int"))["surrogate"]).otherwise(x)), "")
     names = [F.when(F.size(parts) > 1, joined).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c != "entities"]
     return rows.select(*names, F.col(new).alias("entities"))
