@@ -45,7 +45,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("more", [{}, {"shard": 7, "portion": 14, "buckets": 16, "most_words": 3, "top": 4}, {"absorbed": 70, "longest": 3, "buckets": 1 << 10}])
+@pytest.mark.parametrize("more", [{}, {"shard": 7, "portion": 14, "buckets": 17, "most_words": 3, "top": 4}, {"absorbed": 70, "longest": 3, "buckets": 1 << 10}])
 def test_collocations(spark, more):
     rows = corpus(len(more))
     df = spark.createDataFrame([(g, t, "x", 1) for g, t in rows], "lang string, text string, word string, n int").repartition(4)

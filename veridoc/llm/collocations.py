@@ -9,7 +9,7 @@ counts, of equal ones the earliest.  A candidate goes if a longer one with f * 1
    become sequences of numbers, any other word being a break.
 2. Length by length, a window is a pair of neighbouring frequent phrases, one word shorter, that overlap (Apriori): one 64-bit
    key.  Mappers count hashed keys in an array of saturating cells, as many as grow with the words; keys whose summed cell stays
-   under `least` can't be frequent.  The distinct keys left are the candidates.
+   under `least` can't be frequent.  The distinct keys left are the candidates; tasks send them as sorted arrays, which are united as a tree.
 3. Candidates are dealt to shards by hash, and each shard becomes a minimal perfect hash with its keys stored by slot, so that a
    key that isn't a candidate is recognised.  Mappers look windows up (numpy), count slots by bincount, and the
    arrays of a shard are summed as a tree: by groups of tasks, then altogether.
@@ -269,7 +269,7 @@ def _summed(parts: DataFrame, kind: type, most: int | None, salts: int = 16) ->
 def possible_buckets(seqs: DataFrame, least: int, buckets: int, chunk: int = 1 << 16, most: int = 2_000_000) -> np.ndarray:
     """For each bucket of hashed keys whether its windows reach `least` together; `buckets` bits come to the driver."""
     kind = np.uint8 if least < 256 else np.uint32
-    chunk, wide = min(chunk, buckets), min(buckets, 1 << 20)
+    wide = 1 << 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(buckets, kind)
@@ -277,17 +277,17 @@ def possible_buckets(seqs: DataFrame, least: int, buckets: int, chunk: int = 1 <
         def add(held: list[np.ndarray]) -> None:
             """Cells saturate at `least`, a stretch of them at a time."""
             hashes = np.sort(np.concatenate(held))
-            cut = np.searchsorted(hashes, np.arange(0, buckets + 1, wide))
+            cut = np.searchsorted(hashes, [*range(0, buckets, wide), buckets])
             for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if a < b:
                     own = cells[i * wide : (i + 1) * wide]
-                    own[:] = np.minimum(own + np.bincount(hashes[a:b] - i * wide, minlength=wide), least)
+                    own[:] = np.minimum(own + np.bincount(hashes[a:b] - i * wide, minlength=len(own)), least)
 
         held, n = [], 0
         for batch in batches:
             for seq in batch.column(0):
                 keys = _keys(seq.as_py())
-                held.append((_mixed(keys[keys >= 0], 77) & _U(buckets - 1)).astype(np.int32))
+                held.append(bucket_of(keys[keys >= 0], buckets))
                 n += len(held[-1])
                 if n > most:
                     add(held)
@@ -306,52 +306,84 @@ def possible_buckets(seqs: DataFrame, least: int, buckets: int, chunk: int = 1 <
     return out
 
 
-def bucket_count(words: int, load: int = 16, most: int = 1 << 26) -> int:
-    """A power of two so that a cell has `load` windows at most on average, up to `most` cells."""
-    return min(most, 1 << max(12, math.ceil(math.log2(max(1, words) / load))))
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mixed(keys, 77) % _U(buckets)).astype(np.int32)
 
 
-def candidate_keys(seqs: DataFrame, possible: np.ndarray, flush: int = 2_000_000) -> DataFrame:
+def bucket_count(words: int, load: int = 24, most: int = 1 << 26) -> int:
+    """So many cells that each has `load` windows on average, up to `most` cells."""
+    return max(1 << 12, min(most, math.ceil(words / load)))
+
+
+def _union(arrays: list[bytes]) -> np.ndarray:
+    return np.unique(np.concatenate([np.frombuffer(a, np.int64) for a in arrays]))
+
+
+def candidate_keys(seqs: DataFrame, possible: np.ndarray, parts: int = 64, flush: int = 2_000_000) -> DataFrame:
+    """part, keys, n: the distinct keys of possible buckets, as a sorted array for each part; tasks' arrays are united as a tree."""
     shared = seqs.sparkSession.sparkContext.broadcast(np.packbits(possible).tobytes())
     n = len(possible)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(shared.value, np.uint8))[:n].view(bool)
+        task = TaskContext.get().partitionId()
+
+        def made(keys: np.ndarray) -> pa.RecordBatch:
+            part = shard_of(keys, parts)
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            rows = [(i, keys[order[a:b]]) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([task] * len(rows), pa.int64()), _ints([k for _, k in rows])], names=["part", "task", "keys"])
+
         held, size = [], 0
         for batch in batches:
             for seq in batch.column(0):
                 keys = _keys(seq.as_py())
                 keys = keys[keys >= 0]
-                keys = np.unique(keys[bits[(_mixed(keys, 77) & _U(n - 1)).astype(np.int64)]])
-                held.append(keys)
-                size += len(keys)
+                held.append(np.unique(keys[bits[bucket_of(keys, n)]]))
+                size += len(held[-1])
                 if size > flush:
                     held = [np.unique(np.concatenate(held))]
                     size = len(held[0])
                     if size > flush // 2:
-                        yield from pa.table({"key": held[0]}).to_batches(max_chunksize=200_000)
+                        yield made(held[0])
                         held, size = [], 0
-        if held:
-            yield from pa.table({"key": np.unique(np.concatenate(held))}).to_batches(max_chunksize=200_000)
+        if size:
+            yield made(np.unique(np.concatenate(held)))
+
+    def united(by: list[str]):
+        def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[bytes] = []
+            for b in batches:
+                held = [_union([*held, *b.column("keys").to_pylist()]).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int64()) for k in key] + [pa.array(held, pa.binary()), pa.array([len(held[0]) // 8], pa.int64())], names=[*by, "keys", "n"])
+
+        return join
 
-    return seqs.mapInArrow(lean(run), "key bigint").distinct()
+    rows = seqs.mapInArrow(lean(run), "part bigint, task bigint, keys binary").selectExpr("part", "task % 16 AS task", "keys")
+    once = rows.groupBy("part", "task").applyInArrow(united(["part", "task"]), "part bigint, task bigint, keys binary, n bigint")
+    return once.select("part", "keys").groupBy("part").applyInArrow(united(["part"]), "part bigint, keys binary, n bigint")
 
 
 _SHARD = "shard bigint, keys binary, cells binary, sizes array<int>"
 
 
 def hashed(candidates: DataFrame, of: int) -> DataFrame:
-    """A perfect hash for each shard of keys."""
+    """A perfect hash for each shard of keys (part, keys)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shard_of(b.column(0).to_numpy(), of))], names=["key", "shard"])
+            for data in b.column(0).to_pylist():
+                keys = np.frombuffer(data, np.int64)
+                shard = shard_of(keys, of)
+                own = [(i, keys[shard == i]) for i in np.unique(shard).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), _ints([k for _, k in own])], names=["shard", "keys"])
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
-        keys, levels = perfect_hash(rows["key"].to_numpy())
+        keys, levels = perfect_hash(np.concatenate([np.frombuffer(x, np.int64) for x in rows["keys"].to_pylist()]))
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "keys": _ints([keys]), "cells": _ints([np.concatenate(levels)]), "sizes": pa.array([[len(x) for x in levels]], pa.list_(pa.int32()))})
 
-    return candidates.mapInArrow(deal, "key bigint, shard bigint").groupBy("shard").applyInArrow(build, _SHARD)
+    return candidates.select("keys").mapInArrow(deal, "shard bigint, keys binary").groupBy("shard").applyInArrow(build, _SHARD)
 
 
 def _portions(shards: DataFrame, of: int, most: int, values: str | None = None) -> Iterator[tuple]:
@@ -457,7 +489,7 @@ def rewritten(seqs: DataFrame, shards: DataFrame, of: int, most: int) -> DataFra
 
 
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000, absorbed: int = 100, buckets: int | None = None, shard: int = 65_536, portion: int = 2_000_000, most_words: int = 500_000) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: each language's best `top` phrases.  buckets: a power of two (else by the words)."""
+    """lang, rank, phrase, a, l, r, n, score: each language's best `top` phrases.  buckets: cells of the first count (else by the words)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     with arrow_batches(spark, size="2m"):
@@ -471,7 +503,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
         kept = None
         for length in range(2, longest + 1):
             keys = written(candidate_keys(seqs, possible_buckets(seqs, least, buckets)), "candidates")
-            of = max(1, math.ceil(keys.count() / shard))
+            of = max(1, math.ceil((keys.agg(F.sum("n")).first()[0] or 0) / shard))
             most = max(1, portion // shard)
             shards = written(hashed(keys, of), "hashes")
             numbers = written(numbered(written(counted(seqs, shards, of, most), "counted"), least), "numbered")
