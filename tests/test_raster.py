@@ -76,3 +76,32 @@ def test_clip_variants(spark):
     df = spark.createDataFrame([(150, 2, 160, 9)], "x1 int, y1 int, x2 int, y2 int")
     width = {v: df.select((G.clip_box(G.Box.of(), F.lit(100), F.lit(50), v).x2 - G.clip_box(G.Box.of(), F.lit(100), F.lit(50), v).x1).alias("w")).first().w for v in ("sorted", "unsorted", "edge")}
     assert width == {"sorted": 0, "unsorted": 0, "edge": 1}
+
+
+def test_merge_shallow_by_flooding():
+    """Labels are one when a path of passes joins them, on a 256 x 256 map."""
+    rng = np.random.default_rng(4)
+    labels = np.kron(np.arange(1, 257).reshape(16, 16), np.ones((16, 16), int))
+    labels[rng.random((256, 256)) < 0.05] = 0
+    prob = rng.random((256, 256)) * np.kron(rng.random((16, 16)), np.ones((16, 16)))
+    for ratio in (0.5, 0.8, 0.95):
+        peak = {k: prob[labels == k].max() for k in range(1, 257)}
+        links = {k: {k} for k in peak}
+        for dy, dx in ((0, 1), (1, 0)):
+            a, b = labels[: 256 - dy, : 256 - dx], labels[dy:, dx:]
+            v = np.minimum(prob[: 256 - dy, : 256 - dx], prob[dy:, dx:])
+            for i, j, x in zip(a.ravel(), b.ravel(), v.ravel(), strict=True):
+                if i != j and i and j and x >= ratio * min(peak[i], peak[j]):
+                    links[i].add(j)
+                    links[j].add(i)
+        want = {}
+        for k in links:
+            if k not in want:
+                group, todo = set(), [k]
+                while todo:
+                    if (x := todo.pop()) not in group:
+                        group.add(x)
+                        todo += links[x]
+                want |= dict.fromkeys(group, min(group))
+        got = raster.merge_shallow(labels, prob, ratio)
+        assert (got == np.vectorize(lambda k: want.get(k, 0))(labels)).all()

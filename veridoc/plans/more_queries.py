@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G, report as R, text as T
 from ..functions.geometry import Box
-from ..operators import budget, contracts, metrics as M, raster, spatial as S
+from ..operators import budget, columns, contracts, metrics as M, raster, spatial as S
 from . import inputs as I, pipelines as P
 from .inputs import BOX_SQL, read
 from .queries import CELLS, PAIRS, inter_sql, iou_sql, query, r6
@@ -163,9 +163,22 @@ def _(spark, d):
     return w.select("conv_id", "turn", "i", G.half_even(1000.0 * (upto - F.col("l")).cast("double") / total).alias("x1"), G.half_even(1000.0 * upto.cast("double") / total).alias("x2"))
 
 
-@query("g28_sobel_split")
-def _(spark, d):
-    return raster.map_boxes(I.maps(spark, d), lambda m: [[a, 0, b, 8] for a, b in raster.word_gaps(m, 3, 0.5)])
+@query("g28_sobel_split", """WITH v AS (SELECT vec_id AS doc, x, sum(abs(CAST(embedding[8 * y + least(x + 1, 7) + 1] AS DOUBLE) - embedding[8 * y + greatest(x - 1, 0) + 1])) AS e FROM embeddings CROSS JOIN (SELECT unnest(range(0, 8)) AS x) CROSS JOIN (SELECT unnest(range(0, 8)) AS y) GROUP BY 1, 2),
+  t AS (SELECT doc, max(e) AS top FROM v GROUP BY 1), ink AS (SELECT v.doc, x FROM v JOIN t USING (doc) WHERE e > 0.7 * top),
+  d AS (SELECT doc, min(x) AS a, max(x) + 1 AS b FROM ink GROUP BY 1), g0 AS (SELECT doc, lag(x) OVER (PARTITION BY doc ORDER BY x) + 1 AS g1, x AS g2 FROM ink), g AS (SELECT doc, g1, g2, g2 - g1 AS w FROM g0 WHERE g2 > g1),
+  n AS (SELECT doc, count(*) AS n FROM g GROUP BY 1), j0 AS (SELECT doc, g1, w, lead(w) OVER (PARTITION BY doc ORDER BY w, g1) AS nx, row_number() OVER (PARTITION BY doc ORDER BY w, g1) AS i FROM g),
+  j AS (SELECT doc, (w + nx) / 2.0 AS cut FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY nx - w DESC, i) AS r FROM j0 WHERE nx > w) WHERE r = 1),
+  k AS (SELECT g.*, cut, count(*) FILTER (w > cut) OVER (PARTITION BY g.doc) AS m, row_number() OVER (PARTITION BY g.doc ORDER BY w DESC, g1) AS r FROM g JOIN n ON n.doc = g.doc AND n.n >= 2 LEFT JOIN j ON j.doc = g.doc),
+  c AS (SELECT doc, g1, g2 FROM k WHERE CASE WHEN m = 2 THEN w > cut ELSE r <= 2 END),
+  s1 AS (SELECT doc, x1, row_number() OVER (PARTITION BY doc ORDER BY x1) AS word FROM (SELECT doc, g2 AS x1 FROM c UNION ALL SELECT doc, a FROM d JOIN n USING (doc) WHERE n >= 2)),
+  s2 AS (SELECT doc, x2, row_number() OVER (PARTITION BY doc ORDER BY x2) AS word FROM (SELECT doc, g1 AS x2 FROM c UNION ALL SELECT doc, b FROM d JOIN n USING (doc) WHERE n >= 2)),
+  p AS (SELECT d.doc, word, floor(a + (b - a) * CAST(word * (word - 1) // 2 AS DOUBLE) / 6) AS x1, floor(a + (b - a) * CAST(word * (word + 1) // 2 AS DOUBLE) / 6) AS x2 FROM d CROSS JOIN (SELECT unnest([1, 2, 3]) AS word) LEFT JOIN n USING (doc) WHERE coalesce(n, 0) < 2)
+  SELECT doc, CAST(word AS INTEGER) AS word, CAST(x1 AS INTEGER) AS x1, CAST(x2 AS INTEGER) AS x2, true AS split FROM s1 JOIN s2 USING (doc, word) UNION ALL SELECT doc, CAST(word AS INTEGER), CAST(x1 AS INTEGER), CAST(x2 AS INTEGER), false FROM p""")
+def _(spark, d):
+    """Three words of lengths 1, 2 and 3 on each line image."""
+    maps = I.maps(spark, d)
+    words = maps.select("doc", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("word")).withColumn("length", F.col("word"))
+    return columns.word_columns(maps, words, 3, 0.7)
 
 
 @query("g29_smooth")
