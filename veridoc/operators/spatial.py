@@ -1,6 +1,7 @@
 """Spatial joins of boxes inside documents, best matches, and exact pixel counts by coordinate compression.
 
-Every spatial condition comes with a document key, so each is a hash join with a residual predicate; nothing is compared
+Boxes meet on their document and on the cells of a grid that they touch, so each join is a hash join whose keys stay small
+even in a document with very many boxes; a pair that shares several cells is kept in one of them only.  Nothing is compared
 across documents.
 """
 
@@ -13,19 +14,40 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.geometry import Box, intersection_over_min, iou, overlap_fraction, union_box
 
 DOC = "doc"
+#: Edge of the grid's cells in pixels.  A box takes (width / CELL + 2) * (height / CELL + 2) cells at most.
+CELL = 256
 
 
 def renamed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(DOC, *[F.col(c).alias(prefix + c) for c in df.columns if c != DOC])
 
 
+def _cells(df: DataFrame, prefix: str, cell: int) -> DataFrame:
+    at = lambda c: F.floor(F.col(prefix + c) / cell)
+    area = df.where((F.col(f"{prefix}x2") > F.col(f"{prefix}x1")) & (F.col(f"{prefix}y2") > F.col(f"{prefix}y1")))
+    return area.withColumn("cell_x", F.explode(F.sequence(at("x1"), at("x2")))).withColumn("cell_y", F.explode(F.sequence(at("y1"), at("y2"))))
+
+
+def overlapping(a: DataFrame, b: DataFrame, left: str, right: str, cell: int = CELL) -> DataFrame:
+    """The pairs of boxes of a document that share an area, each once, with the columns of both under their prefixes.
+
+    Candidates are the pairs that share a cell; the one that holds the upper left corner of the shared area keeps the pair.
+    Boxes without area, and with nulls, meet nothing.
+    """
+    met = _cells(renamed(a, left), left, cell).join(_cells(renamed(b, right), right, cell), [DOC, "cell_x", "cell_y"])
+    for axis in "xy":
+        begin, l2, r2 = F.greatest(f"{left}{axis}1", f"{right}{axis}1"), F.col(f"{left}{axis}2"), F.col(f"{right}{axis}2")
+        met = met.where((begin < l2) & (begin < r2) & (F.col(f"cell_{axis}") == F.floor(begin / cell)))
+    return met.drop("cell_x", "cell_y")
+
+
 def region_words(regions: DataFrame, words: DataFrame, least: float = 0.4, k: int | None = None) -> DataFrame:
     """doc, region, words: for each region the words whose own area it covers to `least`, the best covered first.
 
     regions: doc, region, box; words: doc, id, text, box.  Regions without words keep an empty list.
     """
     fraction = overlap_fraction(Box.of("r_"), Box.of("w_"))
-    hits = renamed(regions, "r_").join(renamed(words, "w_"), DOC).withColumn("fraction", fraction).where(F.col("fraction") >= least)
+    hits = overlapping(regions, words, "r_", "w_").withColumn("fraction", fraction).where(F.col("fraction") >= least)
     entry = F.struct((-F.col("fraction")).alias("minus"), F.col("w_id").alias("id"), F.col("w_text").alias("text"), F.col("fraction").alias("overlap_frac"))
     lists = hits.groupBy(DOC, F.col("r_region").alias("region")).agg(F.array_sort(F.collect_list(entry)).alias("words"))
     best = F.slice("words", 1, k) if k else F.col("words")
@@ -36,14 +58,14 @@ def region_words(regions: DataFrame, words: DataFrame, least: float = 0.4, k: in
 
 def touching(masks: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """doc, mask, hits: ordered keys of the boxes that overlap each mask region; empty lists are kept."""
-    hits = renamed(masks, "m_").join(renamed(others, "o_"), DOC).where(iou(Box.of("m_"), Box.of("o_")) > 0)
+    hits = overlapping(masks, others, "m_", "o_").where(iou(Box.of("m_"), Box.of("o_")) > 0)
     lists = hits.groupBy(DOC, F.col("m_mask").alias("mask")).agg(F.array_sort(F.collect_list(F.col(f"o_{key}"))).alias("hits"))
     return masks.select(DOC, "mask").join(lists, [DOC, "mask"], "left").withColumn("hits", F.coalesce("hits", F.array().cast(dict(lists.dtypes)["hits"])))
 
 
 def true_positives(regions: DataFrame, masks: DataFrame, least: float = 0.05) -> DataFrame:
     """regions with tp: whether any mask box shares `least` of the smaller area."""
-    hit = renamed(regions, "r_").join(renamed(masks, "m_"), DOC).where(intersection_over_min(Box.of("r_"), Box.of("m_")) >= least).select(DOC, F.col("r_region").alias("region")).distinct().withColumn("tp", F.lit(True))
+    hit = overlapping(regions, masks, "r_", "m_").where(intersection_over_min(Box.of("r_"), Box.of("m_")) >= least).select(DOC, F.col("r_region").alias("region")).distinct().withColumn("tp", F.lit(True))
     return regions.join(hit, [DOC, "region"], "left").withColumn("tp", F.coalesce("tp", F.lit(False)))
 
 
@@ -51,8 +73,9 @@ def best_match(items: DataFrame, candidates: DataFrame, score: Callable[[Box, Bo
     """doc, item, best (candidate, box), score: each item's highest-scoring candidate, the first of equals.
 
     One aggregation (max_by), so no item's candidates are sorted.  items: doc, item, box; candidates: doc, candidate, box.
+    Boxes that share no area never match, whatever `least` is.
     """
-    met = renamed(items, "i_").join(renamed(candidates, "c_"), DOC).withColumn("score", score(Box.of("i_"), Box.of("c_")))
+    met = overlapping(items, candidates, "i_", "c_").withColumn("score", score(Box.of("i_"), Box.of("c_")))
     met = met.where(F.col("score") > least if strict else F.col("score") >= least)
     best = F.max_by(F.struct(F.col("c_candidate").alias("candidate"), *Box.of("c_").named()), F.struct("score", -F.col("c_candidate")))
     return met.groupBy(DOC, F.col("i_item").alias("item")).agg(best.alias("best"), F.max("score").alias("score"))
@@ -71,7 +94,7 @@ def best_single_or_pair(items: DataFrame, candidates: DataFrame, least: float) -
 
     Pairs are formed among an item's own candidates only.  Of equals a single comes first, then the lower places.
     """
-    met = renamed(items, "i_").join(renamed(candidates, "c_"), DOC).withColumn("score", iou(Box.of("i_"), Box.of("c_"))).where(F.col("score") > least)
+    met = overlapping(items, candidates, "i_", "c_").withColumn("score", iou(Box.of("i_"), Box.of("c_"))).where(F.col("score") > least)
     met = met.select(DOC, F.col("i_item").alias("item"), *Box.of("i_").named("i_"), F.col("c_candidate").alias("candidate"), *Box.of("c_").named(), "score")
     single = met.select(DOC, "item", F.struct(*Box.of().named()).alias("box"), "score", F.array("candidate").alias("parts"))
     a = met.select(DOC, "item", *[F.col(f"i_{c}") for c in ("x1", "y1", "x2", "y2")], F.col("candidate").alias("ca"), *Box.of().named("a_"))

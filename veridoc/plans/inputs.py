@@ -45,6 +45,15 @@ def maps(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("embedding").alias("data"))
 
 
+def map_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """doc, h, w, data, mask_h, mask_w, mask: 16 embeddings make a map 32 wide; its mask is one box, none for every seventh."""
+    m = read(spark, d, "embeddings").groupBy(F.expr("vec_id div 16").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("parts"))
+    m = m.select("doc", (F.size("parts") * 2).alias("h"), F.lit(32).alias("w"), F.flatten("parts.embedding").alias("data"))
+    x, y, left, top = (lambda i: i % 32), (lambda i: F.floor(i / 32)), F.col("doc") % 8, F.col("doc") % 5
+    inside = lambda i: ((x(i) >= left) & (x(i) < left + 12) & (y(i) >= top) & (y(i) < top + 9)).cast("int")
+    return m.withColumns({"mask_h": F.col("h"), "mask_w": F.col("w"), "mask": F.when(F.col("doc") % 7 != 0, F.transform(F.sequence(F.lit(0), F.size("data") - 1), inside))})
+
+
 def reports(spark: SparkSession, d: str) -> DataFrame:
     """doc, text: reports written from orders and their lines, so that every field is known beforehand."""
     lines = boxes(spark, d, "R").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("item", "x1", "y1", "x2", "y2"))).alias("lines"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from .. import cli
@@ -151,17 +150,6 @@ def _(spark, d):
     return r.select("doc", F.when(F.col("doc") % 2 == 0, "image").otherwise(first).alias("hint"))
 
 
-@query("k12_threshold_sweep")
-def _(spark, d):
-    """Regions per threshold: each map is read once, and all thresholds run on it."""
-
-    def kernel(m: np.ndarray) -> list[list[int]]:
-        return [[k, len(raster.detector_regions(m, t, 2, opening=0)), 0, 0] for k, t in enumerate((0.0, 0.1, 0.2))]
-
-    found = raster.map_boxes(I.maps(spark, d), kernel)
-    return found.groupBy(F.col("x1").alias("threshold")).agg(F.sum("y1").alias("n_regions"))
-
-
 @query("k13_stage1_eval", f"WITH {CELLS} SELECT round(avg(tp / CAST(tp + fp + fn AS DOUBLE)), 6) AS miou FROM px")
 def _(spark, d):
     px = S.pixel_counts(I.family(spark, d, "A", "i"), I.family(spark, d, "R", "i"))
