@@ -104,6 +104,12 @@ def asof_headers(text_id: str, marks: DataFrame, headers: DataFrame, reach: int
     return both.withColumn("index", F.when(F.col("is_mark"), F.last("index", ignorenulls=True).over(w))).where("is_mark").select(text_id, "at", "index")
 
 
+def updated_records(records: DataFrame, additions: DataFrame, key: str, field: str) -> DataFrame:
+    """records with `field` taken from additions (key, field) where it was null; what is present stays, and so do records without one."""
+    new = additions.select(key, F.col(field).alias(f"{field}__new"))
+    return records.join(new, key, "left").withColumn(field, F.coalesce(field, f"{field}__new")).drop(f"{field}__new")
+
+
 def reject_reason(rules: Sequence[tuple[str, Column]]) -> Column:
     """The first rule that fails; null if none does."""
     out = None

@@ -114,3 +114,12 @@ def chat_record(df: DataFrame, prompt: str, *, placeholder: str | None = None, s
 def prompt_statistics(df: DataFrame, key: str, text: str, cutoff: int, count=None) -> dict[str, DataFrame]:
     counted = df.select(key, F.length(text).alias("chars"), contracts.token_count(F.col(text), *([count] if count else [])).alias("tokens"))
     return {"stats": M.text_stats(counted, F.col("tokens")), "percentiles": M.nearest_ranks(counted, "tokens", [50, 90, 95, 99, 100]), "histogram": M.histogram(counted, "tokens"), "over": M.over_cutoff(counted, "tokens", cutoff, 20, key)}
+
+
+def bundle(df: DataFrame) -> DataFrame:
+    """name, content: a document's files (stem, image_name, prompt, raw): prompt, raw output, reasoning if any, report as text and as JSON."""
+    report, think = T.clean_report(F.col("raw")), T.think_or_stages(F.col("raw"))
+    ended = F.when(F.col("report").endswith("\n"), F.col("report")).otherwise(F.concat("report", F.lit("\n")))
+    files = {"prompt.txt": F.col("prompt"), "report.raw.txt": F.col("raw"), "think.txt": F.when(F.col("think") != "", F.col("think")), "report.md": ended, "report.json": F.to_json(F.struct("image_name", "report"))}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("file"), c.alias("content")) for n, c in files.items()]))
+    return df.withColumns({"report": report, "think": think}).select("stem", each.alias("f")).where("f.content IS NOT NULL").select(F.concat_ws("/", "stem", "f.file").alias("name"), "f.content")

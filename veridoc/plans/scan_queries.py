@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import coordinates, sweep
-from . import inputs as I
-from .inputs import BOX_SQL
-from .queries import query, r6
+from ..functions import text as T
+from ..operators import contracts, coordinates, relational as L, sweep
+from ..sources import documents as D, files
+from ..tables import new_folder
+from . import inputs as I, pipelines as P
+from .inputs import BOX_SQL, META_SQL, read
+from .queries import SPLIT, query, r6
+from .session_queries import _axes
 
 THRESHOLDS = (0.0, 0.05, 0.1, 0.15, 0.2)
 RULES = {"regions": sweep.RegionRule(least_area=4, opening=0), "basin": sweep.BasinRule(height=0.02, least_area=4)}
@@ -66,3 +70,132 @@ def _(spark, d):
     said = I.boxes(spark, d, "N").groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "x1", "y1", "x2", "y2"))), line), "").alias("raw"))
     out = coordinates.with_teacher_boxes(I.reports(spark, d), said)
     return out.select("doc", F.size(F.filter("replacements", lambda p: p["replaced"].isNotNull())).cast("bigint").alias("n_replaced"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+# --- files: each query writes what it then reads ---------------------------------------------------------------
+
+
+@query("a04_pred_jsonl", "SELECT CAST(page_id AS VARCHAR) AS image_name, html AS report FROM pages")
+def _(spark, d):
+    root = new_folder(spark, "predictions")
+    lines = read(spark, d, "pages").select(F.explode(F.array(F.to_json(F.struct(F.col("page_id").cast("string").alias("image_name"), F.col("html").alias("report"))), F.lit(""))).alias("value"))
+    lines.write.option("compression", "gzip").text(root)
+    return files.load_predictions(spark, root).select("image_name", "report")
+
+
+@query("a05_pred_dir", "SELECT CASE WHEN doc_id % 4 = 0 THEN concat('folder', doc_id) ELSE concat(doc_id, '.jpg') END AS image_name, md5(coalesce(text, '')) AS report_md5 FROM documents WHERE doc_id % 7 <> 0")
+def _(spark, d):
+    """A folder for each document: every seventh file is broken, every fourth doesn't name its image."""
+    root, n = new_folder(spark, "prediction-folders"), F.col("doc_id")
+    image = F.when(n % 4 != 0, F.concat(n.cast("string"), F.lit(".jpg")))
+    content = F.when(n % 7 == 0, "{broken").otherwise(F.to_json(F.struct(image.alias("image_name"), F.coalesce("text", F.lit("")).alias("report"))))
+    D.write_documents(read(spark, d, "documents").select(F.format_string("folder%d/report.json", "doc_id").alias("name"), content.alias("content")), root)
+    return files.load_prediction_folders(spark, root).select("image_name", F.md5(F.col("report").cast("binary")).alias("report_md5"))
+
+
+@query("a07_npy_scan", "SELECT printf('part%03d', vec_id // 100) AS part, CAST(vec_id AS VARCHAR) AS stem, 8 AS h, 8 AS w, round(CAST(list_max(embedding) AS DOUBLE), 6) AS top, round(CAST(embedding[12] AS DOUBLE), 6) AS inner FROM embeddings")
+def _(spark, d):
+    """Maps under the second of two names, so that the first finds nothing."""
+    root = new_folder(spark, "maps")
+    maps = I.maps(spark, d).select(F.format_string("part%03d/%d", F.expr("doc div 100"), "doc").alias("stem"), "h", "w", "data")
+    D.write_documents(files.npy_bytes(maps).select(F.concat("stem", F.lit(".dtd.prob.npy")).alias("name"), "content"), root)
+    found = D.load_documents(spark, root, "*_dtd_prob.npy", "*.dtd.prob.npy").select(F.concat_ws("/", "part", "stem").alias("stem"), "content")
+    at, v = F.split("stem", "/"), lambda c: r6(c.cast("double"))
+    return files.decoded_maps(found).select(at[0].alias("part"), at[1].alias("stem"), "h", "w", v(F.array_max("data")).alias("top"), v(F.get("data", F.lit(11))).alias("inner"))
+
+
+def _records(spark, d, suffix: str, each: str) -> str:
+    root = new_folder(spark, "records")
+    record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("stem"), F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("image_name"), F.col("n_chars").cast("int").alias("n_regions")))
+    name = F.format_string(f"part%03d/%d{suffix}", F.expr(f"doc_id div {each}"), "doc_id")
+    D.write_documents(read(spark, d, "documents").select(name.alias("name"), record.alias("content")), root)
+    return root
+
+
+@query("a09_record_scan", "SELECT CAST(doc_id AS VARCHAR) AS stem, concat(doc_id, '.jpg') AS image_name, printf('part%03d', doc_id // 250) AS part, CAST(n_chars AS INTEGER) AS n_regions FROM documents WHERE doc_id // 250 IN (0, 2) ORDER BY doc_id LIMIT 40")
+def _(spark, d):
+    """The first records of two parts, as a caller with a limit reads them; other parts aren't listed."""
+    root = _records(spark, d, "_dtd.json", "250")
+    at = [f"part{p:03d}" for p in (0, 2) if files.exists(spark, f"{root}/part{p:03d}")]
+    found = files.load_records(spark, root, files.REGIONS, "_dtd.json", at).select("stem", "image_name", "part", "n_regions")
+    return L.head(found.withColumn("k", F.col("stem").cast("bigint")), 40, "k").drop("k")
+
+
+@query("a10_cot_scan", "SELECT printf('part%03d', doc_id // 100) AS part, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total FROM documents GROUP BY 1")
+def _(spark, d):
+    found = files.load_records(spark, _records(spark, d, ".cot.json", "100"), files.REGIONS, ".cot.json")
+    return found.groupBy("part").agg(F.count("stem").alias("n"), F.sum("n_regions").alias("total"))
+
+
+@query("a14_exclude_list", "SELECT DISTINCT CAST(item_id AS VARCHAR) AS stem FROM benchmark WHERE item_id % 2 = 0")
+def _(spark, d):
+    root, n = new_folder(spark, "excluded"), F.col("item_id").cast("string")
+    line = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("a/b/"), n, F.lit(".jpg  # why"))).when(F.col("item_id") % 2 == 0, n).when(F.col("item_id") % 3 == 0, "").otherwise(F.concat(F.lit("# "), n))
+    read(spark, d, "benchmark").select(line.alias("value")).write.text(root)
+    return files.load_excluded(spark, root)
+
+
+@query("a17_partial_copy", "SELECT doc_id, CASE WHEN doc_id // 100 IN (0, 2) AND doc_id % 3 <> 2 AND doc_id % 5 <> 0 THEN 'two parts' WHEN doc_id % 5 = 0 AND doc_id % 3 = 0 THEN 'test images' END AS copy FROM documents")
+def _(spark, d):
+    """Which copies take a file: images and masks of two parts, or all images of the other split."""
+    kind = F.element_at(F.array(F.lit("image"), F.lit("mask"), F.lit("report")), (F.col("doc_id") % 3 + 1).cast("int"))
+    split = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train")
+    paths = read(spark, d, "documents").select("doc_id", F.format_string("%s/%s/part%03d/%d.bin", split, kind, F.expr("doc_id div 100"), "doc_id").alias("path"))
+    two, test = D.snapshot_patterns([0, 2], ("image", "mask")), D.snapshot_patterns(None, ("image",), "test")
+    return paths.select("doc_id", F.when(D.in_snapshot("path", two), "two parts").when(D.in_snapshot("path", test), "test images").alias("copy"))
+
+
+@query("a18_split_sink", f"WITH {SPLIT} SELECT split, sample_id FROM sp")
+def _(spark, d):
+    root = new_folder(spark, "split")
+    files.write_split(L.stratified_split(I.meta(spark, d), "sample_id", ["language_code", "type"]), root)
+    return spark.read.parquet(root).select("split", "sample_id")
+
+
+@query("a21_record_update", "SELECT doc_id, n_chars, CASE WHEN quality = 0 THEN 'old' WHEN quality = 1 THEN 'new 1' END AS augmentation FROM documents LEFT JOIN labels USING (doc_id)")
+def _(spark, d):
+    """A new version of the records: what an earlier one added stays, the rest is added where there is something to add."""
+    first, second = new_folder(spark, "records"), new_folder(spark, "records")
+    labels = read(spark, d, "labels")
+    old = labels.where("quality = 0").select("doc_id", F.lit("old").alias("augmentation"))
+    read(spark, d, "documents").select("doc_id", "n_chars").join(old, "doc_id", "left").write.json(first)
+    records = spark.read.schema("doc_id bigint, n_chars bigint, augmentation string").json(first)
+    L.updated_records(records, labels.select("doc_id", F.concat(F.lit("new "), F.col("quality").cast("string")).alias("augmentation")), "doc_id", "augmentation").write.json(second)
+    return spark.read.schema(records.schema).json(second)
+
+
+@query("a22_doc_bundle", "SELECT conv_id, turn, 5 AS n_files, concat('# FORGERY ANALYSIS REPORT', chr(10), 'body ', turn, chr(10), '**END OF REPORT**', chr(10)) AS report, concat(turn, '.jpg') AS image_name FROM conversations")
+def _(spark, d):
+    """Five files a turn, written and read back by folder."""
+    root = new_folder(spark, "bundles")
+    stem = F.format_string("c%s_t%s", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    D.write_documents(P.bundle(I.traces(spark, d).select(stem.alias("stem"), F.concat(F.col("turn").cast("string"), F.lit(".jpg")).alias("image_name"), F.col("text").alias("prompt"), "raw")), root)
+    found = D.load_documents(spark, root).withColumn("text", F.col("content").cast("string"))
+    of = lambda file: F.max(F.when(F.col("stem").endswith(file), F.col("text")))
+    docs = found.groupBy(F.regexp_extract("name", r"^c(.*)_t([0-9]+)/", 1).alias("conv_id"), F.regexp_extract("name", r"_t([0-9]+)/", 1).alias("turn"))
+    out = docs.agg(F.count(F.lit(1)).cast("int").alias("n_files"), of("report.md").alias("report"), of("report.json").alias("json"))
+    kinds = dict(read(spark, d, "conversations").dtypes)
+    return out.select(F.col("conv_id").cast(kinds["conv_id"]).alias("conv_id"), F.col("turn").cast(kinds["turn"]).alias("turn"), "n_files", "report", F.get_json_object("json", "$.image_name").alias("image_name"))
+
+
+@query("a24_judge_log", "SELECT item_id, CAST(least(100, length(text) - length(replace(text, 'e', ''))) AS DOUBLE) AS factuality FROM benchmark")
+def _(spark, d):
+    """Two runs append to one log; the judge's verdict depends on what it reads."""
+    root = new_folder(spark, "judge-log")
+    lines = F.regexp_replace(F.regexp_replace("text", "\\n", " "), "e", "\n")
+    judged = read(spark, d, "benchmark").select("item_id", T.judge_scores(contracts.judge(lines, _axes)).alias("s"))
+    for rest in (0, 1):
+        files.append_log(judged.where(F.col("item_id") % 2 == rest), root)
+    return spark.read.schema(judged.schema).json(root).select("item_id", F.col("s.factuality").cast("double").alias("factuality"))
+
+
+@query("a25_prompt_sink", "SELECT doc_id, CASE WHEN doc_id IN (SELECT item_id FROM benchmark) THEN 'old' ELSE md5(coalesce(text, '')) END AS prompt FROM documents")
+def _(spark, d):
+    """Prompts of an earlier run stay; the others are written whole."""
+    root, docs = new_folder(spark, "prompts"), read(spark, d, "documents")
+    name = F.format_string("part%03d/%d.prompt.txt", F.expr("doc_id div 100"), "doc_id").alias("name")
+    old = docs.join(read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
+    D.write_documents(old.select(name, F.lit("old").alias("content")), root)
+    D.write_documents(docs.select(name, F.coalesce("text", F.lit("")).alias("content")), root, "skip")
+    content = F.when(F.col("content") == F.lit("old").cast("binary"), "old").otherwise(F.md5("content"))
+    return D.load_documents(spark, root, "*.prompt.txt").select(F.col("stem").cast("bigint").alias("doc_id"), content.alias("prompt"))

@@ -13,20 +13,6 @@ from .inputs import BOX_SQL, META_SQL, read
 from .queries import CELLS, SPLIT, query, r6
 
 
-@query("a04_pred_jsonl", "SELECT page_id, html FROM pages WHERE html IS NOT NULL")
-def _(spark, d):
-    lines = read(spark, d, "pages").select(F.to_json(F.struct("page_id", "html")).alias("value"))
-    return lines.where(F.trim("value") != "").select(F.from_json("value", "page_id bigint, html string").alias("p")).select("p.*")
-
-
-@query("a05_pred_dir", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('folder', doc_id) ELSE concat(doc_id, '.jpg') END AS image_name FROM documents WHERE doc_id % 7 <> 0")
-def _(spark, d):
-    doc = F.when(F.col("doc_id") % 7 == 0, "{broken").when(F.col("doc_id") % 4 == 0, '{"report": "r"}').otherwise(F.concat(F.lit('{"report": "r", "image_name": "'), F.col("doc_id").cast("string"), F.lit('.jpg"}')))
-    parsed = F.from_json(doc, "image_name string, report string, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = read(spark, d, "documents").select("doc_id", parsed.alias("p")).where("p._corrupt_record IS NULL")
-    return rows.select("doc_id", F.coalesce("p.image_name", F.concat(F.lit("folder"), F.col("doc_id").cast("string"))).alias("image_name"))
-
-
 @query("a06_meta_from_dirs", "SELECT d.doc_id, CASE WHEN l.quality = 0 THEN 'black' WHEN l.quality = 1 THEN 'white' WHEN e.vec_id IS NOT NULL AND list_max(e.embedding) > 0.3 THEN 'black' ELSE 'white' END AS type FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
 def _(spark, d):
     report = read(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 0, "black").otherwise("white").alias("by_report"))
@@ -35,27 +21,11 @@ def _(spark, d):
     return out.select("doc_id", F.coalesce("by_report", F.when(F.col("any"), "black").otherwise("white")).alias("type"))
 
 
-@query("a07_npy_scan", "SELECT vec_id AS doc, 64 AS n FROM embeddings")
-def _(spark, d):
-    return I.maps(spark, d).select("doc", F.size("data").alias("n"))
-
-
 @query("a08_mask_scan", "SELECT vec_id AS doc, len(list_filter(embedding, lambda x: x > 0)) AS n_set FROM embeddings")
 def _(spark, d):
     return I.maps(spark, d).select("doc", F.size(F.filter("data", lambda x: x > 0)).cast("bigint").alias("n_set"))
 
 
-@query("a09_record_scan", "SELECT doc_id, doc_id // 250 AS part FROM documents WHERE doc_id // 250 IN (0, 2) ORDER BY doc_id LIMIT 40")
-def _(spark, d):
-    return L.head(read(spark, d, "documents").select("doc_id", F.expr("doc_id div 250").alias("part")).where(F.col("part").isin(0, 2)), 40, "doc_id")
-
-
-@query("a10_cot_scan", "SELECT printf('part%03d', doc_id // 100) AS part, count(*) AS n FROM documents GROUP BY 1")
-def _(spark, d):
-    path = F.format_string("root/part%03d/x.cot.json", F.expr("doc_id div 100"))
-    return read(spark, d, "documents").groupBy(F.regexp_extract(path, r"(part\d{3,})", 1).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("a11_img_scan", f"WITH {META_SQL} SELECT image_file FROM meta WHERE image_file LIKE '%.jpg' ORDER BY image_file LIMIT 30")
 def _(spark, d):
     return L.head(I.meta(spark, d).select("image_file").where(F.lower("image_file").rlike(r"\.(?:jpe?g|png)$") & ~F.lower("image_file").endswith(".png")), 30, "image_file")
@@ -66,51 +36,17 @@ def _(spark, d):
     return spark.createDataFrame([("one", "A {{OCR_JSON}}"), ("two", "B")], "name string, text string")
 
 
-@query("a14_exclude_list", "SELECT DISTINCT CAST(item_id AS VARCHAR) AS stem FROM benchmark WHERE item_id % 2 = 0")
-def _(spark, d):
-    line = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("a/"), F.col("item_id").cast("string"), F.lit(".jpg  # why"))).otherwise("# none")
-    bare = F.trim(F.regexp_replace(line, r"#.*$", ""))
-    return read(spark, d, "benchmark").select(F.regexp_replace(F.regexp_extract(bare, r"([^/]+)$", 1), r"\.[^.]+$", "").alias("stem")).where("stem <> ''").distinct()
-
-
 @query("a15_hub_prune", "SELECT DISTINCT concat('train/images/part', lpad(CAST(doc_id // 100 AS VARCHAR), 3, '0'), '/*') AS pattern FROM documents WHERE lang = 'de' AND doc_id // 100 IN (0, 1, 2, 3)")
 def _(spark, d):
     parts = read(spark, d, "documents").where("lang = 'de'").select(F.expr("doc_id div 100").alias("part")).distinct().where(F.col("part").isin(0, 1, 2, 3))
     return parts.select(F.concat(F.lit("train/images/part"), F.lpad(F.col("part").cast("string"), 3, "0"), F.lit("/*")).alias("pattern"))
 
 
-@query("a18_split_sink", f"WITH {SPLIT} SELECT split, count(*) AS n FROM sp GROUP BY 1")
-def _(spark, d):
-    return L.stratified_split(I.meta(spark, d), "sample_id", ["language_code", "type"]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("a21_record_update", "SELECT doc_id, CASE WHEN quality IS NOT NULL THEN 'kept' ELSE 'added' END AS augmentation FROM documents LEFT JOIN labels USING (doc_id)")
-def _(spark, d):
-    records = read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").select("doc_id", F.lit("kept").alias("old")), "doc_id", "left")
-    return records.select("doc_id", F.coalesce("old", F.lit("added")).alias("augmentation"))
-
-
-@query("a22_doc_bundle", "SELECT conv_id, turn, concat('# FORGERY ANALYSIS REPORT', chr(10), 'body ', turn, chr(10), '**END OF REPORT**') AS report, true AS has_think FROM conversations")
-def _(spark, d):
-    raw = F.col("raw")
-    return I.traces(spark, d).select("conv_id", "turn", T.clean_report(raw).alias("report"), T.think_or_stages(raw).isNotNull().alias("has_think"))
-
-
 @query("a23_eval_sink", "SELECT count(*) AS n, count(*) FILTER (quality = 0) AS n_forged FROM labels")
 def _(spark, d):
     return read(spark, d, "labels").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 0).alias("n_forged"))
 
 
-@query("a24_judge_log", "SELECT item_id, 75.0 AS factuality FROM benchmark")
-def _(spark, d):
-    return read(spark, d, "benchmark").select("item_id", T.judge_scores(contracts.judge(F.col("text")))["factuality"].alias("factuality"))
-
-
-@query("a25_prompt_sink", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")
-def _(spark, d):
-    return L.exclude(read(spark, d, "documents").select("doc_id"), read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id")
-
-
 @query("a27_npy_sink")
 def _(spark, d):
     m = I.maps(spark, d).select(F.col("doc").cast("string").alias("stem"), "h", "w", "data")

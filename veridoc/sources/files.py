@@ -52,7 +52,7 @@ def listing(spark: SparkSession, root: str, *extensions: str) -> DataFrame:
 
 
 def part_of(path: Column) -> Column:
-    return F.nullif(F.regexp_extract(path, r"(part\d{3})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(path, r"(part\d{3,})", 1), F.lit(""))
 
 
 def infer_parts(meta: DataFrame, paths: Sequence[str], id_column: str = "sample_id", per_part: int = 1000) -> DataFrame:
@@ -92,16 +92,21 @@ def load_records(spark: SparkSession, root: str, schema: str = DETECTION, suffix
     return df.withColumn("path", F.input_file_name()).withColumn("part", part_of(F.col("path")))
 
 
-def load_maps(spark: SparkSession, root: str) -> DataFrame:
-    """stem, h, w, data of .npy maps."""
+def decoded_maps(files: DataFrame) -> DataFrame:
+    """stem, h, w, data of .npy files (stem, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             arrays = [np.squeeze(np.load(io.BytesIO(c), allow_pickle=False)).astype(np.float32) for c in f["content"]]
             yield pd.DataFrame({"stem": f["stem"], "h": [a.shape[0] for a in arrays], "w": [a.shape[1] for a in arrays], "data": [a.ravel().tolist() for a in arrays]})
 
+    return files.select("stem", "content").mapInPandas(run, "stem string, h int, w int, data array<float>")
+
+
+def load_maps(spark: SparkSession, root: str) -> DataFrame:
+    """stem, h, w, data of .npy maps."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npy").load(root)
-    return raw.select(F.regexp_replace(F.regexp_extract("path", r"([^/]+)\.npy$", 1), "_prob$|_heatmap$", "").alias("stem"), "content").mapInPandas(run, "stem string, h int, w int, data array<float>")
+    return decoded_maps(raw.select(F.regexp_replace(F.regexp_extract("path", r"([^/]+)\.npy$", 1), "_prob$|_heatmap$", "").alias("stem"), "content"))
 
 
 def npy_bytes(maps: DataFrame) -> DataFrame:
