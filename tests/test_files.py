@@ -86,3 +86,27 @@ def test_each_id_once(spark, tmp_path):
         q = incremental.once_per_id(incremental.new_files(spark, src, "id int"), lambda b: b, out, "id", check)
         q.awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_metadata_from_folders(spark, tmp_path):
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "image_file string")
+    masks = spark.createDataFrame([("a", 2, 2, [0, 1, 0, 0]), ("b_mask", 2, 2, [0, 0, 0, 0]), ("c", 1, 1, [0]), ("c_mask", 1, 1, [1]), ("d_mask", 1, 3, [0, 0, 7])], "stem string, h int, w int, data array<int>")
+    for kind in ("masks", "images", "reports"):
+        (tmp_path / kind).mkdir()
+    for r in files.png_bytes(masks).collect():
+        (tmp_path / "masks" / f"{r.stem}.png").write_bytes(r.content)
+    read = {r.stem: (r.h, r.w, r.data) for r in files.load_masks(spark, str(tmp_path / "masks")).where("h > 1 OR w > 1").collect()}
+    assert read == {"a": (2, 2, [0, 1, 0, 0]), "b": (2, 2, [0, 0, 0, 0]), "d": (1, 3, [0, 0, 1])}
+    for n in ("a.png", "a.jpg", "b.PNG", "e.webp"):
+        (tmp_path / "images" / n).write_text("x")
+    for n, v in (("d", "AUTHENTIC"), ("e", "FORGED")):
+        (tmp_path / "reports" / f"{n}_report.md").write_text(f"# FORGERY ANALYSIS REPORT\n\n**[Conclusion]:** {v}\n")
+    out = files.metadata_from_folders(spark, names("a.tif", "b.jpg", "c.jpg", "d.jpg", "e.jpg", "f.jpg"), *[str(tmp_path / k) for k in ("reports", "masks", "images")])
+    got = {r.sample_id: (r.type, r.image_path and r.image_path.rsplit("/", 1)[1], r.mask_path and r.mask_path.rsplit("/", 1)[1]) for r in out.collect()}
+    assert got == {"a": ("BLACK", "a.jpg", "a.png"), "b": ("PRISTINE", "b.PNG", "b_mask.png"), "c": ("PRISTINE", None, "c.png"), "d": ("PRISTINE", None, "d_mask.png"), "e": ("BLACK", "e.webp", None), "f": ("PRISTINE", None, None)}
+
+
+def test_updated_records(spark):
+    old = spark.createDataFrame([(1, "x"), (2, None), (3, None), (None, None)], "id int, augmentation string")
+    new = spark.createDataFrame([(1, "y"), (2, "z")], "id int, augmentation string")
+    assert {(r.id, r.augmentation) for r in L.updated_records(old, new, "id", "augmentation").collect()} == {(1, "x"), (2, "z"), (3, None), (None, None)}

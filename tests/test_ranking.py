@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from veridoc.operators import metrics, ranking, relational
@@ -47,3 +48,18 @@ def test_random_split_sizes(spark):
     first = sorted(df.select(relational.hash_order("key", 42)[0].alias("h"), "key").collect())[:20]
     assert {r.key for r in got.where("split = 'eval'").collect()} == {r.key for r in first}
     assert relational.random_split(df.limit(3), "key").where("split = 'eval'").count() == 1
+
+
+def test_items_are_what_a_list_gives(spark):
+    values = [f"v{i}" for i in range(23)]
+    df = spark.createDataFrame([(i, f"s{i}", v) for i, v in enumerate(values)], "i int, sample_id string, v string").repartition(3)
+    get = lambda key: [r.v for r in ranking.items(df, ["i"], key).orderBy("place").collect()]
+    for key in (slice(None), slice(5, -3, 7), slice(None, None, -4), slice(30, 2, -5), slice(-100, 100), slice(9, 3), slice(-4, None)):
+        assert get(key) == values[key]
+    assert get(0) == values[:1] and get(-1) == values[-1:] and get([3, -2, 3]) == [values[3], values[-2], values[3]] and get([]) == []
+    assert get("s7") == ["v7"]
+    for key in (23, -24, [0, 99], "s99"):
+        with pytest.raises(Exception, match="no row"):
+            get(key)
+    with pytest.raises(ValueError):
+        ranking.items(df, ["i"], slice(0, 5, 0))

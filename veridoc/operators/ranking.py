@@ -50,6 +50,36 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
 
 
+def items(df: DataFrame, order: list[str], key: int | str | slice | list[int], name: str = "sample_id") -> DataFrame:
+    """The rows that key asks for, with `place` (their order in the answer): an id, a position, a slice or a list of positions.
+
+    Positions count rows in `order`; negative ones count from the end, and a list may repeat them.  An id or a position that isn't
+    there is an error when the rows are computed; a slice takes what there is, as Python's slices do.
+    """
+    spark = df.sparkSession
+    if isinstance(key, slice):
+        ranked = exact_rank(df, order, rank="_rank", size="_size")
+        step, n = 1 if key.step is None else key.step, F.col("_size")
+        if not step:
+            raise ValueError("slice step cannot be zero")
+        low, high = (F.lit(0), n) if step > 0 else (F.lit(-1), n - 1)
+        bound = lambda v, default: default if v is None else F.greatest(n + v, low) if v < 0 else F.least(F.lit(v), high)
+        start, stop = (bound(key.start, low), bound(key.stop, high)) if step > 0 else (bound(key.start, high), bound(key.stop, low))
+        ahead = (F.col("_rank") - start) * (1 if step > 0 else -1)
+        inside = (ahead >= 0) & (F.col("_rank") < stop if step > 0 else F.col("_rank") > stop) & (ahead % abs(step) == 0)
+        return ranked.where(inside).select(*df.columns, F.floor(ahead / abs(step)).cast("bigint").alias("place"))
+    if isinstance(key, str):
+        asked, rows = spark.createDataFrame([(0, key)], "place bigint, _asked string"), df.groupBy(F.col(name).alias("_asked")).agg(F.min(F.struct(*order, *[c for c in df.columns if c not in order])).alias("_row"))
+    else:
+        wanted = list(key) if not isinstance(key, int) else [key]
+        asked = spark.createDataFrame([(i, int(k)) for i, k in enumerate(wanted)], "place bigint, _asked bigint")
+        ranked = exact_rank(df, order, rank="_rank", size="_size")
+        places = F.array("_rank", F.col("_rank") - F.col("_size")) if any(k < 0 for k in wanted) else F.array("_rank")
+        rows = ranked.select(F.explode(places).alias("_asked"), F.struct(*df.columns).alias("_row"))
+    row = F.coalesce("_row", F.raise_error(F.concat(F.lit("no row "), F.col("_asked").cast("string"))).cast(dict(rows.dtypes)["_row"]))
+    return asked.join(rows, "_asked", "left").select("place", row.alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in df.columns], "place")
+
+
 def shards(df: DataFrame, n: int, by: list[str], *order: str) -> DataFrame:
     """Contiguous shards 0..n-1 whose sizes differ by one at most, the first ones larger; a group may hold all rows."""
     ranked = exact_rank(df, list(order), by, rank="_rank", size="_size")

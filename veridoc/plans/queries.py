@@ -107,11 +107,6 @@ def _(spark, d):
     return I.meta(spark, d).where(F.col("type").isNotNull()).select("sample_id")
 
 
-@query("b03_getitem", f"WITH {META_SQL} SELECT sample_id, language_code FROM meta WHERE sample_id = '17'")
-def _(spark, d):
-    return I.meta(spark, d).where("sample_id = '17'").limit(1).select("sample_id", "language_code")
-
-
 @query("b04_sample", f"WITH {META_SQL} SELECT sample_id FROM meta ORDER BY {MD5.format('sample_id', 'sample_id')} LIMIT 25")
 def _(spark, d):
     return L.sample(I.meta(spark, d), 25, "sample_id").select("sample_id")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
-from ..operators import contracts, coordinates, relational as L, sweep
+from ..operators import contracts, coordinates, ranking as K, relational as L, sweep
 from ..sources import documents as D, files
+from ..streaming import incremental, resume
 from ..tables import new_folder
 from . import inputs as I, pipelines as P
 from .inputs import BOX_SQL, META_SQL, read
@@ -199,3 +200,55 @@ def _(spark, d):
     D.write_documents(docs.select(name, F.coalesce("text", F.lit("")).alias("content")), root, "skip")
     content = F.when(F.col("content") == F.lit("old").cast("binary"), "old").otherwise(F.md5("content"))
     return D.load_documents(spark, root, "*.prompt.txt").select(F.col("stem").cast("bigint").alias("doc_id"), content.alias("prompt"))
+
+
+def _mask_files(spark, d, root):
+    masks = I.maps(spark, d).select(F.when(F.col("doc") % 2 == 0, F.col("doc").cast("string")).otherwise(F.concat(F.col("doc").cast("string"), F.lit("_mask"))).alias("stem"), "h", "w", F.transform("data", lambda v: (v > F.lit(0.2).cast("double")).cast("int")).alias("data"))
+    D.write_documents(files.png_bytes(masks).select(F.concat("stem", F.lit(".png")).alias("name"), "content"), root)
+
+
+@query("a06_meta_from_dirs", "SELECT CAST(d.doc_id AS VARCHAR) AS sample_id, e.vec_id IS NOT NULL AS has_mask, CASE WHEN l.quality = 0 THEN 'BLACK' WHEN l.quality = 1 THEN 'PRISTINE' WHEN e.vec_id IS NOT NULL AND list_max(e.embedding) > CAST(0.2 AS DOUBLE) THEN 'BLACK' ELSE 'PRISTINE' END AS type, CASE WHEN d.doc_id % 4 = 0 THEN NULL WHEN d.doc_id % 3 = 0 THEN concat(d.doc_id, '.jpg') ELSE concat(d.doc_id, '.png') END AS image FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
+def _(spark, d):
+    """Reports, masks (half of them named with _mask) and images as files; every fourth image is absent, some are there twice."""
+    root, n = new_folder(spark, "folders"), F.col("doc_id").cast("string")
+    docs = read(spark, d, "documents").select("doc_id")
+    _mask_files(spark, d, f"{root}/masks")
+    images = docs.where("doc_id % 4 <> 0").select(F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(".png"), F.lit(".jpg"))).otherwise(F.array(F.lit(".png")))).alias("kind"), n.alias("n"))
+    D.write_documents(images.select(F.concat("n", "kind").alias("name"), F.lit("pixels").alias("content")), f"{root}/images")
+    verdict = F.when(F.col("quality") == 0, "FORGED").otherwise("AUTHENTIC")
+    D.write_documents(read(spark, d, "labels").where("quality IS NOT NULL").select(F.concat(n, F.lit("_report.md")).alias("name"), F.concat(F.lit("# FORGERY ANALYSIS REPORT\n\n**[Conclusion]:** "), verdict, F.lit("\n")).alias("content")), f"{root}/reports")
+    out = files.metadata_from_folders(spark, docs.select(F.concat(n, F.lit(".jpeg")).alias("image_file")), f"{root}/reports", f"{root}/masks", f"{root}/images")
+    return out.select("sample_id", F.col("mask_path").isNotNull().alias("has_mask"), "type", F.nullif(F.regexp_extract("image_path", "([^/]+)$", 1), F.lit("")).alias("image"))
+
+
+@query("a08_mask_scan", "SELECT CAST(vec_id AS VARCHAR) AS stem, 8 AS h, 8 AS w, len(list_filter(embedding, lambda x: x > CAST(0.2 AS DOUBLE))) AS n_set FROM embeddings")
+def _(spark, d):
+    root = new_folder(spark, "masks")
+    _mask_files(spark, d, root)
+    return files.load_masks(spark, root).select("stem", "h", "w", F.size(F.filter("data", lambda v: v > 0)).cast("bigint").alias("n_set"))
+
+
+@query("b03_getitem", f"WITH {META_SQL}, r AS (SELECT sample_id, language_code, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM meta) SELECT 'id' AS kind, 0 AS place, sample_id, language_code FROM r WHERE sample_id = '17' UNION ALL SELECT 'last', 0, sample_id, language_code FROM r WHERE k = n - 1 UNION ALL SELECT 'slice', (k - 5) // 7, sample_id, language_code FROM r WHERE k >= 5 AND k < n - 3 AND (k - 5) % 7 = 0 UNION ALL SELECT 'back', (n - 1 - k) // 50, sample_id, language_code FROM r WHERE (n - 1 - k) % 50 = 0 UNION ALL SELECT 'list', p, sample_id, language_code FROM r JOIN (SELECT unnest([0, 1, 2]) AS p, unnest([3, -2, 3]) AS q) ON k = CASE WHEN q < 0 THEN n + q ELSE q END")
+def _(spark, d):
+    m = I.meta(spark, d).select("doc_id", "sample_id", "language_code")
+    asked = {"id": "17", "last": -1, "slice": slice(5, -3, 7), "back": slice(None, None, -50), "list": [3, -2, 3]}
+    out = None
+    for kind, key in asked.items():
+        got = K.items(m, ["doc_id"], key).select(F.lit(kind).alias("kind"), F.col("place").cast("bigint").alias("place"), "sample_id", "language_code")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("resumed_scores", "WITH t AS (SELECT quality = 0 AS truth, coalesce(toxic = 1, false) AS predicted, doc_id FROM documents LEFT JOIN labels USING (doc_id)), c AS (SELECT count(*) AS n, count(*) FILTER (truth IS NULL) AS n_without_truth, count(*) FILTER (truth) AS n_true, count(*) FILTER (predicted) AS n_predicted, count(*) FILTER (truth AND predicted) AS tp, count(*) FILTER (NOT truth AND predicted) AS fp, count(*) FILTER (truth AND NOT predicted) AS fn, count(*) AS n_grounded, avg(doc_id % 101 / 100.0) AS m FROM t) SELECT n, n_without_truth, n_true, n_predicted, tp, fp, fn, n_grounded, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS detection_f1, round(m, 6) AS mean_iou FROM c")
+def _(spark, d):
+    """Results arrive in two lots that overlap; the second run goes on from the state of the first."""
+    src, out, check = (new_folder(spark, f"resume-{k}") for k in ("results", "sums", "state"))
+    share = (F.col("doc_id") % 101) / 100.0
+    docs = read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels"), "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("string").alias("sample_id"), (F.col("quality") == 0).alias("truth"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("predicted"), share.alias("iou"), share.alias("f1"), "doc_id")
+    for lot in (rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 3 <> 1")):
+        lot.drop("doc_id").write.mode("append").json(src)
+        resume.running_scores(incremental.new_files(spark, src, resume.RESULT), out, check).awaitTermination()
+    resume.finished(spark, check)
+    names = ("n", "n_without_truth", "n_true", "n_predicted", "tp", "fp", "fn", "n_grounded")
+    return resume.totals(spark, out).select(*names, r6("detection_f1").alias("detection_f1"), r6("mean_iou").alias("mean_iou"))

@@ -13,19 +13,6 @@ from .inputs import BOX_SQL, META_SQL, read
 from .queries import CELLS, SPLIT, query, r6
 
 
-@query("a06_meta_from_dirs", "SELECT d.doc_id, CASE WHEN l.quality = 0 THEN 'black' WHEN l.quality = 1 THEN 'white' WHEN e.vec_id IS NOT NULL AND list_max(e.embedding) > 0.3 THEN 'black' ELSE 'white' END AS type FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
-def _(spark, d):
-    report = read(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 0, "black").otherwise("white").alias("by_report"))
-    mask = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.exists("embedding", lambda x: x > F.lit(0.3).cast("double")).alias("any"))
-    out = read(spark, d, "documents").select("doc_id").join(report, "doc_id", "left").join(mask, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("by_report", F.when(F.col("any"), "black").otherwise("white")).alias("type"))
-
-
-@query("a08_mask_scan", "SELECT vec_id AS doc, len(list_filter(embedding, lambda x: x > 0)) AS n_set FROM embeddings")
-def _(spark, d):
-    return I.maps(spark, d).select("doc", F.size(F.filter("data", lambda x: x > 0)).cast("bigint").alias("n_set"))
-
-
 @query("a11_img_scan", f"WITH {META_SQL} SELECT image_file FROM meta WHERE image_file LIKE '%.jpg' ORDER BY image_file LIMIT 30")
 def _(spark, d):
     return L.head(I.meta(spark, d).select("image_file").where(F.lower("image_file").rlike(r"\.(?:jpe?g|png)$") & ~F.lower("image_file").endswith(".png")), 30, "image_file")

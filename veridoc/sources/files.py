@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import io
+import struct
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import report as R
+
 #: Columns that document metadata has.
 EXPECTED = ("sample_id", "language", "language_code", "type", "image_file", "mask_file", "has_mask", "report_file", "report_text")
 #: Schemas of the JSON records.
@@ -43,7 +47,7 @@ def missing_columns(df: DataFrame, expected: Sequence[str] = EXPECTED) -> list[s
 
 
 def listing(spark: SparkSession, root: str, *extensions: str) -> DataFrame:
-    """path, name, stem, part of files below root; contents aren't read."""
+    """path, name, stem, part of files below root that aren't empty; contents aren't read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     if extensions:
         df = df.where(F.lower("path").rlike(r"\.(?:" + "|".join(extensions) + r")$"))
@@ -123,8 +127,53 @@ def npy_bytes(maps: DataFrame) -> DataFrame:
     return maps.mapInPandas(run, "stem string, content binary")
 
 
-def load_masks(spark: SparkSession, root: str) -> DataFrame:
-    """stem, h, w, data (0 or 1) of images; colours count by their luma."""
+def png_bytes(masks: DataFrame) -> DataFrame:
+    """stem, content: masks (stem, h, w, data; anything but 0 is white) as grey PNG files."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for h, w, d in zip(f["h"], f["w"], f["data"], strict=True):
+                grey = np.where(np.asarray(d).reshape(h, w) != 0, 255, 0).astype(np.uint8)
+                rows = np.pad(grey, ((0, 0), (1, 0))).tobytes()
+                out.append(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+            yield pd.DataFrame({"stem": f["stem"], "content": out})
+
+    return masks.select("stem", "h", "w", "data").mapInPandas(run, "stem string, content binary")
+
+
+def metadata_from_folders(spark: SparkSession, names: DataFrame, reports: str, masks: str, images: str) -> DataFrame:
+    """sample_id, image_file, image_path, mask_path, report_text, type for image names (image_file), found by their stems.
+
+    A report's conclusion gives the type; without one a mask with any white pixel does, otherwise it is PRISTINE.  A mask is named
+    as the stem, or else with _mask behind it; of several kinds of files the first of the fixed order counts.
+    """
+    kinds = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
+
+    def first(folder: str, allowed: tuple[str, ...], suffix: str | None = None) -> DataFrame:
+        found = listing(spark, folder, *allowed)
+        kind = F.array_position(F.array(*[F.lit(k) for k in allowed]), F.lower(F.regexp_extract("name", r"([^.]+)$", 1)))
+        plain = F.struct(F.col("stem"), F.lit(0).alias("late"))
+        both = F.array(plain, F.struct(F.regexp_replace("stem", f"{suffix}$", "").alias("stem"), F.lit(1).alias("late"))) if suffix else F.array(plain)
+        keys = found.select("path", kind.alias("kind"), F.explode(both).alias("k"))
+        return keys.groupBy(F.col("k.stem").alias("sample_id")).agg(F.min_by("path", F.struct("k.late", "kind", "path")).alias("path"))
+
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_report.md").text(reports, wholetext=True)
+    said = text.select(F.regexp_extract(F.input_file_name(), r"([^/]+)_report\.md$", 1).alias("sample_id"), F.col("value").alias("report_text")).groupBy("sample_id").agg(F.min("report_text").alias("report_text"))
+    white = load_masks(spark, masks, keep_path=True).select(F.col("path").alias("mask_path"), F.exists("data", lambda v: v > 0).alias("white"))
+    rows = names.select(F.regexp_replace("image_file", r"\.[^.]+$", "").alias("sample_id"), "image_file")
+    rows = rows.join(first(images, kinds).withColumnRenamed("path", "image_path"), "sample_id", "left").join(first(masks, ("png", "jpg", "jpeg"), "_mask").withColumnRenamed("path", "mask_path"), "sample_id", "left")
+    rows = rows.join(said, "sample_id", "left").join(white, "mask_path", "left").withColumn("report_text", F.coalesce("report_text", F.lit("")))
+    conclusion = F.upper(R.parse_report(F.col("report_text"))["conclusion"])
+    forged = F.when((F.col("report_text") != "") & (F.coalesce(conclusion, F.lit("")) != ""), conclusion == "FORGED").otherwise(F.coalesce("white", F.lit(False)))
+    return rows.select("sample_id", "image_file", "image_path", "mask_path", "report_text", F.when(forged, "BLACK").otherwise("PRISTINE").alias("type"))
+
+
+def load_masks(spark: SparkSession, root: str, keep_path: bool = False) -> DataFrame:
+    """stem, h, w, data (0 or 1) of images, their path if asked for; colours count by their luma."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -133,10 +182,10 @@ def load_masks(spark: SparkSession, root: str) -> DataFrame:
                 a = np.frombuffer(data, np.uint8).reshape(h, w, n)
                 grey = a[..., 0] if n == 1 else (a[..., 0] * 0.114 + a[..., 1] * 0.587 + a[..., 2] * 0.299).astype(np.uint8)
                 out.append((grey > 0).astype(int).ravel().tolist())
-            yield pd.DataFrame({"stem": f["stem"], "h": f["height"], "w": f["width"], "data": out})
+            yield pd.DataFrame({"stem": f["stem"], "path": f["origin"], "h": f["height"], "w": f["width"], "data": out})
 
     df = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root).select("image.*")
-    return df.select(F.regexp_replace(F.regexp_extract("origin", r"([^/]+)$", 1), r"(?:_mask)?\.[^.]+$", "").alias("stem"), "height", "width", "nChannels", "data").mapInPandas(run, "stem string, h int, w int, data array<int>")
+    return df.select(F.regexp_replace(F.regexp_extract("origin", r"([^/]+)$", 1), r"(?:_mask)?\.[^.]+$", "").alias("stem"), F.regexp_replace("origin", "^file:/+", "file:/").alias("origin"), "height", "width", "nChannels", "data").mapInPandas(run, "stem string, path string, h int, w int, data array<int>").select("stem", *(["path"] if keep_path else []), "h", "w", "data")
 
 
 def load_template(spark: SparkSession, path: str) -> DataFrame:
