@@ -4,13 +4,19 @@ In place of a model's vectors a word is its set of letter trigrams (with its bor
 coefficient of these sets, 0 below `least`.  A candidate's precision is the mean over its words of the best similarity to a reference
 word of the same chunk; recall is the same from the reference; repeated words count as often as they stand there.
 
-No word meets all others: equal words are matched by the aggregation that counts them, the rest through an inverted index of
-trigrams.  Of a word only as many of its first trigrams (in order) are indexed as it could lack and still reach `least`,
-and sizes bound what a pair could reach; only pairs left are compared.  What is shuffled grows with the words, and a group is a chunk.
+A pair of texts stands in one row, so nothing is shuffled: Spark cuts the words, a helper matches them chunk by chunk in Arrow batches.
+No word meets all others: equal words match at once, the rest through an index of trigrams.  Of a word only as many of its
+first trigrams (in order) are indexed as it could lack and still reach `least`; only words that share one of those are compared.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+from collections.abc import Iterable
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import budget
@@ -22,56 +28,61 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def trigrams(word: Column) -> Column:
-    """Distinct trigrams of a word between marks, in order."""
-    marked = F.concat(F.lit("^"), word, F.lit("$"))
-    return F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(marked, i, F.lit(3)))))
+@lru_cache(100_000)
+def trigrams(word: str) -> frozenset[str]:
+    """Distinct trigrams of a word between marks."""
+    marked = f"^{word}$"
+    return frozenset(marked[i : i + 3] for i in range(len(word)))
+
+
+@lru_cache(100_000)
+def leading(word: str, least: float) -> tuple[str, ...]:
+    """Trigrams of which words that reach `least` share one: it takes so many shared ones at least, whatever the other word's size."""
+    grams = sorted(trigrams(word))
+    shared = max(1, math.ceil(least / (2 - least) * len(grams) - 1e-9))
+    return tuple(grams[: len(grams) - shared + 1])
 
 
-def _mean(total: Column, of: Column) -> Column:
-    return F.coalesce(F.try_divide(total, of), F.lit(0.0))
+def _matched(words: Iterable[str], others: Iterable[str], least: float) -> dict[str, float]:
+    """The best similarity of each word to any other one; 1 for equal words."""
+    index = defaultdict(list)
+    for o in others:
+        for g in leading(o, least):
+            index[g].append(o)
+    out = {}
+    for w in words:
+        mine = trigrams(w)
+        near = {w} if w in others else {o for g in leading(w, least) for o in index.get(g, ())}
+        alike = max((2.0 * len(mine & trigrams(o)) / (len(mine) + len(trigrams(o))) for o in near), default=0.0)
+        out[w] = alike if alike >= least - 1e-9 else 0.0
+    return out
+
+
+def _scored(reference: str, candidate: str, least: float) -> tuple[float, float, float]:
+    """Precision, recall and F of two chunks, given as words between blanks."""
+    r, c = Counter(reference.split()), Counter(candidate.split())
+    if not r or not c:
+        return 0.0, 0.0, 0.0
+    mean = lambda n, best: sum(k * best[w] for w, k in n.items()) / n.total()
+    precision, recall = mean(c, _matched(c, r, least)), mean(r, _matched(r, c, least))
+    return precision, recall, 2 * precision * recall / (precision + recall) if precision + recall else 0.0
 
 
 def chunk_similarity(pairs: DataFrame, by: list[str], reference: str, candidate: str, least: float = 0.5) -> DataFrame:
     """by, n_chunks, precision, recall, f1 of arrays of chunks, aligned by position; the shorter side is padded with empty chunks,
     which match nothing.  by: columns that tell the pairs apart.  Nulls count as no chunks."""
-    none = F.array().cast("array<string>")
-    sides = pairs.select(*by, F.coalesce(reference, none).alias("_ref"), F.coalesce(candidate, none).alias("_cand"))
-    n = F.greatest(F.size("_ref"), F.size("_cand"))
-    each = [*by, "_chunk"]
-
-    def side(column: str, is_reference: bool) -> DataFrame:
-        chunks = sides.select(*by, F.posexplode(column).alias("_chunk", "_text"))
-        counts = (F.lit(1), F.lit(0)) if is_reference else (F.lit(0), F.lit(1))
-        return chunks.select(*each, F.explode(words(F.col("_text"))).alias("_word"), counts[0].alias("_r"), counts[1].alias("_c"))
-
-    counted = side("_ref", True).unionByName(side("_cand", False)).groupBy(*each, "_word").agg(F.sum("_r").alias("_r"), F.sum("_c").alias("_c"))
-    grams = counted.withColumn("_grams", trigrams(F.col("_word"))).withColumn("_size", F.size("_grams"))
-    # Reaching `least` takes so many shared trigrams at least, whatever the other word's size.
-    shared = F.ceil(F.lit(least / (2 - least)) * F.col("_size") - 1e-9).cast("int")
-    first = F.slice("_grams", F.lit(1), F.col("_size") - F.greatest(shared, F.lit(1)) + 1)
-    indexed = grams.withColumn("_gram", F.explode(first))
-    keep = [*each, "_gram"]
-    a = indexed.where("_r > 0").select(*keep, F.col("_word").alias("_a"), F.col("_grams").alias("_ga"), F.col("_c").alias("_ac"))
-    b = indexed.where("_c > 0").select(*keep, F.col("_word").alias("_b"), F.col("_grams").alias("_gb"), F.col("_r").alias("_br"))
-    na, nb = F.size("_ga"), F.size("_gb")
-    near = (F.col("_a") != F.col("_b")) & ((F.col("_ac") == 0) | (F.col("_br") == 0)) & (2 * F.least(na, nb) + 1e-9 >= least * (na + nb))
-    met = a.join(b, keep).where(near).dropDuplicates([*each, "_a", "_b"])
-    alike = 2.0 * F.size(F.array_intersect("_ga", "_gb")) / (na + nb)
-    met = met.withColumn("_s", alike).where(F.col("_s") >= least - 1e-9)
-    best = met.select(*each, F.explode(F.array(F.struct(F.col("_a").alias("w"), F.lit(True).alias("r")), F.struct(F.col("_b").alias("w"), F.lit(False).alias("r")))).alias("x"), "_s")
-    best = best.groupBy(*each, F.col("x.w").alias("_word")).agg(F.max(F.when(F.col("x.r"), F.col("_s"))).alias("_as_r"), F.max(F.when(~F.col("x.r"), F.col("_s"))).alias("_as_c"))
-    scored = counted.join(best, [*each, "_word"], "left")
-    both = (F.col("_r") > 0) & (F.col("_c") > 0)
-    hit = lambda c: F.when(both, 1.0).otherwise(F.coalesce(c, F.lit(0.0)))
-    by_chunk = scored.groupBy(*each).agg(
-        F.sum(F.col("_r") * hit(F.col("_as_r"))).alias("_rs"), F.sum("_r").alias("_rn"), F.sum(F.col("_c") * hit(F.col("_as_c"))).alias("_cs"), F.sum("_c").alias("_cn")
-    )
-    p, r = _mean(F.col("_cs"), F.col("_cn")), _mean(F.col("_rs"), F.col("_rn"))
-    by_chunk = by_chunk.withColumns({"_p": p, "_q": r}).withColumn("_f", _mean(2 * F.col("_p") * F.col("_q"), F.col("_p") + F.col("_q")))
-    sums = by_chunk.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("_p", "_q", "_f")])
-    out = sides.select(*by, n.alias("n_chunks")).join(sums, by, "left")
-    return out.select(*by, "n_chunks", *[_mean(F.col(c), F.col("n_chunks")).alias(name) for c, name in (("_p", "precision"), ("_q", "recall"), ("_f", "f1"))])
+
+    @F.pandas_udf("struct<precision:double,recall:double,f1:double>")
+    def score(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b in zip(left, right, strict=True):
+            each = [_scored(x, y, least) for x, y in zip(a, b)]  # noqa: B905
+            rows.append([sum(s) / max(len(a), len(b)) for s in zip(*each, strict=True)] if each else [0.0] * 3)
+        return pd.DataFrame(rows, columns=["precision", "recall", "f1"])
+
+    cut = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.array_join(words(t), " "))
+    sides = pairs.select(*by, cut(F.col(reference)).alias("_ref"), cut(F.col(candidate)).alias("_cand"))
+    return sides.select(*by, F.greatest(F.size("_ref"), F.size("_cand")).alias("n_chunks"), score("_ref", "_cand").alias("_s")).select(*by, "n_chunks", "_s.*")
 
 
 def text_similarity(pairs: DataFrame, by: list[str], reference: str, candidate: str, *, most: int = 1000, least: float = 0.5) -> DataFrame:
