@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .ranking import exact_rank
 
@@ -111,17 +115,64 @@ def over_cutoff(df: DataFrame, value: str, cutoff: int, n: int, key: str) -> Dat
     return df.where(F.col(value) > cutoff).orderBy(F.desc(value), key).limit(n).join(F.broadcast(share))
 
 
-def greedy_similarity(pairs: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
+def _numbers(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors by dimension; vectors that are null or have null elements are left out."""
+    flat = vectors.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(flat), 0).to_numpy(zero_copy_only=False)
+    whole = np.ones(len(flat), bool)
+    whole[pc.list_parent_indices(flat).to_numpy()[pc.list_flatten(flat).is_null().to_numpy(zero_copy_only=False)]] = False
+    whole &= flat.is_valid().to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(size[whole]):
+        at = np.flatnonzero(whole & (size == n))
+        v = pc.list_flatten(flat.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(float).reshape(len(at), n)
+        norm = np.sqrt((v * v).sum(1))[:, None]
+        out[int(n)] = at, np.divide(v, norm, out=np.zeros_like(v), where=norm != 0)
+    return out
+
+
+def best_cosines(left: pa.ChunkedArray, right: pa.ChunkedArray, tile: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's best cosine on the other side, by tiles of one matrix product; pairs without a cosine have 0."""
+    a, b = _numbers(left), _numbers(right)
+    of_a, of_b = np.full(len(left), -np.inf), np.full(len(right), -np.inf)
+    met_a, met_b = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    for n in a.keys() & b.keys():
+        (i, x), (j, y) = a[n], b[n]
+        met_a[i], met_b[j] = len(j), len(i)
+        for k in range(0, len(i), tile):
+            for m in range(0, len(j), tile):
+                c = x[k : k + tile] @ y[m : m + tile].T
+                of_a[i[k : k + tile]] = np.maximum(of_a[i[k : k + tile]], c.max(1))
+                of_b[j[m : m + tile]] = np.maximum(of_b[j[m : m + tile]], c.max(0))
+    return np.where(met_a < len(right), np.maximum(of_a, 0), of_a), np.where(met_b < len(left), np.maximum(of_b, 0), of_b)
+
+
+def greedy_similarity(pairs: DataFrame, by: list[str], left: str, right: str, per_block: int = 2_000_000) -> DataFrame:
     """Precision, recall and F of two groups of vectors by each vector's best cosine on the other side.
 
-    pairs: by, side ("left" or "right"), id, vector.  Vectors meet inside their group only.
+    pairs: by, side ("left" or "right"), id, vector.  Vectors meet inside their group only: each side is cut into blocks of about
+    `per_block` numbers, and a task multiplies two blocks, so memory is bounded and a large group spreads over tasks.
     """
-    unit = pairs.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))
-    a = unit.where(F.col("side") == left).select(*by, F.col("id").alias("a"), F.col("vector").alias("va"), F.col("norm").alias("na"))
-    b = unit.where(F.col("side") == right).select(*by, F.col("id").alias("b"), F.col("vector").alias("vb"), F.col("norm").alias("nb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    met = a.join(b, by).withColumn("cosine", F.coalesce(F.try_divide(dot, F.col("na") * F.col("nb")), F.lit(0.0)))
-    recall = met.groupBy(*by, "a").agg(F.max("cosine").alias("c")).groupBy(*by).agg(F.avg("c").alias("recall"))
-    precision = met.groupBy(*by, "b").agg(F.max("cosine").alias("c")).groupBy(*by).agg(F.avg("c").alias("precision"))
-    both = precision.join(recall, by)
+    rows = pairs.where(F.col("side").isin(left, right)).select(*by, (F.col("side") == left).alias("_left"), "id", "vector").na.drop(subset=by)
+    blocks = lambda own: F.ceil(F.sum(F.when(own, F.greatest(F.size("vector"), F.lit(1)))) / per_block).cast("int")
+    n = rows.groupBy(*by).agg(blocks(F.col("_left")).alias("_na"), blocks(~F.col("_left")).alias("_nb"))
+    placed = rows.join(n, by).where("_na > 0 AND _nb > 0")
+    own = lambda c: F.pmod(F.xxhash64("id", "vector"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = placed.where("_left").select(*by, own("_na").alias("_a"), every("_nb").alias("_b"), "id", "vector")
+    b = placed.where("NOT _left").select(*by, every("_na").alias("_a"), own("_nb").alias("_b"), "id", "vector")
+    b = b.toDF(*b.columns)  # columns of its own: both sides come from one table
+    key = [*by, "_a", "_b"]
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:  # a block that hashing left empty
+            return nothing
+        of_x, of_y = best_cosines(x["vector"], y["vector"])
+        made = [t.select([*by, "id"]).append_column("_left", pa.array(np.full(len(c), one))).append_column("c", pa.array(c)) for t, c, one in ((x, of_x, True), (y, of_y, False))]
+        return pa.concat_tables(made).select([*by, "_left", "id", "c"])
+
+    out = b.select(*by, F.lit(True).alias("_left"), "id", F.lit(0.0).alias("c")).schema
+    nothing = to_arrow_schema(out).empty_table()
+    best = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(meet, out).groupBy(*by, "_left", "id").agg(F.max("c").alias("c"))
+    both = best.groupBy(*by).agg(F.avg(F.when(~F.col("_left"), F.col("c"))).alias("precision"), F.avg(F.when(F.col("_left"), F.col("c"))).alias("recall"))
     return both.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
