@@ -10,12 +10,17 @@ a path or address that all of them reach.
 
 from __future__ import annotations
 
+import math
+import os
 import re
+import time
 import uuid
+import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from fnmatch import translate
+from itertools import batched
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -33,6 +38,25 @@ def opened(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(local.group(1) if local else root)
 
 
+def entries(files: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """Names in a folder (none if it isn't one) and whether each is a folder; local ones are never held together."""
+    if isinstance(files, pafs.LocalFileSystem):
+        try:
+            with os.scandir(folder) as found:
+                yield from ((e.name, e.is_dir()) for e in found)
+        except (FileNotFoundError, NotADirectoryError):
+            return
+    elif files.get_file_info(folder).type == pafs.FileType.Directory:
+        yield from ((i.base_name, i.type == pafs.FileType.Directory) for i in files.get_file_info(pafs.FileSelector(folder)))
+
+
+def below(files: pafs.FileSystem, folder: str, number: int = 0, of: int = 1) -> Iterator[str]:
+    """Paths of the files below a folder; the number-th of `of` shares, dealt by the folder's own entries."""
+    for name, is_folder in entries(files, folder):
+        if (of == 1 or zlib.crc32(name.encode("utf-8", "surrogateescape")) % of == number) and not name.startswith("_staging-"):
+            yield from below(files, f"{folder}/{name}") if is_folder else (f"{folder}/{name}",)
+
+
 @dataclass
 class Pattern:
     """A pattern of the last parts of a path; what its first * stands for is the stem."""
@@ -53,17 +77,40 @@ class Pattern:
 
 @dataclass
 class Files(InputPartition):
-    part: str | None
-    found: list[tuple[str, str]]
+    """Some part folders, or a share of one: no names, a task lists its own."""
+
+    root: str
+    parts: list[str | None]
+    pattern: Pattern
+    stems: set[str] | None
+    number: int = 0
+    of: int = 1
+
+    def listed(self) -> Iterator[tuple[str | None, str, str]]:
+        """part, path and stem of its files."""
+        files, root = opened(self.root)
+        for part in self.parts:
+            for path in below(files, f"{root}/{part}" if part else root, self.number, self.of):
+                if (stem := self.pattern.stem(path)) is not None and (self.stems is None or stem in self.stems):
+                    yield part, path, stem
+
+    @property
+    def found(self) -> list[tuple[str, str]]:
+        return [(path, stem) for _, path, stem in self.listed()]
 
 
 class DocumentReader(DataSourceReader):
     """part, stem, name (path below root), content.  Equalities and lists on part and stem are pushed down: other parts aren't
-    listed, other stems aren't opened.  Of several patterns (a;b) the first that finds anything counts."""
+    listed, other stems aren't opened.  Of several patterns (a;b) the first that finds anything counts.
+
+    The driver walks the tree once, name by name, to choose the pattern and count; it keeps counts of parts and no names.
+    folders: "any" takes all files below root as one part.  contents: "false" leaves content null and empty files out.
+    """
 
     def __init__(self, options: dict) -> None:
-        self.root, self.per_task = options["path"], int(options.get("filesPerTask", "500"))
+        self.root, self.per_task, self.most_shares = options["path"], int(options.get("filesPerTask", "500")), int(options.get("mostShares", "256"))
         self.patterns = [Pattern(p) for p in options.get("patterns", "*").split(";")]
+        self.any, self.contents = options.get("folders", "parts") == "any", options.get("contents", "true") == "true"
         self.wanted: dict[str, set[str]] = {}
         self.listed: list[str] = []
 
@@ -76,42 +123,72 @@ class DocumentReader(DataSourceReader):
             else:
                 yield f
 
-    def _below(self, files: pafs.FileSystem, folder: str) -> list[str]:
-        self.listed.append(folder.rsplit("/", 1)[-1])
-        return sorted(i.path for i in files.get_file_info(pafs.FileSelector(folder, recursive=True)) if i.type == pafs.FileType.File)
-
     def partitions(self) -> list[Files]:
         files, root = opened(self.root)
-        folders = sorted(i.base_name for i in files.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if i.type == pafs.FileType.Directory and PART.fullmatch(i.base_name))
-        wanted = self.wanted.get("part")
-        if folders:
-            groups = [(p, self._below(files, f"{root}/{p}")) for p in folders if wanted is None or p in wanted]
-        else:
-            flat = files.get_file_info(root).type == pafs.FileType.Directory and wanted is None
-            groups = [(None, [p for p in self._below(files, root) if "/_staging-" not in p])] if flat else []
-        stems = self.wanted.get("stem")
-        for pattern in self.patterns:
-            named = [(part, [(p, s) for p in paths if (s := pattern.stem(p)) is not None]) for part, paths in groups]
-            if any(found for _, found in named):
-                kept = [(part, [f for f in found if stems is None or f[1] in stems]) for part, found in named]
-                return [Files(part, found[i : i + self.per_task]) for part, found in kept for i in range(0, len(found), self.per_task)]
-        return []
+        wanted, stems = self.wanted.get("part"), self.wanted.get("stem")
+        folders = [] if self.any else sorted(n for n, is_folder in entries(files, root) if is_folder and PART.fullmatch(n))
+        parts = [p for p in folders if wanted is None or p in wanted] if folders else [None] if wanted is None else []
+        # Of each part how many files fit each pattern, and whether any did before stems were looked at.
+        counts, hit = {p: [0] * len(self.patterns) for p in parts}, [False] * len(self.patterns)
+        for part in parts:
+            self.listed.append(part or root.rsplit("/", 1)[-1])
+            for path in below(files, f"{root}/{part}" if part else root):
+                for k, pattern in enumerate(self.patterns):
+                    if (stem := pattern.stem(path)) is not None:
+                        hit[k] = True
+                        counts[part][k] += stems is None or stem in stems
+                        break
+                    if hit[k]:
+                        break
+        if not any(hit):
+            return []
+        k = hit.index(True)
+        out: list[Files] = []
+        room = 0
+        for part in parts:
+            n = counts[part][k]
+            if n > self.per_task:
+                shares = min(math.ceil(n / self.per_task), self.most_shares)
+                out += [Files(self.root, [part], self.patterns[k], stems, i, shares) for i in range(shares)]
+                room = 0
+            elif n:
+                if n > room:
+                    out.append(Files(self.root, [], self.patterns[k], stems))
+                    room = self.per_task
+                out[-1].parts.append(part)
+                room -= n
+        return out
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
         files, root = opened(self.root)
-        for path, stem in partition.found:
-            with files.open_input_stream(path) as f:
-                content = f.read()
-            columns = [pa.array([partition.part], pa.string()), pa.array([stem]), pa.array([path[len(root.rstrip("/")) + 1 :]]), pa.array([content], pa.binary())]
-            yield pa.record_batch(columns, names=["part", "stem", "name", "content"])
+        held, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)], names=["part", "stem", "name", "content"])
+
+        for part, path, stem in partition.listed():
+            content = None
+            if self.contents:
+                with files.open_input_stream(path) as f:
+                    content = f.read()
+            elif not files.get_file_info(path).size:
+                continue
+            held.append((part, stem, path[len(root.rstrip("/")) + 1 :], content))
+            size += len(content or b"")
+            if len(held) == 500 or size > 4_000_000:
+                yield batch()
+                held, size = [], 0
+        if held:
+            yield batch()
 
 
 @dataclass
 class Staged(WriterCommitMessage):
+    """A task's folder; its names stay there."""
+
     folder: str
-    names: list[str]
 
 
 class DocumentWriter(DataSourceArrowWriter):
@@ -130,7 +207,6 @@ class DocumentWriter(DataSourceArrowWriter):
         files, root = opened(self.root)
         task = TaskContext.get()
         folder = f"{root}/{self.staging}/{task.partitionId()}-{task.taskAttemptId()}"
-        names: list[str] = []
         for batch in iterator:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if not name or name.startswith(("/", "_staging-")) or ".." in name.split("/"):
@@ -141,24 +217,32 @@ class DocumentWriter(DataSourceArrowWriter):
                 files.create_dir(target.rsplit("/", 1)[0], recursive=True)
                 with files.open_output_stream(target) as out:
                     out.write((content or "").encode() if not isinstance(content, bytes) else content)
-                names.append(name)
-        return Staged(folder, names)
+        return Staged(folder)
 
     def commit(self, messages: list[Staged | None]) -> None:
         files, root = opened(self.root)
-        moves = [(m.folder, n) for m in messages if m for n in dict.fromkeys(m.names)]
-        for folder in {f"{root}/{n}".rsplit("/", 1)[0] for _, n in moves}:
-            files.create_dir(folder, recursive=True)
         with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda m: files.move(f"{m[0]}/{m[1]}", f"{root}/{m[1]}"), moves))
+            for m in filter(None, messages):
+                for some in batched(below(files, m.folder), 1000):
+                    names = [p[len(m.folder) + 1 :] for p in some]
+                    for folder in {f"{root}/{n}".rsplit("/", 1)[0] for n in names}:
+                        files.create_dir(folder, recursive=True)
+                    list(pool.map(lambda n, staged=m.folder: files.move(f"{staged}/{n}", f"{root}/{n}"), names))
         self._clear(files, root)
 
     def abort(self, messages: list[Staged | None]) -> None:
         self._clear(*opened(self.root))
 
     def _clear(self, files: pafs.FileSystem, root: str) -> None:
-        if files.get_file_info(f"{root}/{self.staging}").type == pafs.FileType.Directory:
-            files.delete_dir(f"{root}/{self.staging}")
+        for left in reversed(range(20)):
+            if files.get_file_info(f"{root}/{self.staging}").type != pafs.FileType.Directory:
+                return
+            try:
+                files.delete_dir(f"{root}/{self.staging}")
+            except OSError:  # a task that is being stopped still writes
+                if not left:
+                    raise
+                time.sleep(0.2)
 
 
 class DocumentFiles(DataSource):
@@ -181,10 +265,10 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def load_documents(spark: SparkSession, root: str, *patterns: str) -> DataFrame:
-    """part, stem, name, content of the files below root that fit the first pattern that finds any."""
+def load_documents(spark: SparkSession, root: str, *patterns: str, **options: str) -> DataFrame:
+    """part, stem, name, content of the files below root that fit the first pattern that finds any; options: the reader's."""
     register(spark)
-    return spark.read.format("docfiles").option("patterns", ";".join(patterns or ("*",))).load(root)
+    return spark.read.format("docfiles").option("patterns", ";".join(patterns or ("*",))).options(**options).load(root)
 
 
 def write_documents(df: DataFrame, root: str, existing: str = "replace") -> None:

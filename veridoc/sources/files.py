@@ -6,12 +6,15 @@ import io
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import report as R
+from . import documents as D
 
 #: Columns that document metadata has.
 EXPECTED = ("sample_id", "language", "language_code", "type", "image_file", "mask_file", "has_mask", "report_file", "report_text")
@@ -46,9 +49,29 @@ def missing_columns(df: DataFrame, expected: Sequence[str] = EXPECTED) -> list[s
     return sorted(set(expected) - set(df.columns))
 
 
+def _address(root: str) -> Column:
+    """The file's address, as Spark's readers give it."""
+    base = D.opened(root)[1].rstrip("/")
+    return F.concat(F.lit(f"file:{base}/" if root.startswith(("/", "file:")) else f"{root.rstrip('/')}/"), F.col("name"))
+
+
+def _seen(found: DataFrame) -> DataFrame:
+    """Without hidden files and folders, which Spark's readers leave out too."""
+    return found.where(~F.col("name").rlike(r"(?:^|/)[_.]"))
+
+
+def _parsed(found: DataFrame, schema: str) -> DataFrame:
+    """found (content: one JSON record, or an array of them) with the schema's columns; broken records are null, objects in string columns lose blanks."""
+    text = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
+    said = {"columnNameOfCorruptRecord": "_corrupt_record"}
+    one, many = F.from_json(text, schema, said), F.from_json(text, ArrayType(StructType.fromDDL(schema)), said)
+    records = F.when(text.rlike(r"^\s*\["), F.coalesce(many, F.array(F.lit(None).cast(StructType.fromDDL(schema))))).otherwise(F.array(one))
+    return _seen(found).where(F.length("content") > 0).withColumn("_record", F.explode(records)).select(*found.columns, "_record.*")
+
+
 def listing(spark: SparkSession, root: str, *extensions: str) -> DataFrame:
     """path, name, stem, part of files below root that aren't empty; contents aren't read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    df = _seen(D.load_documents(spark, root, folders="any", contents="false")).select(_address(root).alias("path"))
     if extensions:
         df = df.where(F.lower("path").rlike(r"\.(?:" + "|".join(extensions) + r")$"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
@@ -84,16 +107,19 @@ def load_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def load_prediction_folders(spark: SparkSession, root: str) -> DataFrame:
     """image_name, report of */report.json; broken files are skipped, the folder's name stands in for a missing name."""
-    df = spark.read.schema("image_name string, report string, _corrupt_record string").json(f"{root}/*/report.json", multiLine=True)
-    folder = F.regexp_extract(F.input_file_name(), r"([^/]+)/report\.json$", 1)
-    return df.where("_corrupt_record IS NULL").select(F.coalesce("image_name", folder).alias("image_name"), F.coalesce("report", F.raise_error("a prediction lacks its report").cast("string")).alias("report"))
+    found = D.load_documents(spark, root, "*/report.json", folders="any").where(F.col("name").rlike(r"^[^/]+/report\.json$"))
+    df = _parsed(found.select("name", "stem", "content"), "image_name string, report string, _corrupt_record string")
+    return df.where("_corrupt_record IS NULL").select(F.coalesce("image_name", "stem").alias("image_name"), F.coalesce("report", F.raise_error("a prediction lacks its report").cast("string")).alias("report"))
 
 
 def load_records(spark: SparkSession, root: str, schema: str = DETECTION, suffix: str = "_dtd_ocr.json", parts: Sequence[str] | None = None) -> DataFrame:
     """JSON records below root, with their path and part; only the named parts are listed."""
-    where = [f"{root}/{p}" for p in parts] if parts else [root]
-    df = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").json(where, multiLine=True)
-    return df.withColumn("path", F.input_file_name()).withColumn("part", part_of(F.col("path")))
+    made = []
+    for folder in [f"{root}/{p}" for p in parts] if parts else [root]:
+        found = D.load_documents(spark, folder, f"*{suffix}", folders="any").select(_address(folder).alias("path"), "name", "content")
+        made.append(_parsed(found, schema).drop("name", "content"))
+    df = reduce(DataFrame.unionByName, made)
+    return df.select(*StructType.fromDDL(schema).names, "path", part_of(F.col("path")).alias("part"))
 
 
 def decoded_maps(files: DataFrame) -> DataFrame:
@@ -161,8 +187,8 @@ def metadata_from_folders(spark: SparkSession, names: DataFrame, reports: str, m
         keys = found.select("path", kind.alias("kind"), F.explode(both).alias("k"))
         return keys.groupBy(F.col("k.stem").alias("sample_id")).agg(F.min_by("path", F.struct("k.late", "kind", "path")).alias("path"))
 
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_report.md").text(reports, wholetext=True)
-    said = text.select(F.regexp_extract(F.input_file_name(), r"([^/]+)_report\.md$", 1).alias("sample_id"), F.col("value").alias("report_text")).groupBy("sample_id").agg(F.min("report_text").alias("report_text"))
+    text = _seen(D.load_documents(spark, reports, "*_report.md", folders="any")).where("stem <> '' AND length(content) > 0")
+    said = text.select(F.col("stem").alias("sample_id"), F.col("content").cast("string").alias("report_text")).groupBy("sample_id").agg(F.min("report_text").alias("report_text"))
     white = load_masks(spark, masks, keep_path=True).select(F.col("path").alias("mask_path"), F.exists("data", lambda v: v > 0).alias("white"))
     rows = names.select(F.regexp_replace("image_file", r"\.[^.]+$", "").alias("sample_id"), "image_file")
     rows = rows.join(first(images, kinds).withColumnRenamed("path", "image_path"), "sample_id", "left").join(first(masks, ("png", "jpg", "jpeg"), "_mask").withColumnRenamed("path", "mask_path"), "sample_id", "left")
