@@ -106,10 +106,11 @@ def _(spark, d):
 
 
 def _records(spark, d, suffix: str, each: str) -> str:
-    root = new_folder(spark, "records")
-    record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("stem"), F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("image_name"), F.col("n_chars").cast("int").alias("n_regions")))
+    root, docs = new_folder(spark, "records"), read(spark, d, "documents")
+    size = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("stem"), F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("image_name"), size.cast("int").alias("n_regions")))
     name = F.format_string(f"part%03d/%d{suffix}", F.expr(f"doc_id div {each}"), "doc_id")
-    D.write_documents(read(spark, d, "documents").select(name.alias("name"), record.alias("content")), root)
+    D.write_documents(docs.select(name.alias("name"), record.alias("content")), root)
     return root
 
 
