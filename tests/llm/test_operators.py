@@ -223,6 +223,18 @@ def test_near_duplicates_random_blocks(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_of(texts, list(range(len(texts))))
 
 
+def test_finish_of_large_groups_sends_members_once(spark, monkeypatch):
+    """Texts with one passage in common, and some of them with another, are one large group without links: nobody is sent to
+    more than one block of its finish."""
+    words = lambda name, n: [f"{name}x{i}" for i in range(n)]
+    texts = [" ".join(words("all", 15) + words(f"some{k % 10}", 40) + words(f"own{k}", 8)) for k in range(60)]
+    sent, compared = [], jac._compared
+    monkeypatch.setattr(jac, "_compared", lambda rows: compared(sent.append(rows.count()) or rows))
+    got = jac.similar_components(frame(spark, texts), most=8).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(k, k) for k in range(60)}
+    assert sum(sent[2:]) <= 60, sent
+
+
 def test_near_duplicates_edges(spark):
     docs = frame(spark, ["a b c d e f"] * 3 + [None, "", "x"])
     assert jac.similar_components(docs.limit(0)).count() == 0

@@ -5,9 +5,10 @@ Documents are sets of hashed word shingles.  Documents with equal sets are one c
 1. Groups.  All sets are ordered by hash.  Two sets that link share at least 8 % of either's size among the first
    n - ceil(0.8 n) + ceil(n / 10) shingles of both (an extended prefix), so a class fewer of whose prefix shingles are
    shared with a class of its own or a neighbouring size band (a factor of 1.25) is out; this sheds documents that only
-   have a common passage.  Of each shingle and band one class stands for the others: they are tied to it, and bands to
-   the next band, so a shingle of a million documents makes a million ties, not their square.  Tied classes form the
-   groups of similar documents; what isn't tied can't link.
+   have a common passage.  Of each shingle that is among the first n - ceil(0.8 n) + 1 (linked sets share one of those)
+   and band one class stands for the others: they are tied to it, and bands to the next band, so a shingle of a million
+   documents makes a million ties, not their square.  Tied classes form the groups of similar documents; what isn't tied
+   can't link.
 2. Matrix.  A group is a block; groups above `most` classes or `per_block` shingles are cut into blocks by minimum hash
    (similar sets fall together) and, where that isn't enough, by id.  Inside a block the members are cut into small
    subgroups of neighbours; for each the union of its members' shingles is stored as a column of a sparse matrix.  A
@@ -16,8 +17,10 @@ Documents are sets of hashed word shingles.  Documents with equal sets are one c
    exactly.  Members known to be connected already are not compared again.  The task returns the links that connect.
 4. Between the blocks of a large group.  First one member of each component found meets the others' (blocks by another
    minimum hash), which joins the copies of one text however many they are.  Groups that are still in several
-   components are finished exactly: under one order of all shingles (rare ones first) linked sets share one of their
-   first n - ceil(0.8 n) + 1, so a member only asks the blocks where such a shingle stands in another component.
+   components are finished exactly, with extended prefixes under one order of all shingles (rare ones first): a member
+   less than 8 % of whose size stands in another component's prefixes of the group is out, and what is left is tied
+   again by the first of these shingles, into groups that mostly fit into one block.  Of one that doesn't, a member asks only those
+   other blocks where 8 % of its size stand in another component.
 5. Components of those links, spread over classes and their documents.
 
 Scale: prefixes travel as packed arrays, partitioned by hash ranges whose number follows the input.  Equal shingles of one
@@ -48,8 +51,9 @@ from .graph import connected_components
 
 _U = np.uint64
 _PACKED = np.dtype([("f", "<u8"), ("n", "<u4"), ("d", "<i8")])
-#: Set in a packed size: another class of the band is known to have the shingle.
-_KNOWN = np.uint32(1 << 31)
+#: Set in a packed size: another class of the band is known to have the shingle; it is one of the set's first ones.
+_KNOWN, _BASE = np.uint32(1 << 31), np.uint32(1 << 30)
+_SIZE = np.uint32((1 << 30) - 1)
 #: Odd multipliers that give a hash's tokens other orders.
 _MIXED, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -131,6 +135,11 @@ def prefix_length(n: int) -> int:
     return min(n, n - -(-4 * n // 5) + -(-n // 10))
 
 
+def base_length(n: int) -> int:
+    """Linked sets share one of so many first shingles of both."""
+    return min(n, n - -(-4 * n // 5) + 1)
+
+
 def size_bands(n: np.ndarray) -> np.ndarray:
     """Sizes that differ by less than a factor of 1.25; sets that link are in one band or in neighbouring ones."""
     return np.floor(np.log(np.maximum(n, 1)) / math.log(1.25) + 1e-9).astype(np.int64)
@@ -138,7 +147,7 @@ def size_bands(n: np.ndarray) -> np.ndarray:
 
 def _entries(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed entries sorted by shingle, band and class, each class once a shingle; their bands; whether each is first of its band."""
-    band = size_bands(x["n"] & ~_KNOWN)
+    band = size_bands(x["n"] & _SIZE)
     order = np.lexsort((~(x["n"] & _KNOWN), x["d"], band, x["f"]))
     x, band = x[order], band[order]
     once = np.r_[True, (x["f"][1:] != x["f"][:-1]) | (x["d"][1:] != x["d"][:-1])]
@@ -151,7 +160,7 @@ def _packed(bucket: int, x: np.ndarray) -> tuple[int, bytes]:
 
 
 def shared_prefixes(docs: DataFrame, size: int, bits: int, portion: int = 500_000) -> DataFrame:
-    """f, n, band, d: prefix shingles that another class of the same or a neighbouring size band has too, with their classes."""
+    """f, n, band, d, base: prefix shingles that another class of the same or a neighbouring size band has too, with their classes."""
 
     def spread(batches):
         held, total, seen = [], 0, set()
@@ -160,7 +169,9 @@ def shared_prefixes(docs: DataFrame, size: int, bits: int, portion: int = 500_00
             x = np.empty(total, _PACKED)
             sizes = [len(h[0]) for h in held]
             x["f"] = np.concatenate([h[0] for h in held])
-            x["n"] = np.repeat(np.array([min(h[1], int(_KNOWN) - 1) for h in held], np.uint32), sizes)
+            x["n"] = np.repeat(np.array([min(h[1], int(_SIZE)) for h in held], np.uint32), sizes)
+            place = np.arange(total) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+            x["n"] |= np.where(place < np.repeat([base_length(h[1]) for h in held], sizes), _BASE, np.uint32(0))
             x["d"] = np.repeat(np.array([h[2] for h in held], np.int64), sizes)
             x, _, first = _entries(x)
             # Of a shingle and band one entry goes on to its range; the others are known to be shared already.
@@ -196,14 +207,14 @@ def shared_prefixes(docs: DataFrame, size: int, bits: int, portion: int = 500_00
             yield flush()
 
     def rows(x, band):
-        return pa.RecordBatch.from_arrays([pa.array(x["f"].view(np.int64) if x["f"].flags.contiguous else x["f"].copy().view(np.int64)), pa.array((x["n"] & ~_KNOWN).astype(np.int64)), pa.array(band.astype(np.int32)), pa.array(x["d"].astype(np.int64))], names=["f", "n", "band", "d"])
+        return pa.RecordBatch.from_arrays([pa.array(x["f"].view(np.int64) if x["f"].flags.contiguous else x["f"].copy().view(np.int64)), pa.array((x["n"] & _SIZE).astype(np.int64)), pa.array(band.astype(np.int32)), pa.array(x["d"].astype(np.int64)), pa.array((x["n"] & _BASE) != 0)], names=["f", "n", "band", "d", "base"])
 
     def meet(batches: Iterator[pa.RecordBatch]):
         for key, parts in _by_bucket(batches):
             if key < 0:
                 for p in parts:
                     x = np.frombuffer(p, _PACKED)
-                    yield rows(x, size_bands(x["n"]))
+                    yield rows(x, size_bands(x["n"] & _SIZE))
                 continue
             x, band, first = _entries(np.concatenate([np.frombuffer(p, _PACKED) for p in parts]))
             alone = first & np.r_[first[1:], True]
@@ -220,17 +231,22 @@ def shared_prefixes(docs: DataFrame, size: int, bits: int, portion: int = 500_00
     packed = docs.mapInArrow(lean(spread), "bucket bigint, payload binary")
     # What is known already has no range to go to: it is dealt out by a number of its own.
     dealt = packed.withColumn("to", F.when(F.col("bucket") < 0, F.xxhash64("payload")).otherwise(F.col("bucket")))
-    return _grouped(dealt.select("bucket", "payload", "to"), "to", ["bucket"], meet, "f bigint, n bigint, band int, d bigint")
+    return _grouped(dealt.select("bucket", "payload", "to"), "to", ["bucket"], meet, "f bigint, n bigint, band int, d bigint, base boolean")
 
 
 def ties(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """d of the classes that share enough; a, b: those that have a shingle with a band's least class, and bands with the next."""
+    """d of the classes that share enough; a, b: those that have a first shingle with a band's least class, and bands with the next."""
     enough = written(shared.groupBy("d", "n").agg(F.count_distinct("f").alias("m")).where("25 * m >= 2 * n").select("d").distinct(), "enough")
-    left = shared.join(enough, "d", "left_semi").select("f", "band", "d")
-    least = left.groupBy("f", "band").agg(F.min("d").alias("least"))
-    own = left.join(least, ["f", "band"]).where("d <> least").select(F.col("d").alias("a"), F.col("least").alias("b"))
-    above = least.select("f", (F.col("band") - 1).alias("band"), F.col("least").alias("b"))
-    return enough, own.unionByName(least.join(above, ["f", "band"]).select(F.col("least").alias("a"), "b"))
+    left = shared.where("base").join(enough, "d", "left_semi").select("f", "band", "d")
+    return enough, _stars(left, ["f"], "d")
+
+
+def _stars(left: DataFrame, by: list[str], member: str) -> DataFrame:
+    """a, b: members of one `by` and band with their least, and that with the next band's."""
+    least = left.groupBy(*by, "band").agg(F.min(member).alias("least"))
+    own = left.join(least, [*by, "band"]).where(F.col(member) != F.col("least")).select(F.col(member).alias("a"), F.col("least").alias("b"))
+    above = least.select(*by, (F.col("band") - 1).alias("band"), F.col("least").alias("b"))
+    return own.unionByName(least.join(above, [*by, "band"]).select(F.col("least").alias("a"), "b"))
 
 
 class TokenGroupMatrix:
@@ -390,7 +406,7 @@ def _sent(rows: DataFrame, wanted: DataFrame, size: int, inline: int) -> DataFra
     return met.mapInArrow(lean(run), ", ".join(f"{n} bigint" for n in names) + ", payload binary")
 
 
-def frequent_shingles(sets: DataFrame, hottest: int, portion: int = 500_000, times: int = 8) -> np.ndarray:
+def frequent_shingles(sets: DataFrame, hottest: int, portion: int = 500_000, times: int = 2) -> np.ndarray:
     """Shingles by descending count, `hottest` at most, of those that occur `times` in some portion of the sets (payload).
 
     Only the order of comparison hangs on them: any order that is the same for all sets gives all links.
@@ -420,7 +436,7 @@ def frequent_shingles(sets: DataFrame, hottest: int, portion: int = 500_000, tim
 
 
 def rare_prefixes(members: DataFrame, hot: np.ndarray) -> DataFrame:
-    """f, tie, rep, n, comp, home: the shingles of which any linked set has one among its own."""
+    """f, tie, rep, n, comp, band, base: the shingles of which linked sets have 8 % of either's size in common, and one that is base for both."""
     order = np.argsort(hot)
     shared = members.sparkSession.sparkContext.broadcast((hot[order], (len(hot) - order).astype(np.int64)))
 
@@ -428,18 +444,31 @@ def rare_prefixes(members: DataFrame, hot: np.ndarray) -> DataFrame:
         known, rank = shared.value
         for batch in batches:
             f, sizes = [], []
-            for v in batch.column(5):
+            for v in batch.column(4):
                 s = np.frombuffer(v.as_buffer(), _U)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[at] == s, rank[at], 0), kind="stable")]  # rare ones first, by hash
-                f.append(s[: len(s) - -(-4 * len(s) // 5) + 1])
+                f.append(s[: prefix_length(len(s))])
                 sizes.append(len(f[-1]))
             if f:
                 spread = np.repeat(np.arange(len(f)), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f).view(np.int64)), *(batch.column(i).take(pa.array(spread)) for i in range(5))], names=["f", *batch.schema.names[:5]])
+                n = batch.column(2).to_numpy()
+                band = size_bands(n).astype(np.int32)[spread]
+                base = np.concatenate([np.arange(k) < base_length(int(m)) for k, m in zip(sizes, n, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f).view(np.int64)), *(batch.column(i).take(pa.array(spread)) for i in range(4)), pa.array(band), pa.array(base)], names=["f", *batch.schema.names[:4], "band", "base"])
+
+    return members.select("tie", "rep", "n", "comp", "payload").mapInArrow(lean(run), "f bigint, tie bigint, rep bigint, n bigint, comp bigint, band int, base boolean")
 
-    return members.select("tie", "rep", "n", "comp", "home", "payload").mapInArrow(lean(run), "f bigint, tie bigint, rep bigint, n bigint, comp bigint, home bigint")
+
+def _crossing(prefixes: DataFrame) -> DataFrame:
+    """Rows of prefixes whose shingle another component of the tie has too, of the members with enough of them; one row each at most."""
+    several = prefixes.groupBy("f", "tie").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("n1"), F.max("n").alias("n2")).where("c1 <> c2")
+    met = written(prefixes.join(several, ["f", "tie"]).where("4 * n <= 5 * n2 AND 4 * n1 <= 5 * n").select(*prefixes.columns), "met")
+    enough = met.groupBy("rep").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).where("25 * m >= 2 * n").select("rep")
+    out = written(met.join(enough, "rep", "left_semi").select(*prefixes.columns), "crossing")
+    dropped(met)
+    return out
 
 
 def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -454,7 +483,7 @@ def _unsettled(state: DataFrame) -> DataFrame:
 
 
 def _between_blocks(rows: DataFrame, large: DataFrame, links: DataFrame, size: int, most: int, per_block: int, inline: int, hottest: int) -> list[DataFrame]:
-    """Written tables of further links of groups of several blocks.  large: rep, d1, d2, tie, n, m2, home."""
+    """Written tables of further links of groups of several blocks.  large: rep, d1, d2, tie, n, m1, m2."""
     made: list[DataFrame] = []
     # One member of each component, in other blocks.
     state = _labelled(large, connected_components(links))
@@ -465,23 +494,30 @@ def _between_blocks(rows: DataFrame, large: DataFrame, links: DataFrame, size: i
     dropped(hubs)
     # The rest exactly.
     state = _labelled(large, connected_components(links.unionByName(made[0])))
-    open_ = written(state.join(_unsettled(state), "tie", "left_semi").select("rep", "d1", "d2", "tie", "n", "comp", "home"), "open")
+    open_ = written(state.join(_unsettled(state), "tie", "left_semi").select("rep", "d1", "d2", "tie", "n", "comp", "m1"), "open")
     if not open_.limit(1).count():
         dropped(open_)
         return made
+    small = lambda t: F.broadcast(t) if t.count() <= inline else t
     full = written(_sent(rows, open_, size, inline), "full")
     prefixes = written(rare_prefixes(full, frequent_shingles(full, hottest)), "prefixes")
-    there = prefixes.groupBy("f", "tie", "home").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("n1"), F.max("n").alias("n2"))
-    met = prefixes.select("f", "tie", "rep", "n", "comp", F.col("home").alias("own")).join(there, ["f", "tie"])
-    met = met.where("home < own AND NOT (c1 = comp AND c2 = comp) AND 4 * n <= 5 * n2 AND 4 * n1 <= 5 * n")
-    asked = written(met.select("rep", "home").distinct(), "asked")
-    dropped(prefixes)
-    homes = written(asked.select("home").distinct(), "homes")
-    small = lambda t: F.broadcast(t) if t.count() <= inline else t
-    targets = full.join(small(homes), "home", "left_semi").select("home", F.lit(1).alias("role"), "rep", F.col("comp").alias("label"), "payload")
-    queries = full.select("rep", "comp", "payload").join(small(asked), "rep").select("home", F.lit(2).alias("role"), "rep", F.col("comp").alias("label"), "payload")
-    made.append(written(_compared(targets.unionByName(queries)), "links"))
-    dropped(open_, full, asked, homes)
+    crossing = _crossing(prefixes)
+    dropped(open_, prefixes)
+    again = connected_components(_stars(crossing.where("base"), ["f", "tie"], "rep")).select(F.col("node").alias("rep"), F.col("component").alias("tie"))
+    placed = written(_homes(full.select("rep", "n", "m1", "comp").join(small(again), "rep").distinct(), "m1", most, per_block), "placed")
+    payloads = full.select("rep", "payload")
+    sent = payloads.join(small(placed.select("home", "rep", "comp")), "rep").select("home", F.lit(0).alias("role"), "rep", F.col("comp").alias("label"), "payload")
+    large = placed.where("large").select("rep", F.col("tie").alias("part"), "home")
+    asked = None
+    if large.limit(1).count():
+        spots = crossing.join(small(large), "rep")
+        there = spots.groupBy("f", "part", "home").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("n1"), F.max("n").alias("n2"))
+        met = spots.select("f", "part", "rep", "n", "comp", F.col("home").alias("own")).join(there, ["f", "part"])
+        met = met.where("home < own AND NOT (c1 = comp AND c2 = comp) AND 4 * n <= 5 * n2 AND 4 * n1 <= 5 * n")
+        asked = written(met.groupBy("rep", "comp", "home").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).where("25 * m >= 2 * n").select("rep", "comp", "home"), "asked")
+        sent = sent.unionByName(payloads.join(small(asked), "rep").select("home", F.lit(2).alias("role"), "rep", F.col("comp").alias("label"), "payload"))
+    made.append(written(_compared(sent), "links"))
+    dropped(full, crossing, placed, *([] if asked is None else [asked]))
     return made
 
 
@@ -504,7 +540,7 @@ def similar_components(docs: DataFrame, *, size: int = 5, doc_id: str = "doc_id"
         sent = _sent(rows, members.select("rep", "d1", "d2", "home"), size, inline).select("home", F.lit(0).alias("role"), "rep", F.col("rep").alias("label"), "payload")
         links = written(_compared(sent), "links")
         found = [links]
-        large = members.where("large").select("rep", "d1", "d2", "tie", "n", "m2", "home")
+        large = members.where("large").select("rep", "d1", "d2", "tie", "n", "m1", "m2")
         if large.limit(1).count():
             found += _between_blocks(rows, large, links, size, most, per_block, inline, hottest)
         every = found[0]
