@@ -1,5 +1,6 @@
 """Operators of the training-data subpackage against brute force, libraries and held-out accuracy."""
 
+import gc
 import hashlib
 import random
 import re
@@ -8,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -275,6 +277,20 @@ def test_byte_bpe(spark):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_byte_bpe_leaves_no_memos(spark):
+    """Workers that go on to other stages hold nothing of what they encoded."""
+    docs = spark.createDataFrame([(i, f"word{i} " * 3) for i in range(64)], "doc_id long, text string").repartition(8)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN, outputs=("n_tokens",)).count() == 64
+
+    def held(batches):
+        for b in batches:
+            n = sum(len(o) + len(o.old) for o in gc.get_objects() if isinstance(o, byte_bpe.Memo))
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], names=["n"])
+
+    assert {r.n for r in docs.select("doc_id").mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_perfect_hash():
     keys = [f"k{i}".encode() for i in range(3000)]
     table = byte_bpe.PerfectHash(keys)

@@ -5,7 +5,7 @@ an exact comparison of the bytes).  Tier two: a miss is merged from its single b
 heap of (rank, place) yields the next merge; a pre-token of n bytes costs n log n however long it is.
 
 Texts are cut at the pre-tokenizer's pattern.  Nothing in it crosses a single space that follows a non-blank, so texts are
-first split at such spaces and the parts' ids are remembered per worker (in bounded memos).  One pass
+first split at such spaces and the parts' ids are remembered per task (in bounded memos).  One pass
 over the texts in Arrow batches; no shuffle; the tables travel as one broadcast of the vocabulary's size.
 
 Defined cases: null text counts as empty and gives no ids; empty text gives no ids; texts of any length are encoded
@@ -27,6 +27,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import lean
+
 _M64 = (1 << 64) - 1
 _BLANKS_THEN_SPACE = re.compile(r"(?:\s|^) ")
 
@@ -176,26 +178,15 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_CODERS: dict[str, ByteBPE] = {}
-
-
-def coder_of(key: str, shared) -> ByteBPE:
-    """One coder for each worker and vocabulary."""
-    if key not in _CODERS:
-        _CODERS[key] = ByteBPE(*shared.value)
-    return _CODERS[key]
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("ids", "decoded"), vocabulary: Sequence[bytes] | None = None) -> DataFrame:
     """doc_id and the asked outputs: ids (array of int), decoded (binary, from the ids), n_tokens, ids_sha256, decoded_sha256."""
     spark: SparkSession = docs.sparkSession
     tokens = list(vocabulary) if vocabulary is not None else read_ranks(path)
-    key = hashlib.sha256(b"\n".join(tokens) + pattern.encode()).hexdigest()
     shared = spark.sparkContext.broadcast((tokens, pattern, PerfectHash(tokens)))
     kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "n_tokens": ("bigint", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(key, shared)
+        coder = ByteBPE(*shared.value)  # a task's own: its memos go with it, a worker that waits holds none
         names = [str(i) for i in range(len(coder.tokens))]
         for batch in batches:
             # Long texts would make large columns of ids: they leave in portions.
@@ -213,4 +204,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, doc_id: str =
 
     rows = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{o} {kinds[o][0]}" for o in outputs)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
