@@ -2,6 +2,8 @@
 
 import gzip
 import json
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -110,3 +112,47 @@ def test_updated_records(spark):
     old = spark.createDataFrame([(1, "x"), (2, None), (3, None), (None, None)], "id int, augmentation string")
     new = spark.createDataFrame([(1, "y"), (2, "z")], "id int, augmentation string")
     assert {(r.id, r.augmentation) for r in L.updated_records(old, new, "id", "augmentation").collect()} == {(1, "x"), (2, "z"), (3, None), (None, None)}
+
+
+def png(pixels, depth, colour, palette=None, passes=((0, 0, 1, 1),)):
+    """A PNG of rows of samples (height x width x channels), its rows' filters in turn all five."""
+    step, lines, number = max(1, depth * pixels.shape[2] // 8), b"", 0
+    for x, y, right, down in passes:
+        part = pixels[y::down, x::right]
+        before = None
+        for row in part if part.size else ():
+            flat = row.ravel()
+            line = flat.astype(">u2").tobytes() if depth == 16 else flat.astype(np.uint8).tobytes() if depth == 8 else np.packbits((flat[:, None] >> np.arange(depth - 1, -1, -1)) & 1).tobytes()
+            before, now = before or bytes(len(line)), []
+            for i, v in enumerate(line):
+                a, b, c = line[i - step] if i >= step else 0, before[i], before[i - step] if i >= step else 0
+                near = min((a, b, c), key=lambda k: abs(a + b - c - k))  # noqa: B023
+                now.append((v - (0, a, b, (a + b) // 2, near)[number % 5]) % 256)
+            lines, before, number = lines + bytes([number % 5, *now]), line, number + 1
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], depth, colour, 0, 0, len(passes) > 1)
+    return files.PNG + chunk(b"IHDR", head) + (chunk(b"PLTE", bytes(palette)) if palette else b"") + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_masks_of_any_kind(spark, tmp_path):
+    """PNG masks are listed by tasks, not on the driver, and equal what Spark's image reader makes of them."""
+    rng, folder = np.random.default_rng(5), tmp_path / "masks"
+    folder.mkdir()
+    for colour, depth, channels in ((0, 1, 1), (0, 2, 1), (0, 4, 1), (0, 8, 1), (4, 8, 2), (2, 8, 3), (6, 8, 4), (2, 16, 3), (3, 2, 1), (3, 8, 1)):
+        for passes in (((0, 0, 1, 1),), files._PASSES):
+            for h, w in ((1, 1), (13, 11), (5, 2)):
+                v = rng.integers(0, 2**depth, (h, w, channels)) * (rng.random((h, w, channels)) < 0.5)
+                palette = [0, 0, 0, 1, 0, 0, 2, 2, 2, 9, 200, 3] * 64 if colour == 3 and depth == 8 else [0, 0, 0, 1, 0, 0, 2, 2, 2, 9, 200, 3] if colour == 3 else None
+                v = np.where(v == 1, 600, v) if depth == 16 else v  # 16 bits count by their upper eight
+                (folder / f"{colour}-{depth}-{len(passes)}-{h}-{w}_mask.png").write_bytes(png(v, depth, colour, palette, passes))
+    (folder / "broken.png").write_bytes(files.PNG + b"rest")
+    (folder / "text.png").write_text("no picture")
+    rows = lambda: {r.path: (r.stem, r.h, r.w, r.data) for r in files.load_masks(spark, str(folder), keep_path=True).collect()}
+    assert files.load_masks(spark, str(folder)).inputFiles() == []
+    own = rows()
+    (folder / "text").write_text("not named .png")  # the folder goes to Spark's image reader
+    assert len(own) == 60 and own == rows()
+    (folder / "text").unlink()
+    (folder / "photo.png").write_bytes(b"\xff\xd8\xff")
+    with pytest.raises(Exception, match="of another kind"):
+        rows()

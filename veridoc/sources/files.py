@@ -165,7 +165,7 @@ def png_bytes(masks: DataFrame) -> DataFrame:
             for h, w, d in zip(f["h"], f["w"], f["data"], strict=True):
                 grey = np.where(np.asarray(d).reshape(h, w) != 0, 255, 0).astype(np.uint8)
                 rows = np.pad(grey, ((0, 0), (1, 0))).tobytes()
-                out.append(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+                out.append(PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
             yield pd.DataFrame({"stem": f["stem"], "content": out})
 
     return masks.select("stem", "h", "w", "data").mapInPandas(run, "stem string, content binary")
@@ -198,20 +198,120 @@ def metadata_from_folders(spark: SparkSession, names: DataFrame, reports: str, m
     return rows.select("sample_id", "image_file", "image_path", "mask_path", "report_text", F.when(forged, "BLACK").otherwise("PRISTINE").alias("type"))
 
 
-def load_masks(spark: SparkSession, root: str, keep_path: bool = False) -> DataFrame:
-    """stem, h, w, data (0 or 1) of images, their path if asked for; colours count by their luma."""
+PNG = b"\x89PNG\r\n\x1a\n"
+#: Samples a pixel by colour type, and the passes of interlaced files: first column and row, steps.
+_SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _unfiltered(lines: np.ndarray, step: int) -> np.ndarray:
+    """A PNG's rows of bytes; step: bytes a pixel.  Averages and Paeth's rule take a Python step a byte."""
+    out = np.zeros((len(lines), lines.shape[1] - 1), np.uint8)
+    before = np.zeros(lines.shape[1] - 1, np.uint8)
+    for y, (kind, line) in enumerate(zip(lines[:, 0].tolist(), lines[:, 1:], strict=True)):
+        if kind == 1:
+            line = line.reshape(-1, step).cumsum(0, dtype=np.uint8).ravel()
+        elif kind == 2:
+            line = line + before
+        elif kind in (3, 4):
+            now, up = bytearray(step) + line.tobytes(), bytes(step) + before.tobytes()
+            for i in range(step, len(now)):
+                a, b, c = now[i - step], up[i], up[i - step]
+                if kind == 3:
+                    guess = (a + b) >> 1
+                else:
+                    to_a, to_b, to_c = abs(b - c), abs(a - c), abs(a + b - c - c)
+                    guess = a if to_a <= to_b and to_a <= to_c else b if to_b <= to_c else c
+                now[i] = (now[i] + guess) & 255
+            line = np.frombuffer(bytes(now[step:]), np.uint8)
+        elif kind:
+            raise ValueError(f"no such filter: {kind}")
+        out[y] = before = line
+    return out
+
+
+def decoded_png(content: bytes) -> np.ndarray | None:
+    """height x width x channels of a PNG of any kind, 8 bits each: grey (1) or red, green, blue (3), without alpha; None if it can't be read."""
+    try:
+        at, head, colours, packed = len(PNG), None, None, []
+        while content.startswith(PNG) and at + 8 <= len(content):
+            n, kind = struct.unpack(">I4s", content[at : at + 8])
+            body = content[at + 8 : at + 8 + n]
+            if kind == b"IHDR":
+                head = struct.unpack(">IIBBBBB", body)
+            elif kind == b"PLTE":
+                colours = np.frombuffer(body, np.uint8).reshape(-1, 3)
+            elif kind == b"IDAT":
+                packed.append(body)
+            at += n + 12
+        w, h, depth, colour, _, _, interlaced = head
+        raw, used, channels = zlib.decompress(b"".join(packed)), 0, _SAMPLES[colour]
+        out = np.zeros((h, w, channels), np.uint8)
+        for x, y, right, down in _PASSES if interlaced else ((0, 0, 1, 1),):
+            part = out[y::down, x::right]
+            if not part.size:
+                continue
+            (rows, columns), bits = part.shape[:2], depth * channels
+            wide = (columns * bits + 7) // 8
+            plain = _unfiltered(np.frombuffer(raw, np.uint8, rows * (wide + 1), used).reshape(rows, wide + 1), max(1, bits // 8))
+            used += rows * (wide + 1)
+            if depth < 8:
+                plain = (np.unpackbits(plain, axis=1)[:, : columns * depth].reshape(rows, columns, depth) << np.arange(depth - 1, -1, -1, dtype=np.uint8)).sum(2, dtype=np.uint8)
+                plain = plain if colour == 3 else plain * (255 // (2**depth - 1))
+            part[:] = plain.reshape(rows, columns, channels, -1)[..., 0]  # of 16 bits the upper ones
+        return colours[out[..., 0]] if colour == 3 else out[..., : 1 if channels < 3 else 3]
+    except (zlib.error, struct.error, ValueError, IndexError, KeyError, TypeError):
+        return None
+
+
+def _luma(blue: np.ndarray, green: np.ndarray, red: np.ndarray) -> np.ndarray:
+    return (blue * 0.114 + green * 0.587 + red * 0.299).astype(np.uint8)
+
+
+def load_masks(spark: SparkSession, root: str, keep_path: bool = False, pixels: int = 2_000_000) -> DataFrame:
+    """stem, h, w, data (0 or 1) of images, their path if asked for; colours count by their luma.
+
+    A folder of PNG files is read by tasks that list their own shares, about `pixels` at a time.  Other kinds need Spark's image
+    reader, which lists the folder on the driver: it reads any folder with a file of another name.
+    """
+    kind = "stem string, path string, h int, w int, data array<int>"
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"(?:_mask)?\.[^.]+$", "").alias("stem")
+    names = _seen(D.load_documents(spark, root, folders="any", contents="false"))
+    seen = names.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.lower("name").endswith(".png")).alias("others")).first()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for h, w, n, data in zip(f["height"], f["width"], f["nChannels"], f["data"], strict=True):
                 a = np.frombuffer(data, np.uint8).reshape(h, w, n)
-                grey = a[..., 0] if n == 1 else (a[..., 0] * 0.114 + a[..., 1] * 0.587 + a[..., 2] * 0.299).astype(np.uint8)
+                grey = a[..., 0] if n == 1 else _luma(a[..., 0], a[..., 1], a[..., 2])
                 out.append((grey > 0).astype(int).ravel().tolist())
             yield pd.DataFrame({"stem": f["stem"], "path": f["origin"], "h": f["height"], "w": f["width"], "data": out})
 
-    df = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root).select("image.*")
-    return df.select(F.regexp_replace(F.regexp_extract("origin", r"([^/]+)$", 1), r"(?:_mask)?\.[^.]+$", "").alias("stem"), F.regexp_replace("origin", "^file:/+", "file:/").alias("origin"), "height", "width", "nChannels", "data").mapInPandas(run, "stem string, path string, h int, w int, data array<int>").select("stem", *(["path"] if keep_path else []), "h", "w", "data")
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out, held = [], 0
+            for stem, path, content in zip(f["stem"], f["path"], f["content"], strict=True):
+                if (a := decoded_png(content)) is None:
+                    if content.startswith((b"\xff\xd8", b"GIF8", b"BM")):
+                        raise ValueError(f"named .png, but of another kind: {path}")
+                    continue
+                grey = a[..., 0] if a.shape[2] == 1 else _luma(a[..., 2], a[..., 1], a[..., 0])
+                out.append((stem, path, *a.shape[:2], (grey > 0).astype(int).ravel().tolist()))
+                held += grey.size
+                if held > pixels:
+                    yield pd.DataFrame(out, columns=["stem", "path", "h", "w", "data"])
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=["stem", "path", "h", "w", "data"])
+
+    if seen["n"] and not seen["others"]:
+        found = _seen(D.load_documents(spark, root, folders="any")).select(_address(root).alias("path"), "content")
+        masks = found.select(stem, "path", "content").mapInPandas(decode, kind)
+    else:
+        df = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root).select("image.*")
+        df = df.withColumn("path", F.regexp_replace("origin", "^file:/+", "file:/"))
+        masks = df.select(stem, F.col("path").alias("origin"), "height", "width", "nChannels", "data").mapInPandas(run, kind)
+    return masks.select("stem", *(["path"] if keep_path else []), "h", "w", "data")
 
 
 def load_template(spark: SparkSession, path: str) -> DataFrame:
