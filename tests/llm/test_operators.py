@@ -4,6 +4,7 @@ import gc
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import duckdb
@@ -277,6 +278,18 @@ def test_byte_bpe(spark):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_byte_bpe_memos_are_small():
+    """What a coder remembers of many different words: bytes, for parts and few pieces."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = byte_bpe.read_ranks(path)
+    coder = byte_bpe.ByteBPE(tokens, public_tokenizers.PATTERN)
+    words = [f"{zlib.crc32(b'%d' % i):x}." for i in range(40_000)]
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    assert coder.encode(" ".join(words)) == ref.encode_ordinary(" ".join(words))
+    held = [(v, sys.getsizeof(k) + sys.getsizeof(v)) for m in (coder.parts, coder.pieces) for d in (m, m.old) for k, v in d.items()]
+    assert len(held) < 90_000 and all(isinstance(v, bytes) for v, _ in held) and sum(n for _, n in held) < 115 * len(held)
+
+
 def test_byte_bpe_leaves_no_memos(spark):
     """Workers that go on to other stages hold nothing of what they encoded."""
     docs = spark.createDataFrame([(i, f"word{i} " * 3) for i in range(64)], "doc_id long, text string").repartition(8)

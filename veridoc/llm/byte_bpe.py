@@ -17,9 +17,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,14 +80,15 @@ class PerfectHash:
                 free[s], self.places[s] = False, i
         for (b, i), s in zip(single, np.flatnonzero(free), strict=True):
             self.moves[b], self.places[s] = -1 - int(s), i
+        self.moves, self.places = array("q", self.moves.tobytes()), array("i", self.places.tobytes())  # numpy takes longer to give one number
 
     def __call__(self, key: bytes) -> int:
         """The only number that key can have; the caller compares."""
         if not self.n:
             return 0
         h = xxhash.xxh3_64_intdigest(key)
-        d = int(self.moves[h % self.buckets])
-        return int(self.places[-1 - d if d < 0 else _slot(h, d, self.n)])
+        d = self.moves[h % self.buckets]
+        return self.places[-1 - d if d < 0 else _slot(h, d, self.n)]
 
 
 def heap_merge(piece: bytes, rank: Callable[[bytes], int | None]) -> list[int]:
@@ -100,17 +102,22 @@ def heap_merge(piece: bytes, rank: Callable[[bytes], int | None]) -> list[int]:
     heapify(heap)
     while heap:
         x = heappop(heap)
-        i, end = x >> bits & mask, x & mask
+        end = x & mask
+        i = x >> bits & mask
         j = after[i]
         if j < 0 or j >= n or after[j] != end:
             continue
-        after[j], after[i] = -1, end
+        after[j] = -1
+        after[i] = end
         if end < n:
             before[end] = i
-            if (r := rank(piece[i : after[end]])) is not None:
-                heappush(heap, r << twice | i << bits | after[end])
-        if i and (r := rank(piece[(p := before[i]) : end])) is not None:
-            heappush(heap, r << twice | p << bits | end)
+            e = after[end]
+            if (r := rank(piece[i:e])) is not None:
+                heappush(heap, r << twice | i << bits | e)
+        if i:
+            p = before[i]
+            if (r := rank(piece[p:end])) is not None:
+                heappush(heap, r << twice | p << bits | end)
     ids, i = [], 0
     while i < n:
         if (r := rank(piece[i : after[i]])) is None:
@@ -123,11 +130,11 @@ def heap_merge(piece: bytes, rank: Callable[[bytes], int | None]) -> list[int]:
 class Memo(dict):
     """Computes what is missing; when full, what wasn't used since the last time goes.  Very long keys aren't kept."""
 
-    def __init__(self, compute: Callable[[str], tuple[int, ...]], size: int, longest: int = 200):
+    def __init__(self, compute: Callable[[str], bytes], size: int, longest: int = 200):
         super().__init__()
         self.compute, self.size, self.longest, self.old = compute, size, longest, {}
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
@@ -141,22 +148,26 @@ class Memo(dict):
 
 
 class ByteBPE:
-    def __init__(self, tokens: Sequence[bytes], pattern: str, table: PerfectHash | None = None, memo: int = 300_000):
+    """Remembers the ids of parts as bytes, two an id where that is enough.  Pieces are asked for by new parts of several alone, so few are kept."""
+
+    def __init__(self, tokens: Sequence[bytes], pattern: str, table: PerfectHash | None = None, memo: int = 200_000):
         self.tokens, self.table = list(tokens), table or PerfectHash(tokens)
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
         self.pattern = regex.compile(pattern)
-        self.pieces = Memo(self._piece, memo)
+        self.kind, self.width = ("H", 2) if len(self.tokens) <= 1 << 16 else ("I", 4)
+        self.pieces = Memo(self._piece, memo // 10)
         self.parts = Memo(lambda part: self._text(" " + part), memo)
 
-    def _piece(self, text: str) -> tuple[int, ...]:
+    def _piece(self, text: str) -> bytes:
         piece = text.encode()
         i = self.table(piece)
         if i < len(self.tokens) and self.tokens[i] == piece:
-            return (i,)
-        return tuple(heap_merge(piece, self.ranks.get))
+            return i.to_bytes(self.width, sys.byteorder)
+        return array(self.kind, heap_merge(piece, self.ranks.get)).tobytes()
 
-    def _text(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text))))
+    def _text(self, text: str) -> bytes:
+        found = self.pattern.findall(text)
+        return self._piece(found[0]) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
     def encode(self, text: str) -> list[int]:
         first, *rest = text.split(" ")
@@ -170,9 +181,7 @@ class ByteBPE:
                 else:
                     held = f"{held} {part}"
             first, *rest = [*joined, held]
-        ids = list(self._text(first))
-        ids.extend(chain.from_iterable(map(self.parts.__getitem__, rest)))
-        return ids
+        return array(self.kind, b"".join((self._text(first), *map(self.parts.__getitem__, rest)))).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
