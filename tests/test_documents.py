@@ -102,3 +102,16 @@ def test_snapshot_patterns(spark):
     assert kept(parts=[1], kinds=("image",)) == paths[:2]
     assert kept(metadata_only=True) == [paths[0], paths[5]]
     assert kept(split="test") == [paths[0], paths[4]] and kept() == paths[:4]
+
+
+def test_commit_moves_new_folders_whole(tmp_path, monkeypatch):
+    """None of their names is listed; a folder that is there gets its files one by one."""
+    writer = D.DocumentWriter({"path": str(tmp_path)}, False)
+    tree(tmp_path, ["old/x", "old/kept"])
+    for task, names in (("0-0", ["new/x", "new/deep/y", "old/x", "top"]), ("1-1", ["new/z", "old/w"])):
+        tree(tmp_path / writer.staging / task, names)
+    walked, below = [], D.below
+    monkeypatch.setattr(D, "below", lambda files, folder, *of: (walked.append(folder), below(files, folder, *of))[1])
+    writer.commit([D.Staged(f"{tmp_path}/{writer.staging}/{t}") for t in ("0-0", "1-1")])
+    assert {p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*") if not p.is_dir()} == {"new/x", "new/deep/y", "new/z", "old/x", "old/kept", "old/w", "top"}
+    assert [f for f in walked if "/0-0" in f] == [f"{tmp_path}/{writer.staging}/0-0/old"] and not os.path.exists(tmp_path / writer.staging)

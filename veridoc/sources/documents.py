@@ -192,7 +192,8 @@ class Staged(WriterCommitMessage):
 
 
 class DocumentWriter(DataSourceArrowWriter):
-    """Tasks write into a staging folder of their own attempt; commit moves each file to its name in one step, abort removes all.
+    """Tasks write into a staging folder of their own attempt; commit moves each file to its name in one step
+    (new folders as they are, so that none of their names is listed), abort removes all.
 
     existing: "replace", or "skip" to leave files that are there.  Of rows with one name, one counts.
     """
@@ -223,13 +224,27 @@ class DocumentWriter(DataSourceArrowWriter):
         files, root = opened(self.root)
         with ThreadPoolExecutor(16) as pool:
             for m in filter(None, messages):
-                for some in batched(below(files, m.folder), 1000):
-                    names = [p[len(m.folder) + 1 :] for p in some]
-                    for folder in {f"{root}/{n}".rsplit("/", 1)[0] for n in names}:
-                        files.create_dir(folder, recursive=True)
-                    list(pool.map(lambda n, staged=m.folder: files.move(f"{staged}/{n}", f"{root}/{n}"), names))
+                for some in batched(entries(files, m.folder), 1000):
+                    places = list(pool.map(lambda e, staged=m.folder: not e[1] or not self._whole(files, f"{staged}/{e[0]}", f"{root}/{e[0]}"), some))
+                    left = (p for (name, is_folder), by_file in zip(some, places, strict=True) if by_file for p in (below(files, f"{m.folder}/{name}") if is_folder else (f"{m.folder}/{name}",)))
+                    for paths in batched(left, 1000):
+                        names = [p[len(m.folder) + 1 :] for p in paths]
+                        for folder in {f"{root}/{n}".rsplit("/", 1)[0] for n in names}:
+                            files.create_dir(folder, recursive=True)
+                        list(pool.map(lambda n, staged=m.folder: files.move(f"{staged}/{n}", f"{root}/{n}"), names))
         self._clear(files, root)
 
+    @staticmethod
+    def _whole(files: pafs.FileSystem, staged: str, target: str) -> bool:
+        """Moves a folder by one rename where nothing has its name yet; other file systems than local ones move files."""
+        if not isinstance(files, pafs.LocalFileSystem) or os.path.lexists(target):
+            return False
+        try:
+            os.rename(staged, target)
+        except OSError:  # another job made it meanwhile
+            return False
+        return True
+
     def abort(self, messages: list[Staged | None]) -> None:
         self._clear(*opened(self.root))
 
